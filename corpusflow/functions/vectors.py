@@ -22,13 +22,15 @@ _SLACK = 1e-9
 MATCH_SCHEMA = "query_id bigint, id bigint, similarity double"
 
 
-def unit_rows(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and unit vectors; NULL and zero vectors are left out, other sizes are an error."""
-    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+def unit_rows(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and unit vectors of the usable rows.
+
+    NULL and zero vectors are left out, vectors of another size are an error.
+    """
     vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
-    present = pc.is_valid(vectors)
-    ids, vectors = ids.filter(present), vectors.filter(present)
-    sizes = pc.value_lengths(vectors) if hasattr(pc, "value_lengths") else pc.list_value_length(vectors)
+    positions = np.flatnonzero(pc.is_valid(vectors).to_numpy(zero_copy_only=False))
+    vectors = vectors.take(pa.array(positions))
+    sizes = pc.list_value_length(vectors)
     if len(vectors) and not pc.all(pc.equal(sizes, dim)).as_py():
         raise ValueError(f"expected vectors of {dim} dimensions")
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -36,7 +38,15 @@ def unit_rows(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, n
     norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
     usable = norms > 0
     matrix = matrix[usable] / norms[usable, None]
-    return ids.to_numpy(zero_copy_only=False)[usable], matrix
+    return positions[usable], matrix
+
+
+def identified(
+    ids: pa.Array, vectors: pa.Array, dim: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of the usable rows."""
+    positions, matrix = unit_rows(vectors, dim)
+    return np.asarray(ids)[positions], matrix
 
 
 class TopK:
@@ -101,7 +111,7 @@ def score_batches(
     """Top-k of one partition of ``(id, embedding)`` batches."""
     best = TopK(query_ids, queries, k, threshold)
     for batch in batches:
-        best.add(*unit_rows(batch.column(0), batch.column(1), queries.shape[1]))
+        best.add(*identified(batch.column(0), batch.column(1), queries.shape[1]))
     yield best.result()
 
 

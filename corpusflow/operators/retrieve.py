@@ -89,7 +89,7 @@ def _broadcast_top_k(
     docs: DataFrame, queries: pa.Table, dim: int, k: int, threshold: float
 ) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(
-        v.unit_rows(queries.column(0), queries.column(1), dim)
+        v.identified(queries.column(0), queries.column(1), dim)
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,12 +138,12 @@ def _grid_top_k(
     )
 
     def score(docs_part: pa.Table, queries_part: pa.Table) -> pa.Table:
-        query_ids, matrix = v.unit_rows(
+        query_ids, matrix = v.identified(
             queries_part.column("query_id"), queries_part.column("query_embedding"), dim
         )
         best = v.TopK(query_ids, matrix, k, threshold)
         if docs_part.num_rows:
-            best.add(*v.unit_rows(docs_part.column("id"), docs_part.column("embedding"), dim))
+            best.add(*v.identified(docs_part.column("id"), docs_part.column("embedding"), dim))
         return pa.Table.from_batches([best.result()])
 
     key = ("cell", "shard", "block")
@@ -189,19 +189,13 @@ def assign_cells(
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, matrix = v.unit_rows(batch.column(0), batch.column(1), shared.value.shape[1])
-            if not len(ids):
+            positions, matrix = v.unit_rows(batch.column(1), shared.value.shape[1])
+            if not len(positions):
                 continue
             cells = v.nearest(matrix, shared.value, n_cells)
-            repeat = np.repeat(np.arange(len(ids)), cells.shape[1])
-            flat = pa.array(matrix[repeat].ravel())
-            offsets = pa.array(np.arange(len(repeat) + 1, dtype=np.int32) * matrix.shape[1])
+            rows = batch.take(pa.array(np.repeat(positions, cells.shape[1])))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(cells.ravel().astype(np.int32)),
-                    pa.array(ids[repeat].astype(np.int64)),
-                    pa.ListArray.from_arrays(offsets, flat.cast(_arrow_item(vector_type))),
-                ],
+                [pa.array(cells.ravel().astype(np.int32)), rows.column(0), rows.column(1)],
                 names=["cell", id_column, "embedding"],
             )
 
@@ -210,10 +204,6 @@ def assign_cells(
     )
 
 
-def _arrow_item(vector_type: str) -> pa.DataType:
-    return pa.float32() if vector_type == "array<float>" else pa.float64()
-
-
 def approx_match_documents(
     docs: DataFrame,
     queries: DataFrame,

@@ -146,7 +146,7 @@ def document_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def short_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Every sentence group of four lines' words is too long for some rules; use lines."""
+    """Every line of a document as a chunk."""
     return (
         _read(spark, sf, "documents")
         .select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")))
@@ -168,7 +168,7 @@ def raw_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(None).cast("string").alias("source_url"),
         F.concat(
             F.lit("# "), "source", F.lit("\n\n"),
-            F.regexp_replace("text", "\n", "\n## About " + "$0- item\n1. first\n"),
+            F.regexp_replace("text", "\n", "\n## About it\n- item\n1. first step!\n"),
         ).alias("markdown"),
         F.struct(
             F.col("lang").alias("title"), F.lit(None).cast("string").alias("source_url")
@@ -526,12 +526,12 @@ def pick_source(spark, sf):
 
 
 def assemble_prompts(spark, sf):
-    """Conversation prompts: each user turn with trimmed history; the turn before the
-    question, whoever wrote it, is the context."""
+    """Conversation prompts: each user turn with its trimmed history and, as the context,
+    the question itself."""
     trimmed = conversation.trim_history(turns(spark, sf), HISTORY_TOKENS).withColumn(
         "query_id", F.concat_ws("-", "conv_id", "turn")
     )
-    context = F.concat(F.lit("[1] "), F.upper("question"))
+    context = F.concat(F.lit("[1] "), "question")
     prompts = packing.assemble_prompts(
         trimmed.select("query_id", context.alias("context")), trimmed, SYSTEM, trimmed
     )
@@ -652,7 +652,7 @@ def request_timings(spark, sf):
 
 
 def timing_summary(spark, sf):
-    return admission.timing_summary(_timings(spark, sf)).withColumn(
+    return admission.timing_summary(_timings(spark, sf), accuracy=1_000_000).withColumn(
         "avg_ms", F.round("avg_ms", 6)
     )
 
