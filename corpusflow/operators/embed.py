@@ -27,30 +27,35 @@ def embed_chunks(
     returns a different number of vectors, marks the rows of that batch and the job goes
     on.
     """
-    out_columns = [*chunks.columns, "embedding", "error"]
-
-    def embed(rows: pd.DataFrame) -> pd.DataFrame:
-        texts = rows[text_column].tolist()
+    def call(texts: list[str]) -> tuple[list, list]:
         try:
             vectors = embedder(texts)
             if len(vectors) != len(texts):
                 raise ValueError(f"Expected {len(texts)} embeddings, got {len(vectors)}")
-            embedding = [np.asarray(vector, dtype=np.float32) for vector in vectors]
-            error = None
+            return [np.asarray(v, dtype=np.float32) for v in vectors], [None] * len(texts)
         except Exception as failure:  # noqa: BLE001 - any failure of the user's model
-            embedding, error = [None] * len(texts), str(failure) or type(failure).__name__
+            return [None] * len(texts), [str(failure) or type(failure).__name__] * len(texts)
+
+    def embed(rows: pd.DataFrame) -> pd.DataFrame:
+        texts = rows[text_column].tolist()
+        embeddings, errors = [], []
+        for low in range(0, len(texts), batch_size):
+            vectors, failures = call(texts[low:low + batch_size])
+            embeddings += vectors
+            errors += failures
         return rows.assign(
-            embedding=pd.Series(embedding, index=rows.index, dtype=object),
-            error=pd.Series([error] * len(texts), index=rows.index, dtype=object),
-        )[out_columns]
+            embedding=pd.Series(embeddings, index=rows.index, dtype=object),
+            error=pd.Series(errors, index=rows.index, dtype=object),
+        )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Calls are full batches across Arrow batches; the last rows wait for the next.
         rest: pd.DataFrame | None = None
         for batch in batches:
             rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             whole = len(rows) - len(rows) % batch_size
-            for low in range(0, whole, batch_size):
-                yield embed(rows.iloc[low:low + batch_size])
+            if whole:
+                yield embed(rows.iloc[:whole])
             rest = rows.iloc[whole:]
         if rest is not None and len(rest):
             yield embed(rest)

@@ -45,9 +45,15 @@ K, THRESHOLD = 12, 0.25
 CONTEXT_TOKENS, HISTORY_TOKENS = 400, 200
 RATE, WINDOW_SECONDS = 3, 86400
 
+# Tables with long texts, and the column to spread them by when they are small.
+_SPREAD = {"documents": "doc_id", "pages": "page_id"}
+
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    if name in _SPREAD:
+        return tables.read_table(spark, path, _SPREAD[name])
+    return spark.read.parquet(path)
 
 
 # -- inputs derived from the tables ----------------------------------------------------
@@ -89,7 +95,7 @@ def sitemaps(spark: SparkSession, sf: str) -> DataFrame:
 def sitemap_seeds(spark: SparkSession, sf: str) -> DataFrame:
     return (
         _read(spark, sf, "pages")
-        .where(F.startswith("url", F.lit("https://spam-farm")))
+        .where(F.startswith("url", F.lit("https://www.")))
         .select(F.concat(F.lit("https://site"), "page_id", F.lit(".example")).alias("url"))
     )
 

@@ -736,7 +736,7 @@ ORACLE_SQL: dict[str, str] = {
           SELECT 'https://site' || page_id || '.example' || path AS sitemap_url, 0 AS depth
           FROM pages, (VALUES ('/sitemap.xml'), ('/sitemap_index.xml'), ('/wp-sitemap.xml'))
             AS p(path)
-          WHERE starts_with(url, 'https://spam-farm')
+          WHERE starts_with(url, 'https://www.')
           UNION
           SELECT l.loc, w.depth + 1 FROM walk w JOIN locs l ON l.sitemap_url = w.sitemap_url
           WHERE l.kind = 'sitemap' AND w.depth < 3)

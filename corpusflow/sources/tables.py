@@ -145,6 +145,19 @@ def write_answer_cache(answers: DataFrame, path: str, entries_per_object: int =
     ).mode("overwrite").text(path)
 
 
+def read_table(spark: SparkSession, path: str, spread_by: str) -> DataFrame:
+    """A stored Parquet table.
+
+    A table with fewer scan tasks than cores (a small one in few row groups) is spread by
+    ``spread_by``, so that costly column rules use all cores; a large one is read as is.
+    """
+    table = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() < cores:
+        return table.repartition(cores, spread_by)
+    return table
+
+
 def write_table(df: DataFrame, path: str, format: str = "parquet") -> None:
     """Overwrite a table of URLs, pages, chunks or reports."""
     df.write.mode("overwrite").format(format).save(path)

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -20,7 +21,8 @@ from corpusflow import config
 from corpusflow.functions import text as t
 
 _MICROS = 1_000_000
-_NEVER = -(2**62)
+# Before the first request: a window that ended long ago, without requests.
+_CLOSED = (-(2**62), 0)
 
 
 def client_key(forwarded_for: Column, real_ip: Column, cdn_ip: Column) -> Column:
@@ -48,6 +50,7 @@ def rate_limit(
     requests: DataFrame,
     limit: int = config.RATE_LIMIT_REQUESTS,
     window_seconds: int = config.RATE_LIMIT_WINDOW_SECONDS,
+    busy_rows: int = 1_000_000,
     windows_per_segment: int = 64,
 ) -> DataFrame:
     """Admission decision for every row of ``requests(request_id, client, ts)``.
@@ -55,34 +58,55 @@ def rate_limit(
     Returns ``(request_id, client, ts, allowed, remaining, reset_at, retry_after)``, the
     requests of a client taken in the order of ``(ts, request_id)``.
 
-    Windows chain (each opens where the one before has ended), but how a stretch of time
-    maps the open window at its start to the one at its end can be computed without
-    knowing the start. So time is cut into segments of ``windows_per_segment`` windows:
+    A client with at most ``busy_rows`` requests is one group. The few above that are
+    split over time. Windows chain (each opens where the one before has ended), but how a
+    stretch of time maps the open window at its start to the one at its end can be
+    computed without knowing the start, so for segments of ``windows_per_segment``
+    windows:
 
     1. per client and segment, the few possible outcomes as a function of the entry state;
     2. per client, the entry state of each segment, one pass over those outcomes;
     3. per client and segment, the decisions.
 
-    Steps 1 and 3 split a busy client over its segments; step 2 sees summaries only.
+    Step 2 sees summaries only.
     """
     window = window_seconds * _MICROS
     segment = window * windows_per_segment
-    keyed = requests.select(
-        "request_id", "client", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
-    ).withColumn("segment", F.floor(F.col("us") / F.lit(segment)))
+    # At most one client per busy_rows requests.
+    busy = F.broadcast(
+        requests.groupBy("client")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > busy_rows)
+        .select("client", F.lit(True).alias("busy"))
+    )
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    keyed = (
+        requests.select("request_id", "client", us.alias("us"))
+        .join(busy, "client", "left")
+        .select(
+            "request_id", "client", "us", F.col("busy").isNotNull().alias("busy"),
+            F.when(F.col("busy"), F.floor(F.col("us") / F.lit(segment)))
+            .otherwise(0).alias("segment"),
+        )
+    )
 
-    def outcomes(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        begin = int(key[1]) * segment
-        return _segment_outcomes(rows["us"].to_numpy(), begin, window).assign(
-            client=key[0], segment=key[1]
-        )[["client", "segment", "below", "exit_end", "exit_count", "n_rows"]]
+    def outcomes(key: tuple, rows: pa.Table) -> pa.Table:
+        client, number = key
+        result = _segment_outcomes(
+            rows.column("us").to_numpy(), number.as_py() * segment, window
+        )
+        n = len(result["below"])
+        return pa.table(
+            {"client": pa.repeat(client, n), "segment": pa.repeat(number, n), **result}
+        )
 
     client_type = requests.schema["client"].dataType.simpleString()
     entry_schema = f"client {client_type}, segment bigint, open_end bigint, open_count bigint"
     entries = (
-        keyed.select("client", "segment", "us")
+        keyed.where("busy")
+        .select("client", "segment", "us")
         .groupBy("client", "segment")
-        .applyInPandas(
+        .applyInArrow(
             outcomes,
             f"client {client_type}, segment bigint, below bigint, exit_end bigint, "
             "exit_count bigint, n_rows bigint",
@@ -92,17 +116,37 @@ def rate_limit(
         .mapInPandas(_chain_segments, entry_schema)
     )
 
-    def decide(key: tuple, rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        return _decide(rows, entry, window, limit)
+    def decide(rows: pa.Table, entry: pa.Table) -> pa.Table:
+        state = (
+            (entry.column("open_end")[0].as_py(), entry.column("open_count")[0].as_py())
+            if entry.num_rows
+            else _CLOSED
+        )
+        ids, times = rows.column("request_id").to_numpy(), rows.column("us").to_numpy()
+        order, rank, ends = _decide(ids, times, state, window)
+        return pa.table(
+            {
+                "request_id": ids[order],
+                "client": rows.column("client").take(pa.array(order)),
+                "us": times[order],
+                "rank": rank,
+                "window_end": ends,
+            }
+        )
 
     decided = (
-        keyed.groupBy("client", "segment")
+        keyed.select("request_id", "client", "us", "segment")
+        .groupBy("client", "segment")
         .cogroup(entries.groupBy("client", "segment"))
-        .applyInPandas(
+        .applyInArrow(
             decide,
             f"request_id bigint, client {client_type}, us bigint, rank bigint, window_end bigint",
         )
     )
+    return _decisions(decided, limit)
+
+
+def _decisions(decided: DataFrame, limit: int) -> DataFrame:
     allowed = F.col("rank") <= limit
     wait = F.ceil((F.col("window_end") - F.col("us")) / F.lit(float(_MICROS)))
     return decided.select(
@@ -116,7 +160,7 @@ def rate_limit(
     )
 
 
-def _segment_outcomes(times: np.ndarray, begin: int, window: int) -> pd.DataFrame:
+def _segment_outcomes(times: np.ndarray, begin: int, window: int) -> dict[str, np.ndarray]:
     """The open window at the end of a segment, by the one open at its start.
 
     One row per distinct outcome: it applies when the entering window ends before
@@ -136,20 +180,18 @@ def _segment_outcomes(times: np.ndarray, begin: int, window: int) -> pd.DataFram
             break
         last = np.where(inside, following, last)
     changes = np.r_[last[1:] != last[:-1], True]
-    return pd.DataFrame(
-        {
-            "below": times[first[changes]],
-            "exit_end": times[last[changes]] + window,
-            "exit_count": len(times) - last[changes],
-            "n_rows": len(times),
-        }
-    )
+    return {
+        "below": times[first[changes]],
+        "exit_end": times[last[changes]] + window,
+        "exit_count": len(times) - last[changes],
+        "n_rows": np.full(int(changes.sum()), len(times)),
+    }
 
 
 def _chain_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Entry state per client and segment from sorted segment outcomes."""
     client = segment = None
-    end, count = _NEVER, 0
+    end, count = _CLOSED
     after: tuple[int, int] | None = None
     n_rows = 0
     for batch in batches:
@@ -157,7 +199,7 @@ def _chain_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in batch.itertuples(index=False):
             if row.client != client or row.segment != segment:
                 if row.client != client:
-                    end, count = _NEVER, 0
+                    end, count = _CLOSED
                 elif after is not None:
                     end, count = after
                 else:
@@ -170,13 +212,16 @@ def _chain_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _decide(
-    rows: pd.DataFrame, entry: pd.DataFrame, window: int, limit: int
-) -> pd.DataFrame:
-    """Rank within its window and window end, for the sorted requests of a segment."""
-    rows = rows.sort_values(["us", "request_id"], kind="stable")
-    times = rows["us"].to_numpy()
-    starts, ends, counts = [0], [int(entry["open_end"].iat[0])], [int(entry["open_count"].iat[0])]
-    position = int(np.searchsorted(times, ends[0], "right"))
+    ids: np.ndarray, times: np.ndarray, state: tuple[int, int], window: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the requests, and in that order their rank in their window and its end.
+
+    ``state`` is the end of the window open before, and the requests it has had.
+    """
+    order = np.lexsort((ids, times))
+    times = times[order]
+    starts, ends, counts = [0], [state[0]], [state[1]]
+    position = int(np.searchsorted(times, state[0], "right"))
     while position < len(times):
         starts.append(position)
         ends.append(int(times[position]) + window)
@@ -185,9 +230,7 @@ def _decide(
     index = np.arange(len(times))
     which = np.searchsorted(starts, index, "right") - 1
     rank = index - np.asarray(starts)[which] + 1 + np.asarray(counts)[which]
-    return rows.assign(rank=rank, window_end=np.asarray(ends)[which])[
-        ["request_id", "client", "us", "rank", "window_end"]
-    ]
+    return order, rank, np.asarray(ends)[which]
 
 
 # -- stream ----------------------------------------------------------------------------
@@ -206,18 +249,16 @@ class _Admission(StatefulProcessor):
         self.open = handle.getValueState("open", self._STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        requests = pd.concat(list(rows), ignore_index=True).sort_values(
-            ["us", "request_id"], kind="stable"
-        )
-        count, end = self.open.get() if self.open.exists() else (0, _NEVER)
-        entry = pd.DataFrame({"open_end": [end], "open_count": [count]})
-        decided = _decide(requests, entry, self.window, self.limit)
-        # Rows that arrive late fall into the window that is open now.
-        last_end = int(decided["window_end"].iat[-1])
-        self.open.update((int(decided["rank"].iat[-1]), last_end))
+        requests = pd.concat(list(rows), ignore_index=True)
+        count, end = self.open.get() if self.open.exists() else (_CLOSED[1], _CLOSED[0])
+        ids, times = requests["request_id"].to_numpy(), requests["us"].to_numpy()
+        order, rank, ends = _decide(ids, times, (end, count), self.window)
+        self.open.update((int(rank[-1]), int(ends[-1])))
         if self.evict:
-            self.handle.registerTimer(last_end // 1000 + 1)
-        yield decided
+            self.handle.registerTimer(int(ends[-1]) // 1000 + 1)
+        yield requests.iloc[order].assign(rank=rank, window_end=ends)[
+            ["request_id", "client", "us", "rank", "window_end"]
+        ]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.open.exists():
@@ -247,7 +288,8 @@ def rate_limit_stream(
     if evict_after is not None:
         requests = requests.withWatermark("ts", evict_after)
     client_type = requests.schema["client"].dataType.simpleString()
-    columns = ["request_id", "client", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")]
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    columns = ["request_id", "client", us.alias("us")]
     if evict_after is not None:
         columns.append("ts")
     decided = (
@@ -265,17 +307,7 @@ def rate_limit_stream(
             timeMode="None" if evict_after is None else "EventTime",
         )
     )
-    allowed = F.col("rank") <= limit
-    wait = F.ceil((F.col("window_end") - F.col("us")) / F.lit(float(_MICROS)))
-    return decided.select(
-        "request_id",
-        "client",
-        F.timestamp_micros("us").alias("ts"),
-        allowed.alias("allowed"),
-        F.greatest(F.lit(limit) - F.col("rank"), F.lit(0)).alias("remaining"),
-        F.timestamp_micros("window_end").alias("reset_at"),
-        F.when(~allowed, wait).alias("retry_after"),
-    )
+    return _decisions(decided, limit)
 
 
 # -- timings ---------------------------------------------------------------------------
