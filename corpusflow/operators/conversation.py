@@ -150,7 +150,8 @@ def trim_history(
     Which turns form a unit does not depend on the query, so with token positions along
     the conversation the kept history is everything within ``budget`` of the query, and
     the unit across that edge is the one to cut. Queries and units meet in buckets of
-    ``budget`` tokens; a unit can only be wanted by the bucket it ends in and the next.
+    ``budget`` tokens: a unit can only be wanted by the bucket it ends in and the next, so
+    a bucket gathers two budgets' worth of text however long the conversation is.
     """
     start, own = F.col("start"), F.col("_tokens")
     answers = (F.col("role") == "assistant") & (F.col("prev.role") == "user")
@@ -163,30 +164,33 @@ def trim_history(
             "unit_order": F.when(answers, F.col("seq") * 2 - 3).otherwise(F.col("seq") * 2),
         }
     )
-    bucket = F.floor(F.col("unit_end") / budget)
-    units = (
-        numbered.withColumn("bucket", F.explode(F.array(bucket, bucket + 1)))
-        .groupBy("conv_id", "bucket")
+    unit = F.struct(
+        *(["unit_order"] if reference_order else []),
+        "seq", "turn", "role",
+        F.substring("text", 1, budget * config.CHARS_PER_TOKEN + 1).alias("text"),
+        "unit_start", "unit_end", "user_tokens",
+    )
+    query = F.struct("turn", F.col("text").alias("question"), "seq", "start")
+
+    def place(position: Column, is_query: bool) -> Column:
+        return F.struct(
+            F.floor(position / budget).alias("bucket"), F.lit(is_query).alias("is_query")
+        )
+
+    as_unit = [place(F.col("unit_end") + shift, False) for shift in (0, budget)]
+    places = F.when(
+        F.col("role") == "user", F.array(*as_unit, place(start, True))
+    ).otherwise(F.array(*as_unit))
+    is_query = F.col("place.is_query")
+    buckets = (
+        numbered.withColumn("place", F.explode(places))
+        .groupBy("conv_id", F.col("place.bucket").alias("bucket"))
         .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        ("unit_order" if reference_order else "seq"),
-                        *(["seq"] if reference_order else []),
-                        "turn",
-                        "role",
-                        F.substring("text", 1, budget * config.CHARS_PER_TOKEN + 1).alias("text"),
-                        "unit_start",
-                        "unit_end",
-                        "user_tokens",
-                    )
-                )
-            ).alias("units")
+            F.array_sort(F.collect_list(F.when(~is_query, unit))).alias("units"),
+            F.collect_list(F.when(is_query, query)).alias("queries"),
         )
-    )
-    queries = numbered.where("role = 'user'").select(
-        "conv_id", "turn", F.col("text").alias("question"), "seq", "start",
-        F.floor(start / budget).alias("bucket"),
+        .select("conv_id", "units", F.explode("queries").alias("query"))
+        .select("conv_id", "units", "query.*")
     )
     edge = F.col("start") - F.lit(budget)
 
@@ -215,13 +219,10 @@ def trim_history(
             F.when(whole, text).when(may_cut, cut).alias("text"),
         )
 
-    before = F.filter(
-        F.coalesce("units", F.array()), lambda unit: unit["seq"] < F.col("seq")
-    )
+    before = F.filter("units", lambda unit: unit["seq"] < F.col("seq"))
     history = F.filter(F.transform(before, kept), lambda row: row["text"].isNotNull())
     return (
-        queries.join(units, ["conv_id", "bucket"], "left")
-        .select("conv_id", "turn", "question", history.alias("history"))
+        buckets.select("conv_id", "turn", "question", history.alias("history"))
         .withColumn(
             "history_tokens",
             F.aggregate(

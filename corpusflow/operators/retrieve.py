@@ -18,6 +18,8 @@ from corpusflow.functions import vectors as v
 
 # Vectors one task or one broadcast may hold.
 BLOCK_BYTES = 64 * 1024 * 1024
+# Winners that are broadcast to fetch their text.
+_BROADCAST_ROWS = 500_000
 _DOC_COLUMNS = ("content", "source_url", "title", "section")
 
 
@@ -38,13 +40,14 @@ def match_documents(
     queries than that go through a grid of bounded document and query blocks instead.
     Either way only ``match_count`` rows per query and task leave Python.
     """
-    dim = vector_size(queries)
+    dim, n_queries = vector_size(queries), None
     if dim is None:
         best = _no_matches(docs)
     else:
         limit = max(1, block_bytes // (8 * dim))
         head = queries.select("query_id", "embedding").limit(limit + 1).toArrow()
         if head.num_rows <= limit:
+            n_queries = head.num_rows
             best = _broadcast_top_k(docs, head, dim, match_count, threshold)
         else:
             best = _grid_top_k(
@@ -52,7 +55,10 @@ def match_documents(
                 queries.select(F.lit(0).alias("cell"), "query_id", "embedding"),
                 dim, match_count, threshold, block_bytes,
             )
-    return with_document_columns(rank_matches(best, match_count), docs)
+    ranked = rank_matches(best, match_count)
+    if n_queries is not None and n_queries * match_count <= _BROADCAST_ROWS:
+        ranked = F.broadcast(ranked)
+    return with_document_columns(ranked, docs)
 
 
 def vector_size(df: DataFrame) -> int | None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 
 from corpusflow import config
@@ -15,7 +17,8 @@ def discover_urls(
     rules: UrlExclusions = config.DISCOVER_EXCLUSIONS,
 ) -> DataFrame:
     """The URL inventory: union, filters, dedup by canonical form, variants, sorted."""
-    found = urls.union_urls(*sources)
+    # The dedup below makes a distinct union unnecessary.
+    found = reduce(DataFrame.unionByName, [source.select("url") for source in sources])
     allowed = urls.allow_domains(urls.exclude_system_urls(found, rules), site)
     unique = urls.dedup_urls(allowed, site.allowed_domains).select("url")
     return urls.drop_variant_urls(unique).orderBy("url")

@@ -51,7 +51,7 @@ def rate_limit(
     limit: int = config.RATE_LIMIT_REQUESTS,
     window_seconds: int = config.RATE_LIMIT_WINDOW_SECONDS,
     busy_rows: int = 1_000_000,
-    windows_per_segment: int = 64,
+    segment_rows: int = 8_000_000,
 ) -> DataFrame:
     """Admission decision for every row of ``requests(request_id, client, ts)``.
 
@@ -59,45 +59,47 @@ def rate_limit(
     requests of a client taken in the order of ``(ts, request_id)``.
 
     A client with at most ``busy_rows`` requests is one group. The few above that are
-    split over time. Windows chain (each opens where the one before has ended), but how a
-    stretch of time maps the open window at its start to the one at its end can be
-    computed without knowing the start, so for segments of ``windows_per_segment``
-    windows:
+    split over time, into segments of about ``segment_rows`` requests. Windows chain (each
+    opens where the one before has ended), but how a segment maps the window open at its
+    start to the one open at its end can be computed without knowing the start:
 
-    1. per client and segment, the few possible outcomes as a function of the entry state;
+    1. per client and segment, the possible outcomes as a function of the entry state
+       (windows from different entries soon coincide, so they are few);
     2. per client, the entry state of each segment, one pass over those outcomes;
     3. per client and segment, the decisions.
-
-    Step 2 sees summaries only.
     """
     window = window_seconds * _MICROS
-    segment = window * windows_per_segment
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    timed = requests.select("request_id", "client", us.alias("us"))
+    span = F.max("us") - F.min("us") + 1
+    length = F.ceil(span / F.count(F.lit(1)) * F.lit(float(segment_rows)))
     # At most one client per busy_rows requests.
     busy = F.broadcast(
-        requests.groupBy("client")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        timed.groupBy("client")
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.min("us").alias("_first"),
+            F.greatest(length, F.lit(window)).alias("_length"),
+        )
         .where(F.col("_n") > busy_rows)
-        .select("client", F.lit(True).alias("busy"))
+        .select("client", "_first", "_length")
     )
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    keyed = (
-        requests.select("request_id", "client", us.alias("us"))
-        .join(busy, "client", "left")
-        .select(
-            "request_id", "client", "us", F.col("busy").isNotNull().alias("busy"),
-            F.when(F.col("busy"), F.floor(F.col("us") / F.lit(segment)))
-            .otherwise(0).alias("segment"),
-        )
+    # A segment is named by the time it begins.
+    offset = F.col("us") - F.col("_first")
+    keyed = timed.join(busy, "client", "left").select(
+        "request_id",
+        "client",
+        "us",
+        F.coalesce(F.col("us") - F.pmod(offset, F.col("_length")), F.lit(0)).alias("segment"),
+        F.col("_first").isNotNull().alias("busy"),
     )
 
     def outcomes(key: tuple, rows: pa.Table) -> pa.Table:
-        client, number = key
-        result = _segment_outcomes(
-            rows.column("us").to_numpy(), number.as_py() * segment, window
-        )
+        client, begin = key
+        result = _segment_outcomes(rows.column("us").to_numpy(), begin.as_py(), window)
         n = len(result["below"])
         return pa.table(
-            {"client": pa.repeat(client, n), "segment": pa.repeat(number, n), **result}
+            {"client": pa.repeat(client, n), "segment": pa.repeat(begin, n), **result}
         )
 
     client_type = requests.schema["client"].dataType.simpleString()
@@ -195,19 +197,27 @@ def _chain_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     after: tuple[int, int] | None = None
     n_rows = 0
     for batch in batches:
+        changed = (batch["client"] != batch["client"].shift()) | batch["segment"].diff().ne(0)
+        starts = np.flatnonzero(changed.to_numpy())
+        below = batch["below"].to_numpy()
         out = []
-        for row in batch.itertuples(index=False):
-            if row.client != client or row.segment != segment:
-                if row.client != client:
+        for low, high in zip(starts, [*starts[1:], len(batch)], strict=True):
+            row = batch.iloc[low]
+            if row["client"] != client or row["segment"] != segment:
+                if row["client"] != client:
                     end, count = _CLOSED
                 elif after is not None:
                     end, count = after
                 else:
                     count += n_rows
-                client, segment, n_rows, after = row.client, row.segment, row.n_rows, None
+                client, segment = row["client"], int(row["segment"])
+                n_rows, after = int(row["n_rows"]), None
                 out.append((client, segment, end, count))
-            if after is None and end < row.below:
-                after = (row.exit_end, row.exit_count)
+            # The outcome that applies is the first with end < below.
+            match = low + int(np.searchsorted(below[low:high], end, "right"))
+            if after is None and match < high:
+                chosen = batch.iloc[match]
+                after = (int(chosen["exit_end"]), int(chosen["exit_count"]))
         yield pd.DataFrame(out, columns=["client", "segment", "open_end", "open_count"])
 
 

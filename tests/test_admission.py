@@ -47,7 +47,7 @@ def test_window_edges(spark):
     assert got[30] == (True, 19, 5 + 60 * second, None)
 
 
-@pytest.mark.parametrize("segments", [1, 3, 64])
+@pytest.mark.parametrize("segments", [1, 100, 10**6])
 @pytest.mark.parametrize("busy_rows", [0, 300, 10**6])
 def test_splitting_does_not_change_decisions(spark, segments, busy_rows):
     rng = random.Random(segments)
@@ -65,7 +65,7 @@ def test_splitting_does_not_change_decisions(spark, segments, busy_rows):
 def test_regular_arrivals_across_segments(spark):
     # Evenly spaced: windows never realign, so every entry state has its own outcome.
     rows = [(i, "a", i * 700_000) for i in range(2000)]
-    got = decisions(admission.rate_limit(requests(spark, rows), 3, 10, 0, 5))
+    got = decisions(admission.rate_limit(requests(spark, rows), 3, 10, 0, 90))
     assert got == model(rows, 3, 10_000_000)
 
 

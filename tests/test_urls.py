@@ -93,10 +93,11 @@ def test_system_urls(spark, url, discover, crawl):
 def test_allowed_domains(spark):
     df = table(
         spark, "https://www.a.com/x", "https://a.com.evil/x", "https://sub.B.org/x",
-        "https://b.org/Login/", "https://c.net",
+        "https://b.org/Login/x", "https://b.org/Login/", "https://c.net",
     )
     assert values(urls.allow_domains(df, SITE)) == [
-        "https://a.com.evil/x", "https://sub.B.org/x", "https://www.a.com/x",
+        "https://a.com.evil/x", "https://b.org/Login/", "https://sub.B.org/x",
+        "https://www.a.com/x",
     ]
     assert "https://a.com.evil/x" not in values(urls.allow_domains(df, SITE, strict_host=True))
     assert values(urls.allow_domains(df, Site("https://c.net"))) == ["https://c.net"]
