@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from corpusflow import config
 
 # Fixed value: the whitespace characters, as a regex class body and as plain characters.
-WS_CHARS = r"\t\n\x0b\f\r    -     　﻿"
+WS_CHARS = r"\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 SPACES = (
-    "\t\n\x0b\f\r   "
+    "\t\n\x0b\f\r \u00a0\u1680"
     + "".join(map(chr, range(0x2000, 0x200B)))
-    + "    　﻿"
+    + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 WS = f"[{WS_CHARS}]"
 NON_WS = f"[^{WS_CHARS}]"
@@ -38,6 +38,20 @@ def replace_all(text: Column, *rules: tuple[str, str]) -> Column:
     return text
 
 
+def replace_if_found(text: Column, needle: str, *rules: tuple[str, str]) -> Column:
+    """Regex replacements that can only match where ``needle`` occurs.
+
+    Looking for a substring is far cheaper than a regex pass, and most texts have no
+    markup of a given kind.
+    """
+    return let(
+        text,
+        lambda text: F.when(F.contains(text, F.lit(needle)), replace_all(text, *rules)).otherwise(
+            text
+        ),
+    )
+
+
 def with_unicode_spaces(pattern: str) -> str:
     r"""``pattern`` with ``\s`` read as the shared whitespace class."""
     return pattern.replace(r"\s", WS)
@@ -148,15 +162,26 @@ _LINK = (r"\[([^\]]+)\]\([^)]+\)", "$1")
 _IMAGE = (r"!\[([^\]]*)\]\([^)]+\)", "")
 _FENCE = (r"(?s)```.*?```", "")
 _INLINE_CODE = (r"`[^`]+`", "")
-_EMPHASIS = (
-    (r"\*\*([^*]+)\*\*", "$1"),
-    (r"\*([^*]+)\*", "$1"),
-    (r"__([^_]+)__", "$1"),
-    (r"_([^_]+)_", "$1"),
-)
+_BOLD = (r"\*\*([^*]+)\*\*", "$1")
+_ITALIC = (r"\*([^*]+)\*", "$1")
+_BOLD_UNDERSCORE = (r"__([^_]+)__", "$1")
+_ITALIC_UNDERSCORE = (r"_([^_]+)_", "$1")
 _HEADING_MARKS = (rf"(?m)^#{{1,6}}{WS}+", "")
 _QUOTE_MARKS = (rf"(?m)^>{WS}+", "")
-_RULES = ((r"(?m)^---$", ""), (r"(?m)^\*\*\*$", ""))
+_DASH_RULE = (r"(?m)^---$", "")
+_STAR_RULE = (r"(?m)^\*\*\*$", "")
+
+
+def _drop_emphasis(text: Column) -> Column:
+    text = replace_if_found(text, "*", _BOLD, _ITALIC)
+    return replace_if_found(text, "_", _BOLD_UNDERSCORE, _ITALIC_UNDERSCORE)
+
+
+def _drop_rules_and_quotes(text: Column) -> Column:
+    text = replace_if_found(text, "---", _DASH_RULE)
+    text = replace_if_found(text, "***", _STAR_RULE)
+    return replace_if_found(text, ">", _QUOTE_MARKS)
+
 
 # Entities decoded by chunk cleaning, in decoding order.
 ENTITIES = (
@@ -166,33 +191,40 @@ ENTITIES = (
 
 
 def decode_entities(text: Column, entities: Iterable[tuple[str, str]] = ENTITIES) -> Column:
-    for entity, char in entities:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+
+    def decode(text: Column) -> Column:
+        for entity, char in entities:
+            text = F.replace(text, F.lit(entity), F.lit(char))
+        return text
+
+    return let(
+        text, lambda text: F.when(F.contains(text, F.lit("&")), decode(text)).otherwise(text)
+    )
 
 
 def clean_section_text(text: Column) -> Column:
     """Chunk-side cleaning: tags, entities, markdown, bullets, whitespace, punctuation."""
-    text = F.regexp_replace(text, r"<[^>]+>", "")
-    text = decode_entities(text)
-    text = replace_all(
+    text = decode_entities(replace_if_found(text, "<", (r"<[^>]+>", "")))
+    text = replace_if_found(
         text,
+        "[",
         _LINK,
         (r"\\\[([^\]]+)\\\]\([^)]+\)", "$1"),
         _IMAGE,
         (r"!\\\[([^\]]*)\\\]\([^)]+\)", ""),
-        (rf"\(https?://[^{WS_CHARS})]+\)", ""),
-        (r"\[([^\]]+)\](?!\()", "$1"),
-        _HEADING_MARKS,
-        *_EMPHASIS,
-        _INLINE_CODE,
-        _FENCE,
-        _QUOTE_MARKS,
+    )
+    text = replace_if_found(text, "(http", (rf"\(https?://[^{WS_CHARS})]+\)", ""))
+    text = replace_if_found(text, "[", (r"\[([^\]]+)\](?!\()", "$1"))
+    text = _drop_emphasis(replace_if_found(text, "#", _HEADING_MARKS))
+    text = replace_if_found(text, "`", _INLINE_CODE, _FENCE)
+    text = replace_if_found(text, ">", _QUOTE_MARKS)
+    text = replace_all(
+        text,
         (r"(?m)^[-*]{3,}$", ""),
         (rf"(?m)^[-*+]{WS}+", ""),
         (rf"(?m)^[0-9]+\.{WS}+", ""),
-        (r"\\\[\.+\\\]", ""),
     )
+    text = replace_if_found(text, "\\[", (r"\\\[\.+\\\]", ""))
     text = trim_ws(collapse_ws(text))
     # Pull detached punctuation back to the word before it.
     return F.regexp_replace(
@@ -236,10 +268,10 @@ def markdown_to_plain(markdown: Column) -> Column:
             ),
         )
 
-    text = replace_all(markdown, _FENCE, _INLINE_CODE, _IMAGE, _LINK, _HEADING_MARKS)
-    text = let(text, with_lists)
-    text = replace_all(text, *_EMPHASIS, *_RULES, _QUOTE_MARKS)
-    text = trim_ws(collapse_ws(text))
+    text = replace_if_found(markdown, "`", _FENCE, _INLINE_CODE)
+    text = replace_if_found(text, "[", _IMAGE, _LINK)
+    text = let(replace_if_found(text, "#", _HEADING_MARKS), with_lists)
+    text = trim_ws(collapse_ws(_drop_rules_and_quotes(_drop_emphasis(text))))
     return let(
         text,
         lambda plain: F.when((plain == "") | plain.rlike(r"[.!?]\z"), plain).otherwise(
@@ -250,17 +282,9 @@ def markdown_to_plain(markdown: Column) -> Column:
 
 def clean_page_text(text: Column) -> Column:
     """Crawl-side cleaning: drop URLs and what markup is left."""
-    text = replace_all(
-        text,
-        (rf"https?://[^{WS_CHARS})]+", ""),
-        (rf"www\.{NON_WS}+", ""),
-        _LINK,
-        _IMAGE,
-        _FENCE,
-        _INLINE_CODE,
-        *_EMPHASIS,
-        _HEADING_MARKS,
-        *_RULES,
-        _QUOTE_MARKS,
-    )
-    return trim_ws(collapse_ws(text))
+    text = replace_if_found(text, "http", (rf"https?://[^{WS_CHARS})]+", ""))
+    text = replace_if_found(text, "www.", (rf"www\.{NON_WS}+", ""))
+    text = replace_if_found(text, "[", _LINK, _IMAGE)
+    text = _drop_emphasis(replace_if_found(text, "`", _FENCE, _INLINE_CODE))
+    text = replace_if_found(text, "#", _HEADING_MARKS)
+    return trim_ws(collapse_ws(_drop_rules_and_quotes(text)))
