@@ -8,16 +8,19 @@ microseconds.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.config import ChunkRules, ChunkSizes, Site
+from corpusflow.functions.lineage import shared_folder
 from corpusflow.operators import chunks, conversation, embed, packing, pages, retrieve, urls
 from corpusflow.plans import pipelines
 from corpusflow.sources import tables
-from corpusflow.streaming import admission
+from corpusflow.session import ROCKSDB
+from corpusflow.streaming import admission, page_stream
 
 SITE = Site(
     start_url="http://thther.example.org",
@@ -49,6 +52,11 @@ RATE, WINDOW_SECONDS = 3, 86400
 _SPREAD = {"documents": "doc_id", "pages": "page_id"}
 
 
+def _new_folder(spark: SparkSession) -> str:
+    """A fresh folder next to the checkpoints, for queries that write tables."""
+    return f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+
+
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     path = f"{sf}/{name}.parquet"
     if name in _SPREAD:
@@ -378,7 +386,9 @@ def page_sections(spark, sf):
     )
 
 
-def upsert_pages(spark, sf):
+def _old_and_new_pages(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Documents as existing pages; the good ones not in English as newly crawled."""
+
     def as_pages(df: DataFrame, title: Column) -> DataFrame:
         slash = F.when(F.col("n_chars") > 3000, "/").otherwise("")
         return df.select(
@@ -390,13 +400,28 @@ def upsert_pages(spark, sf):
 
     documents = _read(spark, sf, "documents")
     labelled = documents.join(_read(spark, sf, "labels").where("quality = 1"), "doc_id")
-    merged = pages.upsert_pages(
+    return (
         as_pages(documents, F.concat(F.lit("old "), "doc_id")),
         as_pages(labelled.where("lang <> 'en'"), F.concat(F.lit("new "), "doc_id")),
     )
+
+
+def upsert_pages(spark, sf):
+    merged = pages.upsert_pages(*_old_and_new_pages(spark, sf))
     return merged.select("url_key", "page_ord", "title", F.col("sections")[0]["text"].alias("text"))
 
 
+def upsert_page_batches(spark, sf):
+    """Two micro-batches merged into a bucketed table."""
+    table = f"{_new_folder(spark)}/pages"
+    for batch in _old_and_new_pages(spark, sf):
+        page_stream.upsert_batch(batch, table, 8)
+    return spark.read.parquet(table).select(
+        F.regexp_replace("source_url", "/$", "").alias("url_key"), "page_ord", "title",
+        F.col("sections")[0]["text"].alias("text"),
+    )
+
+
 def page_stats(spark, sf):
     return pages.page_stats(document_pages(spark, sf))
 
@@ -463,6 +488,19 @@ def first_errors(spark, sf):
     )
 
 
+def load_documents(spark, sf):
+    """The index refreshed twice; the second load replaces the first."""
+    table = f"{_new_folder(spark)}/index"
+    embedded = embed.embed_chunks(
+        document_chunks(spark, sf), vowel_counts_without_mail, batch_size=1
+    )
+    tables.load_documents(embedded, table)
+    replaced = tables.load_documents(embedded, table)
+    return spark.read.parquet(table).select(
+        "content", "source_url", "title", "section", F.lit(replaced).cast("bigint").alias("replaced")
+    )
+
+
 def match_documents(spark, sf):
     return matches(spark, sf).withColumn("similarity", F.round("similarity", 6))
 
@@ -622,6 +660,34 @@ def sanitize_messages(spark, sf):
     return conversation.sanitize_messages(marked).select("conv_id", "turn", "clean_text")
 
 
+def rate_limit_stream(spark, sf):
+    """The same decisions from a stream over the events file, written to a table."""
+    folder = _new_folder(spark)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        events = _read(spark, sf, "events")
+        files = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet")
+        stream = files.parquet(sf).select(
+            F.col("event_id").alias("request_id"), F.col("user_id").alias("client"), "ts"
+        )
+        query = (
+            admission.rate_limit_stream(stream, RATE, WINDOW_SECONDS)
+            .writeStream.option("checkpointLocation", f"{folder}/state")
+            .trigger(availableNow=True)
+            .format("parquet")
+            .start(f"{folder}/decisions")
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.parquet(f"{folder}/decisions").select(
+        "request_id", "client", "allowed", "remaining",
+        F.unix_micros("reset_at").alias("reset_at_us"), "retry_after",
+    )
+
+
 def client_keys(spark, sf):
     user = F.col("user_id").cast("string")
     kind = F.col("event_type")
@@ -727,15 +793,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         exclude_crawl_urls, allow_domains, dedup_urls, drop_variant_urls, union_urls,
         url_summary, page_type_coverage, discover_urls,
         plan_crawl, tag_special_pages, best_attempt, pages_to_markdown, extract_sections,
-        extract_content_sections, page_sections, upsert_pages, page_stats, crawl_outcome,
+        extract_content_sections, page_sections, upsert_pages, upsert_page_batches, page_stats, crawl_outcome,
         clean_sections, make_chunks, classify_chunks, dedup_chunks, keep_first_chunks,
         cleaning_report, build_chunks,
-        embed_chunks, embed_summary, first_errors,
+        embed_chunks, embed_summary, first_errors, load_documents,
         match_documents, approx_match_documents, approx_match_all_cells, approx_recall,
         conversation_history, contextual_queries, trim_history, trim_history_pairs_first,
         select_matches, pack_context, pick_source, assemble_prompts, cache_lookup,
         cache_misses, answer_cache_inputs, generated_answers, unanswered,
         retrieval_metrics, sanitize_messages,
-        rate_limit, client_keys, request_timings, timing_summary,
+        rate_limit, rate_limit_stream, client_keys, request_timings, timing_summary,
     )
 }

@@ -870,6 +870,10 @@ ORACLE_SQL: dict[str, str] = {
     "first_errors": """
         SELECT 'doc-' || doc_id AS id, 'mail address' AS error FROM documents
         WHERE contains(text, '@') ORDER BY doc_id LIMIT 10""",
+    "load_documents": """
+        SELECT text AS content, source AS source_url, lang AS title, source AS section,
+          count(*) OVER () AS replaced
+        FROM documents WHERE NOT contains(text, '@')""",
     # retrieval
     "match_documents": f"""
         WITH {_MATCHES} SELECT * EXCLUDE (sim), round(sim, 6) AS similarity FROM matches""",
@@ -977,3 +981,7 @@ ORACLE_SQL: dict[str, str] = {
           quantile_disc(total_ms, 0.5) AS median_ms, quantile_disc(total_ms, 0.95) AS p95_ms
         FROM timings""",
 }
+
+# Other ways to the same results.
+ORACLE_SQL["upsert_page_batches"] = ORACLE_SQL["upsert_pages"]
+ORACLE_SQL["rate_limit_stream"] = ORACLE_SQL["rate_limit"]

@@ -8,7 +8,10 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-# Nothing here is required: every operator runs on a plain session. AQE is what sizes
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+# Nothing here is required: every batch operator runs on a plain session (the
+# rate-limit stream needs the state store named here). AQE is what sizes
 # shuffle partitions, turns measured-small join sides into broadcasts and splits skewed
 # join partitions, so it should stay on.
 SETTINGS = {
@@ -18,8 +21,7 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
 }
 
 
