@@ -267,22 +267,23 @@ def dedup_chunks(classified: DataFrame) -> DataFrame:
     low quality. The first kept position per text is an aggregate with map-side combine,
     so copies collapse before the shuffle; in the join back to the rows, which needs no
     order within a text, a text with very many copies is an ordinary skewed partition
-    that adaptive execution splits. Rejected rows get a key of their own.
+    that adaptive execution splits. Rejected rows get a key of their own. The input is read
+    twice, so store classified chunks of a large corpus first.
     """
     order = F.struct(*_ORDER)
     low = F.col("reason") == LOW_QUALITY
     passed = F.col("reason").isNull() | low
+    firsts = (
+        classified.where(F.col("reason").isNull())
+        .groupBy(duplicate_key(F.col("content")).alias("_text"))
+        .agg(F.min(order).alias("_first"))
+    )
     keyed = classified.withColumn(
         "_text",
         F.when(passed, duplicate_key(F.col("content"))).otherwise(
             F.unhex(F.sha2(F.concat_ws("/", *_ORDER), 256))
         ),
     )
-    firsts = (
-        keyed.where(F.col("reason").isNull())
-        .groupBy("_text")
-        .agg(F.min(order).alias("_first"))
-    )
     return (
         keyed.join(firsts, "_text", "left")
         .withColumn(

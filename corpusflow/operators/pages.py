@@ -6,11 +6,10 @@ Raw pages are ``(page_ord, url, source_url, markdown, metadata)``, ingested page
 
 from __future__ import annotations
 
-import re
 import warnings
 from collections.abc import Iterable
 
-from pyspark.errors import PySparkException
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,10 +62,9 @@ def tag_special_pages(urls: DataFrame, patterns: Iterable[str]) -> DataFrame:
     usable = []
     for pattern in patterns:
         try:
-            re.compile(pattern)
-            urls.sparkSession.range(1).select(F.lit("").rlike(pattern)).first()
+            urls.sparkSession._jvm.java.util.regex.Pattern.compile(pattern)
             usable.append(pattern)
-        except (re.error, PySparkException):
+        except IllegalArgumentException:
             warnings.warn(f"invalid URL pattern skipped: {pattern}", stacklevel=2)
     url = t.drop_trailing_slash(F.lower("url"))
     return urls.withColumn("needs_load_more", t.any_of(url.rlike(p) for p in usable))

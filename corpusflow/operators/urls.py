@@ -123,8 +123,9 @@ def expand_sitemaps(
     (A depth-first walk that marks visited sitemaps can lose the children of a sitemap it
     first meets at the depth limit; this walk finds a superset of its URLs.)
     """
-    locs = cut_lineage(sitemap_locs(sitemaps))
-    children = locs.where("kind = 'sitemap'").select("sitemap_url", "loc")
+    children = cut_lineage(
+        sitemap_locs(sitemaps).where("kind = 'sitemap'").select("sitemap_url", "loc").distinct()
+    )
     frontier = seeds.select(
         F.explode(
             F.array(*[F.concat("url", F.lit(path)) for path in config.WELL_KNOWN_SITEMAPS])
@@ -139,11 +140,9 @@ def expand_sitemaps(
             .join(visited, "sitemap_url", "left_anti")
         )
         visited = visited.union(frontier)
+    reached = sitemaps.join(visited, "sitemap_url", "left_semi")
     return (
-        locs.where("kind = 'url'")
-        .join(visited, "sitemap_url", "left_semi")
-        .select(F.col("loc").alias("url"))
-        .distinct()
+        sitemap_locs(reached).where("kind = 'url'").select(F.col("loc").alias("url")).distinct()
     )
 
 
