@@ -1,4 +1,4 @@
-"""Cutting lineage in loops, and building skew-safe sequences over keys."""
+"""Cutting lineage in loops; lookups and sequences that stand very uneven keys."""
 
 from __future__ import annotations
 
@@ -27,6 +27,57 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Rows a key may have before it counts as hot.
+HOT_ROWS = 500_000
+
+
+def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows: at most one per ``hot_rows`` rows."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") > hot_rows).select(key)
+
+
+def lookup(
+    rows: DataFrame,
+    table: DataFrame,
+    key: str,
+    hot: DataFrame | None = None,
+    identity: Column | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """``rows`` left join ``table``, whose ``key`` is unique, however many rows share a key.
+
+    Adaptive execution does not split a join whose other side comes out of an aggregate,
+    so hot keys are looked up by broadcast, without moving their rows; there is at most
+    one per ``hot_rows`` rows. All other keys are small groups and are shuffled.
+
+    ``hot`` may give the entries of the hot keys when the caller has counted already.
+    ``identity`` is an expression of the key's type that is unique per row and no key; with
+    it the rows are read once (hot rows are spread by it), otherwise twice.
+    """
+    values = [name for name in table.columns if name != key]
+
+    def packed(df: DataFrame, key_name: str, name: str) -> DataFrame:
+        return df.select(F.col(key).alias(key_name), F.struct(*values).alias(name))
+
+    if hot is None:
+        hot = hot_keys(rows, key, hot_rows).join(table, key, "left")
+    hot = F.broadcast(packed(hot, "_hot_key", "_hot"))
+    # NULL can be a hot key too.
+    is_hot = F.col(key).eqNullSafe(F.col("_hot_key"))
+    if identity is None:
+        found = rows.join(hot, is_hot).select(*rows.columns, "_hot.*")
+        others = rows.join(hot, is_hot, "left_anti").join(table, key, "left")
+        return found.unionByName(others.select(*found.columns))
+    marked = rows.join(hot, is_hot, "left").withColumn(
+        "_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(identity)
+    )
+    return marked.join(packed(table, "_key", "_cold"), "_key", "left").select(
+        *rows.columns,
+        *[F.coalesce(F.col(f"_hot.{v}"), F.col(f"_cold.{v}")).alias(v) for v in values],
+    )
+
+
 def in_sequence(
     df: DataFrame,
     keys: list[str],

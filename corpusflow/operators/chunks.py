@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from corpusflow import config
 from corpusflow.config import ChunkRules, ChunkSizes
 from corpusflow.functions import text as t
+from corpusflow.functions.lineage import HOT_ROWS, lookup
 
 NAVIGATION = "navigation/UI"
 CONSENT = "consent/legal"
@@ -260,32 +261,33 @@ def classify_chunks(chunks: DataFrame, rules: ChunkRules = ChunkRules()) -> Data
     )
 
 
-def dedup_chunks(classified: DataFrame) -> DataFrame:
+def dedup_chunks(classified: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Set ``reason`` to ``duplicate`` where an earlier kept chunk has the same text.
 
     Only kept chunks make later ones duplicates, and being a duplicate is tested before
     low quality. The first kept position per text is an aggregate with map-side combine,
-    so copies collapse before the shuffle; in the join back to the rows, which needs no
-    order within a text, a text with very many copies is an ordinary skewed partition
-    that adaptive execution splits. Rejected rows get a key of their own. The input is read
-    twice, so store classified chunks of a large corpus first.
+    so copies collapse before the shuffle, and is looked up by the rows afterwards; texts
+    with more than ``hot_rows`` copies by broadcast. Rejected rows get a key of their own.
+    The input is read twice, so store the classified chunks of a large corpus first.
     """
     order = F.struct(*_ORDER)
-    low = F.col("reason") == LOW_QUALITY
-    passed = F.col("reason").isNull() | low
-    firsts = (
-        classified.where(F.col("reason").isNull())
+    own_key = F.unhex(F.sha2(F.concat_ws("/", *_ORDER), 256))
+    passed = F.col("reason").isNull() | (F.col("reason") == LOW_QUALITY)
+    texts = (
+        classified.where(passed)
         .groupBy(duplicate_key(F.col("content")).alias("_text"))
-        .agg(F.min(order).alias("_first"))
+        .agg(
+            F.min(F.when(F.col("reason").isNull(), order)).alias("_first"),
+            F.count(F.lit(1)).alias("_n"),
+        )
     )
+    firsts = texts.select("_text", "_first")
+    hot = texts.where(F.col("_n") > hot_rows).select("_text", "_first")
     keyed = classified.withColumn(
-        "_text",
-        F.when(passed, duplicate_key(F.col("content"))).otherwise(
-            F.unhex(F.sha2(F.concat_ws("/", *_ORDER), 256))
-        ),
+        "_text", F.when(passed, duplicate_key(F.col("content"))).otherwise(own_key)
     )
     return (
-        keyed.join(firsts, "_text", "left")
+        lookup(keyed, firsts, "_text", hot, own_key)
         .withColumn(
             "reason",
             F.when(passed & (F.col("_first") < order), DUPLICATE).otherwise(F.col("reason")),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusflow import config
 from corpusflow.functions import text as t
+from corpusflow.functions.lineage import lookup
 from corpusflow.operators.urls import is_system_url
 
 
@@ -35,11 +36,13 @@ def plan_crawl(
     """
     todo = urls.select("ord", "url")
     if not force:
-        todo = todo.withColumn("_key", t.drop_trailing_slash(F.col("url"))).join(
-            pages.select(t.drop_trailing_slash(F.col("source_url")).alias("_key")).distinct(),
-            "_key",
-            "left_anti",
+        known = (
+            pages.select(t.drop_trailing_slash(F.col("source_url")).alias("_key"))
+            .distinct()
+            .withColumn("_known", F.lit(True))
         )
+        keyed = todo.withColumn("_key", t.drop_trailing_slash(F.col("url")))
+        todo = lookup(keyed, known, "_key").where(F.col("_known").isNull())
     first = todo.select("ord", "url").orderBy("ord").limit(limit)
     fallback = urls.sparkSession.range(1).select(
         F.lit(None).cast("bigint").alias("ord"), F.lit(start_url).alias("url")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusflow import config
 from corpusflow.functions import vectors as v
+from corpusflow.functions.lineage import HOT_ROWS, lookup
 
 # Vectors one task or one broadcast may hold.
 BLOCK_BYTES = 64 * 1024 * 1024
@@ -314,15 +315,17 @@ def pick_source(matches: DataFrame, homepage_urls: tuple[str, ...] = ()) -> Data
     )
 
 
-def cache_lookup(queries: DataFrame, cache: DataFrame) -> DataFrame:
+def cache_lookup(queries: DataFrame, cache: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``answer`` from ``cache(question, answer)`` by exact text; NULL is a miss.
 
-    No broadcast hint: the planner broadcasts the cache when its measured size allows and
-    otherwise splits popular questions as skewed join partitions.
+    The cache has one row per question. Questions asked very often are answered without
+    a shuffle (see ``lookup``).
     """
-    return queries.join(cache.select("question", "answer"), "question", "left")
+    return lookup(queries, cache.select("question", "answer"), "question", hot_rows=hot_rows)
 
 
-def cache_misses(queries: DataFrame, cache: DataFrame) -> DataFrame:
+def cache_misses(queries: DataFrame, cache: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Queries the answer cache does not hold."""
-    return queries.join(cache.select("question"), "question", "left_anti")
+    held = cache.select("question", F.lit(True).alias("_held"))
+    found = lookup(queries, held, "question", hot_rows=hot_rows)
+    return found.where(F.col("_held").isNull()).select(*queries.columns)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corpusflow import config
 from corpusflow.config import Site, UrlExclusions
 from corpusflow.functions import text as t
-from corpusflow.functions.lineage import cut_lineage
+from corpusflow.functions.lineage import cut_lineage, lookup
 
 
 # -- column rules ----------------------------------------------------------------------
@@ -126,11 +126,13 @@ def expand_sitemaps(
     children = cut_lineage(
         sitemap_locs(sitemaps).where("kind = 'sitemap'").select("sitemap_url", "loc").distinct()
     )
-    frontier = seeds.select(
-        F.explode(
-            F.array(*[F.concat("url", F.lit(path)) for path in config.WELL_KNOWN_SITEMAPS])
-        ).alias("sitemap_url")
-    ).distinct()
+    frontier = cut_lineage(
+        seeds.select(
+            F.explode(
+                F.array(*[F.concat("url", F.lit(path)) for path in config.WELL_KNOWN_SITEMAPS])
+            ).alias("sitemap_url")
+        ).distinct()
+    )
     visited = frontier
     for _ in range(max_depth):
         frontier = cut_lineage(
@@ -227,12 +229,15 @@ def drop_variant_urls(urls: DataFrame) -> DataFrame:
         urls.where(~F.contains(lowered, F.lit("-2")))
         .select(t.drop_trailing_slash(lowered).alias("_base"))
         .distinct()
+        .withColumn("_exists", F.lit(True))
+    )
+    numbered = candidates.where(ends_in_2).withColumn(
+        "_base", F.regexp_replace(lowered, r"-2/?\z", "")
     )
     numbered = (
-        candidates.where(ends_in_2)
-        .withColumn("_base", F.regexp_replace(lowered, r"-2/?\z", ""))
-        .join(bases, "_base", "left_anti")
-        .drop("_base")
+        lookup(numbered, bases, "_base")
+        .where(F.col("_exists").isNull())
+        .select(*urls.columns)
     )
     return candidates.where(~ends_in_2).unionByName(numbered)
 

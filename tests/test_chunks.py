@@ -204,9 +204,13 @@ def test_dedup_matches_sequential_model(spark):
         ],
         CHUNKS + ", reason string",
     ).repartition(7)
-    tagged = chunks.dedup_chunks(df).orderBy("page_ord", "section_index", "chunk_index").collect()
     expected = model_dedup(rows)
-    assert [r.reason for r in tagged] == expected
+    for hot_rows in (0, 500, 10**6):
+        tagged = (
+            chunks.dedup_chunks(df, hot_rows)
+            .orderBy("page_ord", "section_index", "chunk_index").collect()
+        )
+        assert [r.reason for r in tagged] == expected
     kept = chunks.keep_first_chunks(df).collect()
     assert len(kept) == expected.count(None)
     assert {(r.page_ord, r.section_index, r.chunk_index) for r in kept} == {

@@ -193,9 +193,12 @@ def test_prompts_and_generation(spark):
     }
 
 
-def test_cache_lookup(spark):
-    asked = spark.createDataFrame([(1, "A"), (2, "a"), (3, "A")], "query_id bigint, question string")
+@pytest.mark.parametrize("hot_rows", [0, 1, 100])
+def test_cache_lookup(spark, hot_rows):
+    rows = [(1, "A"), (2, "a"), (3, "A"), (4, "b"), (5, "b"), (6, None)]
+    asked = spark.createDataFrame(rows, "query_id bigint, question string")
     cache = spark.createDataFrame([("A", "ans")], "question string, answer string")
-    found = {r.query_id: r.answer for r in retrieve.cache_lookup(asked, cache).collect()}
-    assert found == {1: "ans", 2: None, 3: "ans"}
-    assert [r.query_id for r in retrieve.cache_misses(asked, cache).collect()] == [2]
+    found = {r.query_id: r.answer for r in retrieve.cache_lookup(asked, cache, hot_rows).collect()}
+    assert found == {1: "ans", 2: None, 3: "ans", 4: None, 5: None, 6: None}
+    missed = retrieve.cache_misses(asked, cache, hot_rows).collect()
+    assert sorted(r.query_id for r in missed) == [2, 4, 5, 6]
