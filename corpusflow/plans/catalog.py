@@ -663,9 +663,14 @@ def sanitize_messages(spark, sf):
 def rate_limit_stream(spark, sf):
     """The same decisions from a stream over the events file, written to a table."""
     folder = _new_folder(spark)
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, ROCKSDB)
+    # One state store per core.
+    settings = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism),
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         events = _read(spark, sf, "events")
         files = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet")
@@ -681,7 +686,8 @@ def rate_limit_stream(spark, sf):
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(provider, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.parquet(f"{folder}/decisions").select(
         "request_id", "client", "allowed", "remaining",
         F.unix_micros("reset_at").alias("reset_at_us"), "retry_after",

@@ -7,11 +7,13 @@ denied and change nothing.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -20,6 +22,9 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from corpusflow import config
 from corpusflow.functions import text as t
 
+# The process that prepares a stateful operator on the driver does not see shipped packages.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _MICROS = 1_000_000
 # Before the first request: a window that ended long ago, without requests.
 _CLOSED = (-(2**62), 0)
