@@ -272,7 +272,7 @@ def dedup_chunks(classified: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """
     order = F.struct(*_ORDER)
     own_key = F.unhex(F.sha2(F.concat_ws("/", *_ORDER), 256))
-    passed = F.col("reason").isNull() | (F.col("reason") == LOW_QUALITY)
+    passed = F.coalesce("reason", F.lit(LOW_QUALITY)) == LOW_QUALITY
     texts = (
         classified.where(passed)
         .groupBy(duplicate_key(F.col("content")).alias("_text"))
