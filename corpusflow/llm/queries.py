@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import bpe
+from corpusflow.llm import bpe, language, media, secrets
 
 COUNT_FILE = "byte_bpe_50k.json"
 ENCODE_FILE = "word_bpe_49k.json"
@@ -26,6 +26,33 @@ def n_bytes(text: str = "text"):
     return F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long"))
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored in a media container, inspected, read back and digested."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", n_bytes().alias("n_bytes"))
+    stored = media.store(docs).drop("text")
+    read = media.payload(media.inspect(stored))
+    info = F.col("info")
+    keys = info["keyframes"]
+    ranges = F.transform(keys, lambda k: F.concat_ws("+", k["offset"], k["size"]))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(
+            ";",
+            info["codec"],
+            F.concat_ws("x", info["width"], info["height"]),
+            F.concat(F.lit("samples="), info["n_samples"]),
+            F.concat(F.lit("duration="), F.format_string("%.2f", info["duration_s"])),
+            F.concat(F.lit("keyframes="), F.array_join(ranges, ",")),
+        ).alias("feature"),
+    )
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text; digests of the ids and of the decoded text."""
     path = tokenizer_file(ENCODE_FILE)
@@ -51,10 +78,48 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text: counts of the base kinds, their digest and all spans."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = secrets.scan_secrets(docs).drop("text")
+
+    def of(*kinds: str):
+        return F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+
+    def joined(spans):
+        texts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+        return F.array_join(texts, ",")
+
+    return found.select(
+        "doc_id",
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.BASE_KINDS],
+        F.sha2(joined(of(*secrets.BASE_KINDS)), 256).alias("base_sha256"),
+        joined(F.col("secrets")).alias("spans"),
+    )
+
+
+def language_content(spark: SparkSession, sf_dir: str) -> dict[str, bytes]:
+    """Dictionaries learned from the documents that are not held out."""
+    return language.fit(documents(spark, sf_dir).where(~language.held_out()))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text."""
+    content = language_content(spark, sf_dir)
+    docs = documents(spark, sf_dir).select("doc_id", "text", language.held_out().alias("held_out"))
+    return language.identify(docs, content).select(
+        "doc_id", "held_out", "lang_pred", "score", "rejected"
+    )
+
+
 QUERIES = {
+    "op1_media": op1_media,
     "op3_bpe_codec": op3_bpe_codec,
     "op6_token_counts": op6_token_counts,
+    "op7_secrets": op7_secrets,
+    "op10_language": op10_language,
 }
 
-# No SQL form: byte-pair merges are a sequential greedy process per word.
+# No SQL form: 1 and 10 (binary containers, a compressor), 3 and 6 (byte-pair merges are a
+# sequential process per word), 7 (places of leftmost matches).
 ORACLE_SQL: dict[str, str] = {}
