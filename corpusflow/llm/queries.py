@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import bpe, language, media, secrets
+from corpusflow.llm import bpe, language, media, near, secrets
 
 COUNT_FILE = "byte_bpe_50k.json"
 ENCODE_FILE = "word_bpe_49k.json"
@@ -66,6 +66,12 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate texts: three-word shingles, similarity of 0.85 or more."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return near.near_duplicates(docs, width=3, percent=85)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count of every text, and whether it is over the limit."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -115,6 +121,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_media": op1_media,
     "op3_bpe_codec": op3_bpe_codec,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_token_counts": op6_token_counts,
     "op7_secrets": op7_secrets,
     "op10_language": op10_language,
