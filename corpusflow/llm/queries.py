@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import bpe, language, media, near, secrets
+from corpusflow.llm import bpe, language, media, near, pii, secrets
 
 COUNT_FILE = "byte_bpe_50k.json"
 ENCODE_FILE = "word_bpe_49k.json"
 MAX_TOKENS = 512
+PII_KEY = "a key from the secret store goes here"
 
 
 def tokenizer_file(name: str) -> str:
@@ -104,6 +105,18 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its personal data replaced by pseudonyms of the same format."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    masked = pii.pseudonymize(docs, PII_KEY)
+    return masked.select(
+        "doc_id",
+        F.size("pii").cast("long").alias("n_replaced"),
+        F.array_join("pii", ",").alias("kinds"),
+        "text",
+    )
+
+
 def language_content(spark: SparkSession, sf_dir: str) -> dict[str, bytes]:
     """Dictionaries learned from the documents that are not held out."""
     return language.fit(documents(spark, sf_dir).where(~language.held_out()))
@@ -124,6 +137,7 @@ QUERIES = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_token_counts": op6_token_counts,
     "op7_secrets": op7_secrets,
+    "op9_pii": op9_pii,
     "op10_language": op10_language,
 }
 
