@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import bpe, language, media, near, pii, secrets
+from corpusflow.llm import bpe, decontaminate, language, media, near, pii, quality, secrets
 
 COUNT_FILE = "byte_bpe_50k.json"
 ENCODE_FILE = "word_bpe_49k.json"
@@ -54,6 +54,14 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item in every document: edits, and where its passage begins."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.find_leaks(docs, items).select("doc_id", F.explode("leaks").alias("leak"))
+    return found.select("doc_id", "leak.*")
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text; digests of the ids and of the decoded text."""
     path = tokenizer_file(ENCODE_FILE)
@@ -105,6 +113,13 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text, learned from weak labels of the same texts."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs))
+    return scored.select("doc_id", "n_words", "quality_score", "kept")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with its personal data replaced by pseudonyms of the same format."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -133,10 +148,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_media": op1_media,
+    "op2_decontamination": op2_decontamination,
     "op3_bpe_codec": op3_bpe_codec,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_token_counts": op6_token_counts,
     "op7_secrets": op7_secrets,
+    "op8_quality": op8_quality,
     "op9_pii": op9_pii,
     "op10_language": op10_language,
 }
