@@ -1,13 +1,53 @@
-"""A training corpus from raw documents: the stages of the pipeline, in order."""
+"""A training corpus from raw documents: the stages of the pipeline, in order.
+
+Each stage works on what the one before has kept, and all but the last return the columns of
+``documents``. Rows with a null text have no language and end in the first stage.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import bpe, queries
+from corpusflow.functions.lineage import shared_folder
+from corpusflow.llm import bpe, decontaminate, language, near, pii, queries
 from corpusflow.session import ship_package
 
+# Near duplicates of the pipeline: five-word shingles, similarity of 0.8 or more.
+WIDTH, PERCENT = 5, 80
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is clear; the dictionaries come from the same documents."""
+    ship_package(spark)
+    content = language.fit(docs.where(~language.held_out()))
+    named = language.identify(docs, content, "text", "_pred", "_score", "_rejected")
+    return named.where(~F.col("_rejected")).select(*docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near duplicates."""
+    ship_package(spark)
+    groups = near.near_duplicates(docs.select("doc_id", "text"), width=WIDTH, percent=PERCENT)
+    gone = groups.where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    ship_package(spark)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    checked = decontaminate.find_leaks(docs, items, leaks="_leaks")
+    return checked.where(F.size("_leaks") == 0).select(*docs.columns)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with pseudonyms for personal data; ``n_chars`` follows the new text."""
+    masked = pii.pseudonymize(docs, queries.PII_KEY, found="_pii")
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with a digest of the text that they decode to."""
@@ -23,6 +63,10 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [
+    ("keep_known_languages", keep_known_languages),
+    ("keep_one_of_each_group", keep_one_of_each_group),
+    ("drop_benchmark_leaks", drop_benchmark_leaks),
+    ("mask_personal_data", mask_personal_data),
     ("encode_texts", encode_texts),
 ]
 
@@ -32,9 +76,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each reading what the one before has written."""
-    from corpusflow.functions.lineage import shared_folder
-
-    base = f"{shared_folder(spark)}/pipeline-{spark.sparkContext.applicationId}-{id(object())}"
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{number}-{name}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import bpe, decontaminate, language, media, near, pii, quality, secrets
+from corpusflow.llm import bpe, decontaminate, language, media, near, pii, quality, secrets, substrings
 
 COUNT_FILE = "byte_bpe_50k.json"
 ENCODE_FILE = "word_bpe_49k.json"
@@ -75,6 +75,19 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every text that repeat a string of 100 bytes from earlier on, and what is left."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = substrings.repeated_substrings(docs)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate texts: three-word shingles, similarity of 0.85 or more."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -150,6 +163,7 @@ QUERIES = {
     "op1_media": op1_media,
     "op2_decontamination": op2_decontamination,
     "op3_bpe_codec": op3_bpe_codec,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_token_counts": op6_token_counts,
     "op7_secrets": op7_secrets,
