@@ -21,6 +21,7 @@ Each row is judged by its own text; rows that repeat an id and a text get the sa
 from __future__ import annotations
 
 import hashlib
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField
 
 from corpusflow.functions.lineage import shared_folder
 from corpusflow.llm.bpe import Generations
@@ -38,7 +39,7 @@ from corpusflow.llm.frames import append_columns, list_array, texts_of, without
 COORDINATES = 320
 PLACES = 1 << 20
 MISSED = 1e-5  # highest chance that a pair at the threshold shares no bucket
-BLOCK = 1_000_000  # shingles of a family in one block; a node counts as NODE more
+BLOCK = 400_000  # shingles of a family in one block; a node counts as NODE more
 NODE = 200
 SEED = 20
 
@@ -197,7 +198,7 @@ def near_duplicates(
     shared checkpoint folder.
     """
     spark = docs.sparkSession
-    folder = f"{shared_folder(spark)}/near-{spark.sparkContext.applicationId}-{_number()}"
+    folder = f"{shared_folder(spark)}/near-{uuid.uuid4().hex}"
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
@@ -244,8 +245,10 @@ def near_duplicates(
         ),
     ).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))
     members = (
-        narrow.join(families.select(F.col("node").alias("_id"), "family", "blocks", "_set"), "_id")
-        .withColumn("_block", F.pmod(F.xxhash64("_set"), F.col("blocks")).cast("int"))
+        narrow.join(
+            families.select(F.col("node").alias("_id"), "family", "blocks", "_set").hint("merge"),
+            "_id",
+        ).withColumn("_block", F.pmod(F.xxhash64("_set"), F.col("blocks")).cast("int"))
     )
     members = with_values(members, width).withColumn("_task", F.explode(tasks))
 
@@ -298,8 +301,6 @@ def _with_result(docs: DataFrame, result: DataFrame, text: str, doc_id: str) ->
 
 def with_values(docs: DataFrame, width: int) -> DataFrame:
     """Replaces ``_text`` by ``_values``, the packed set of its shingles."""
-    from pyspark.sql.types import BinaryType
-
     def compute():
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             rows = [shingles(value, width).tobytes() for value in texts_of(batch, "_text")]
@@ -311,8 +312,3 @@ def with_values(docs: DataFrame, width: int) -> DataFrame:
         docs, [StructField("_values", BinaryType())], compute, drop=("_text",)
     )
 
-
-def _number() -> str:
-    import uuid
-
-    return uuid.uuid4().hex[:12]
