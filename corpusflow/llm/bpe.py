@@ -26,12 +26,35 @@ from corpusflow.llm.frames import append_columns, list_array, texts_of
 
 CACHED_WORDS = 400_000
 
+# Letters and numbers that Unicode has had only since version 17, which the
+# tokenizers library does not know yet.
+NEWER_LETTERS = (
+    r"\U00000558-\U00000558\U0000058B-\U0000058C\U0000088F-\U0000088F\U00000C5C-\U00000C5C"
+    r"\U00000CDC-\U00000CDC\U0000208F-\U0000208F\U0000209D-\U0000209F\U0000A7CE-\U0000A7CF"
+    r"\U0000A7D2-\U0000A7D2\U0000A7D4-\U0000A7D4\U0000A7DD-\U0000A7DD\U0000A7E2-\U0000A7E2"
+    r"\U0000A7F1-\U0000A7F1\U0000AB6C-\U0000AB6D\U000107BB-\U000107BF\U00010940-\U00010959"
+    r"\U00010EC5-\U00010EC7\U00010ED9-\U00010EEE\U00011B0A-\U00011B0A\U00011DB0-\U00011DDB"
+    r"\U00011DF1-\U00011DF1\U00016EA0-\U00016EB8\U00016EBB-\U00016ED3\U00016FF2-\U00016FF3"
+    r"\U000187F8-\U000187FF\U00018CD6-\U00018CDA\U00018D09-\U00018D20\U00018D80-\U00018DF2"
+    r"\U00018E00-\U00019191\U000191A0-\U000191D2\U0001B123-\U0001B128\U0001B168-\U0001B168"
+    r"\U0001D6A6-\U0001D6A6\U0001DF1F-\U0001DF24\U0001DF2B-\U0001DF81\U0001DF90-\U0001DF96"
+    r"\U0001DFCD-\U0001DFFF\U0001E6C0-\U0001E6DE\U0001E6E0-\U0001E6E2\U0001E6E4-\U0001E6E5"
+    r"\U0001E6E7-\U0001E6ED\U0001E6F0-\U0001E6F4\U0001E6FE-\U0001E6FF\U0002B73A-\U0002B73F"
+    r"\U0002B81E-\U0002B81E\U0002CEA2-\U0002CEAD\U000323B0-\U00033479\U0003D000-\U0003FC3F"
+)
+NEWER_NUMBERS = (
+    r"\U00011DE0-\U00011DE9\U0001246F-\U0001246F\U00012475-\U0001247F\U00012550-\U00012686"
+    r"\U00016FF4-\U00016FF6"
+)
+LETTER, NUMBER = rf"[\p{{L}}--[{NEWER_LETTERS}]]", rf"[\p{{N}}--[{NEWER_NUMBERS}]]"
+OTHER = rf"[[^\p{{White_Space}}\p{{L}}\p{{N}}]||[{NEWER_LETTERS}{NEWER_NUMBERS}]]"
+
 # How byte-level vocabularies split text and write bytes as characters.
 BYTE_LEVEL = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?{LETTER}+| ?{NUMBER}+| ?{OTHER}+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
+WORD_LEVEL = rf"'s|'t|'re|'ve|'m|'ll|'d|{LETTER}+|{NUMBER}|{OTHER}+"
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
@@ -83,7 +106,9 @@ class Vocabulary:
         self.inner = [self.ids[c] for c in characters]
         self.last = [self.ids[c + self.suffix] for c in characters]
         self.folds = parts["normalizer"] is not None
-        self.pattern = regex.compile(WORD_LEVEL if self.folds else BYTE_LEVEL)
+        self.pattern = regex.compile(
+            WORD_LEVEL if self.folds else BYTE_LEVEL, regex.VERSION1
+        )
         self.cut = regex.compile(
             "(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")"
         )
