@@ -129,5 +129,7 @@ def test_nothing_left_of_planted_values(spark):
     for row in queries.op9_pii(spark, sf_dir).collect():
         old = values.findall(before[row["doc_id"]])
         new = values.findall(row["text"])
-        assert len(old) == len(new) and not set(old) & set(new)
+        # Sixteen digits with a wrong check digit are no card and stay.
+        decoys = {v for v in old if re.fullmatch(r"\d{16}", v) and not luhn(v)}
+        assert len(old) == len(new) and set(old) & set(new) == decoys
         assert values.sub("", before[row["doc_id"]]) == values.sub("", row["text"])
