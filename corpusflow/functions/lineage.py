@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,14 +10,16 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder.
+    """The session's checkpoint folder, ``spark.checkpoint.dir``.
 
-    It is ``spark.checkpoint.dir``; only a session without one (tests, local mode) gets a
-    temporary folder.
+    Only a session on one machine may go without one and gets a temporary folder. On a cluster
+    every executor would write to its own disk, so a missing setting is an error there.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="corpusflow-"))
     return context.getCheckpointDir()
 

@@ -27,11 +27,11 @@ def plan_crawl(
     pages: DataFrame,
     start_url: str,
     force: bool = False,
-    limit: int = config.CRAWL_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """The first ``limit`` of ``urls(ord, url)`` that are not in ``pages`` yet.
+    """The ``urls(ord, url)`` that are not in ``pages`` yet, the first ``limit`` if given.
 
-    URLs are compared without a trailing slash; ``force`` takes them all. With nothing
+    The usual limit of one run is ``config.CRAWL_LIMIT``. URLs are compared without a trailing slash; ``force`` takes them all. With nothing
     left to crawl the result is the start URL.
     """
     todo = urls.select("ord", "url")
@@ -43,18 +43,14 @@ def plan_crawl(
         )
         keyed = todo.withColumn("_key", t.drop_trailing_slash(F.col("url")))
         todo = lookup(keyed, known, "_key").where(F.col("_known").isNull())
-    first = todo.select("ord", "url").orderBy("ord").limit(limit)
+    planned = todo.select("ord", "url")
+    if limit is not None:
+        planned = planned.orderBy("ord").limit(limit)
     fallback = urls.sparkSession.range(1).select(
-        F.lit(None).cast("bigint").alias("ord"), F.lit(start_url).alias("url")
-    )
-    # At most limit + 1 rows from here on.
-    everything = Window.partitionBy(F.lit(0))
-    return (
-        first.union(fallback)
-        .withColumn("_planned", F.count("ord").over(everything))
-        .where(F.col("ord").isNotNull() | (F.col("_planned") == 0))
-        .select("ord", "url")
+        F.lit(None).cast("bigint").alias("ord"), F.lit(start_url).alias("url"), F.lit(1).alias("_any")
     )
+    any_planned = planned.select(F.lit(1).alias("_any")).limit(1)
+    return planned.union(fallback.join(any_planned, "_any", "left_anti").select("ord", "url"))
 
 
 def tag_special_pages(urls: DataFrame, patterns: Iterable[str]) -> DataFrame:

@@ -341,6 +341,13 @@ def plan_crawl(spark, sf):
     return pages.plan_crawl(stripped, crawled, SITE.start_url)
 
 
+def plan_crawl_limited(spark, sf):
+    """A limit that cuts at every size."""
+    stripped = page_urls(spark, sf).withColumn("url", F.regexp_replace("url", r"[?#].*$", ""))
+    crawled = page_urls(spark, sf).select(F.col("url").alias("source_url"))
+    return pages.plan_crawl(stripped, crawled, SITE.start_url, limit=20)
+
+
 def tag_special_pages(spark, sf):
     return pages.tag_special_pages(page_urls(spark, sf), SPECIAL_PATTERNS)
 
@@ -790,15 +797,51 @@ def answers_from_json(spark, sf):
     return tables.answers_from_json(objects.select(F.col("json").alias("value")))
 
 
+def read_pages(spark, sf):
+    """Pages written as JSON lines, and read back; the order of files is not that of pages."""
+    path = _new_folder(spark)
+    tables.write_table(document_pages(spark, sf).drop("page_ord"), path, "json")
+    return tables.read_pages(spark, path).select(
+        "source_url", "title", _section_list("sections").alias("sections")
+    )
+
+
+def read_urls(spark, sf):
+    """URLs written as JSON arrays of fifty, a file each, and read back."""
+    path = _new_folder(spark)
+    arrays = (
+        page_urls(spark, sf)
+        .groupBy(F.floor(F.col("ord") / 50).alias("file_ord"))
+        .agg(F.array_sort(F.collect_list(F.struct("ord", "url"))).alias("rows"))
+        .select(F.to_json(F.col("rows.url")).alias("value"))
+    )
+    arrays.repartition(F.xxhash64("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return tables.read_urls(spark, path).select("url")
+
+
+def read_chunks(spark, sf):
+    path = _new_folder(spark)
+    columns = ["id", "content", "source_url", "title", "section", "chunk_index"]
+    tables.write_table(document_chunks(spark, sf).select(*columns), path, "json")
+    return tables.read_chunks(spark, path).select(*columns)
+
+
+def read_answer_cache(spark, sf):
+    path = _new_folder(spark)
+    tables.write_answer_cache(_answers(spark, sf), path)
+    return tables.read_answer_cache(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         pages_from_json, urls_from_json, chunks_from_json, answers_from_json,
+        read_pages, read_urls, read_chunks, read_answer_cache,
         answer_cache_objects,
         sitemap_locs, expand_sitemaps, page_links, normalize_urls, exclude_system_urls,
         exclude_crawl_urls, allow_domains, dedup_urls, drop_variant_urls, union_urls,
         url_summary, page_type_coverage, discover_urls,
-        plan_crawl, tag_special_pages, best_attempt, pages_to_markdown, extract_sections,
+        plan_crawl, plan_crawl_limited, tag_special_pages, best_attempt, pages_to_markdown, extract_sections,
         extract_content_sections, page_sections, upsert_pages, upsert_page_batches, page_stats, crawl_outcome,
         clean_sections, make_chunks, classify_chunks, dedup_chunks, keep_first_chunks,
         cleaning_report, build_chunks,

@@ -723,11 +723,24 @@ ORACLE_SQL: dict[str, str] = {
         SELECT text AS question, 'Answer "' || max(item_id) || '"' AS answer
         FROM benchmark GROUP BY text""",
     "answer_cache_objects": """
-        SELECT item_id // 25 AS part, count(*)::INT AS n,
+        SELECT place // 25 AS part, count(*)::INT AS n,
           '{' || string_agg(to_json(text) || ':' || to_json({'answer': 'Answer "' || item_id || '"'}),
             ',' ORDER BY text) || '}' AS json
-        FROM (SELECT text, max(item_id) AS item_id FROM benchmark GROUP BY text)
-        GROUP BY item_id // 25""",
+        FROM (SELECT text, max(item_id) AS item_id,
+            row_number() OVER (ORDER BY max(item_id)) - 1 AS place FROM benchmark GROUP BY text)
+        GROUP BY place // 25""",
+    "read_pages": """
+        WITH lines AS (
+          SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line,
+            generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)
+        SELECT source AS source_url, lang AS title,
+          string_agg(' Part ' || pos || '|' || line, chr(10) ORDER BY pos) AS sections
+        FROM lines GROUP BY doc_id, source, lang""",
+    "read_urls": "SELECT url FROM pages",
+    "read_chunks": f"SELECT * EXCLUDE (page_ord) FROM ({_DOC_CHUNKS})",
+    "read_answer_cache": """
+        SELECT text AS question, 'Answer "' || max(item_id) || '"' AS answer
+        FROM benchmark GROUP BY text""",
     # URLs
     "sitemap_locs": f"WITH {_SITEMAPS} SELECT * FROM locs WHERE kind IS NOT NULL",
     "expand_sitemaps": f"""
@@ -787,7 +800,12 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id AS ord, regexp_replace(url, '[?#].*$', '') AS url FROM pages
         WHERE regexp_replace(regexp_replace(url, '[?#].*$', ''), '/$', '')
           NOT IN (SELECT regexp_replace(url, '/$', '') FROM pages)
-        ORDER BY ord LIMIT 450""",
+        ORDER BY ord""",
+    "plan_crawl_limited": r"""
+        SELECT page_id AS ord, regexp_replace(url, '[?#].*$', '') AS url FROM pages
+        WHERE regexp_replace(regexp_replace(url, '[?#].*$', ''), '/$', '')
+          NOT IN (SELECT regexp_replace(url, '/$', '') FROM pages)
+        ORDER BY ord LIMIT 20""",
     "tag_special_pages": r"""
         SELECT page_id AS ord, url, regexp_matches(regexp_replace(lower(url), '/$', ''),
           'page=\d+|^https://blog\.') AS needs_load_more FROM pages""",

@@ -1,12 +1,12 @@
 """Reading and writing the corpus tables.
 
-JSON array files (one array per file) are supported for exchange; between jobs the tables
-are Parquet.
+JSON files are for exchange: one array per file, or one object per line, at most 2 GB a
+file as each is parsed as a whole. Malformed files are errors. Between jobs tables are Parquet.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -44,11 +44,31 @@ def _read_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _array_items(files: DataFrame, item: str) -> DataFrame:
-    """``(ord, item)`` per element of JSON arrays; ``ord`` follows file, then position."""
-    return files.select(
-        "file_ord", F.posexplode(F.from_json("value", f"array<{item}>"))
-    ).select(
+def _items(files: DataFrame, item: str, field: str | None = None) -> DataFrame:
+    """``(ord, item)`` per element; ``ord`` follows file, then position.
+
+    A file holds one JSON array or, as ``write_table`` makes them, one JSON object per line,
+    where ``field`` stands for the element if given. Anything malformed raises.
+    """
+    strict = {"mode": "FAILFAST"}
+    line_type = f"struct<{field}: {item}>" if field else item
+    is_array = F.ltrim("value").startswith("[")
+    lines = F.filter(F.split("value", "\r?\n"), lambda line: F.trim(line) != "")
+    # The parser ends with the first array of a text; strings hold no line ends.
+    several = F.col("value").rlike(r"\]\s*\n\s*\[")
+    value = F.when(
+        is_array & several, F.raise_error(F.lit("malformed file: more than one array"))
+    ).otherwise(F.col("value"))
+    rows = files.select("file_ord", value.alias("value"), is_array.alias("is_array"))
+    arrays = rows.where("is_array").select(
+        "file_ord", F.posexplode(F.from_json("value", f"array<{item}>", strict))
+    )
+    objects = rows.where("not is_array").select("file_ord", F.posexplode(lines))
+    element = F.from_json("col", line_type, strict)
+    parsed = objects.select(
+        "file_ord", "pos", (element[field] if field else element).alias("col")
+    )
+    return arrays.unionByName(parsed).select(
         (F.shiftleft("file_ord", 32) + F.col("pos")).alias("ord"), F.col("col").alias("item")
     )
 
@@ -58,52 +78,57 @@ def _struct(schema: str) -> str:
 
 
 def pages_from_json(files: DataFrame) -> DataFrame:
-    """Ingested pages from ``files(file_ord, value)`` holding JSON arrays of pages."""
-    return _array_items(files, _struct(PAGE_SCHEMA)).select(
+    """Ingested pages from ``files(file_ord, value)`` holding JSON arrays or lines of pages."""
+    return _items(files, _struct(PAGE_SCHEMA)).select(
         F.col("ord").alias("page_ord"), "item.*"
     )
 
 
 def urls_from_json(files: DataFrame) -> DataFrame:
-    """``(ord, url)`` from JSON arrays of strings."""
-    return _array_items(files, "string").select("ord", F.col("item").alias("url"))
+    """``(ord, url)`` from JSON arrays of strings, or lines of objects with a ``url``."""
+    return _items(files, "string", "url").select(
+        "ord", F.col("item").alias("url")
+    )
 
 
 def chunks_from_json(files: DataFrame) -> DataFrame:
-    """Chunks from JSON arrays.
+    """Chunks from JSON arrays or lines.
 
-    The exchange format has no page and section order; the array position is kept as
+    The exchange format has no page and section order; the position is kept as
     ``page_ord`` with ``section_index`` 0.
     """
-    return _array_items(files, _struct(CHUNK_SCHEMA)).select(
+    return _items(files, _struct(CHUNK_SCHEMA)).select(
         "item.*", F.col("ord").alias("page_ord"), F.lit(0).alias("section_index")
     )
 
 
 def answers_from_json(objects: DataFrame) -> DataFrame:
-    """``(question, answer)`` from JSON objects ``{question: {"answer": ...}}``."""
-    entries = F.from_json("value", "map<string, struct<answer: string>>")
+    """``(question, answer)`` from JSON objects ``{question: {"answer": ...}}``.
+
+    A malformed object raises.
+    """
+    entries = F.from_json("value", "map<string, struct<answer: string>>", {"mode": "FAILFAST"})
     return objects.select(F.explode(entries)).select(
         F.col("key").alias("question"), F.col("value.answer").alias("answer")
     )
 
 
 def read_pages(spark: SparkSession, path: str, format: str = "json") -> DataFrame:
-    """Ingested pages with ``page_ord``, from JSON array files or a stored table."""
+    """Ingested pages with ``page_ord``, from JSON files or a stored table."""
     if format != "json":
         return spark.read.format(format).load(path)
     return pages_from_json(_read_files(spark, path))
 
 
 def read_urls(spark: SparkSession, path: str, format: str = "json") -> DataFrame:
-    """``(ord, url)`` from JSON array files or a stored table."""
+    """``(ord, url)`` from JSON files or a stored table."""
     if format != "json":
         return spark.read.format(format).load(path)
     return urls_from_json(_read_files(spark, path))
 
 
 def read_chunks(spark: SparkSession, path: str, format: str = "json") -> DataFrame:
-    """Chunks from JSON array files or a stored table."""
+    """Chunks from JSON files or a stored table."""
     if format != "json":
         return spark.read.format(format).load(path)
     return chunks_from_json(_read_files(spark, path))
@@ -116,18 +141,25 @@ def read_answer_cache(spark: SparkSession, path: str) -> DataFrame:
     return answers_from_json(spark.read.text(path, wholetext=True))
 
 
-def answer_cache_objects(answers: DataFrame, entries_per_object: int = 10000) -> DataFrame:
+def answer_cache_objects(
+    answers: DataFrame, entries_per_object: int | None = None
+) -> DataFrame:
     """``answers(ord, question, answer)`` as ``(part, n, json)`` cache objects.
 
-    A question has one answer, its last. Small caches are one object; larger ones are cut
-    by ``ord`` so that no object grows with the table.
+    A question has one answer, its last. By default the cache is one object, as its reader in
+    the browser wants it; ``entries_per_object`` cuts a large one by counted position.
     """
     latest = answers.groupBy("question").agg(
         F.max("ord").alias("ord"), F.max_by("answer", "ord").alias("answer")
     )
     entry = F.struct("question", F.struct("answer").alias("value"))
+    part = F.lit(0).cast("long")
+    if entries_per_object is not None:
+        # Numbered along ranges of ord: rows per range are counted, no task sees them all.
+        latest = _numbered(latest, "ord")
+        part = F.floor(F.col("_number") / entries_per_object)
     return (
-        latest.groupBy(F.floor(F.col("ord") / entries_per_object).alias("part"))
+        latest.groupBy(part.alias("part"))
         .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
         .select(
             "part",
@@ -137,8 +169,25 @@ def answer_cache_objects(answers: DataFrame, entries_per_object: int = 10000) ->
     )
 
 
-def write_answer_cache(answers: DataFrame, path: str, entries_per_object: int = 10000) -> None:
-    """Write cache objects, one per line; ``read_answer_cache`` reads single-object files."""
+def _numbered(df: DataFrame, order: str, block: int = 4096) -> DataFrame:
+    """``df`` with ``_number``, its position by ``order`` (an integer column without ties)."""
+    blocked = df.withColumn("_block", F.floor(F.col(order) / block))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        blocked.groupBy("_block")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    )
+    inside = Window.partitionBy("_block").orderBy(order)
+    return blocked.join(starts, "_block").withColumn(
+        "_number", F.col("_start") + F.row_number().over(inside) - 1
+    )
+
+
+def write_answer_cache(
+    answers: DataFrame, path: str, entries_per_object: int | None = None
+) -> None:
+    """Write cache objects, one per file."""
     objects = answer_cache_objects(answers, entries_per_object)
     objects.select("json").repartition(F.xxhash64("json")).write.option(
         "maxRecordsPerFile", 1

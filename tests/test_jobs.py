@@ -78,6 +78,66 @@ def test_json_sources(spark, tmp_path):
     assert (chunk.id, chunk.chunk_index, chunk.page_ord) == ("i", 3, 0)
 
 
+def test_json_lines_and_arrays_keep_every_row(spark, tmp_path):
+    page = ("u", None, [("a", "b")])
+    df = spark.createDataFrame(
+        [page] * 200,
+        "source_url string, title string, "
+        "sections array<struct<section_title: string, text: string>>",
+    )
+    path = str(tmp_path / "lines")
+    tables.write_table(df.repartition(4), path, "json")
+    back = tables.read_pages(spark, path)
+    assert back.count() == 200 and back.select("page_ord").distinct().count() == 200
+    urls = spark.createDataFrame([(k, f"u{k}") for k in range(50)], "ord bigint, url string")
+    tables.write_table(urls, str(tmp_path / "urls"), "json")
+    assert {r.url for r in tables.read_urls(spark, str(tmp_path / "urls")).collect()} == {
+        f"u{k}" for k in range(50)
+    }
+    (tmp_path / "mixed").mkdir()
+    (tmp_path / "mixed" / "a.json").write_text(json.dumps(["x", "y"]))
+    (tmp_path / "mixed" / "b.json").write_text(json.dumps({"url": "z"}) + "\n\n")
+    rows = tables.read_urls(spark, str(tmp_path / "mixed")).orderBy("ord").collect()
+    assert [r.url for r in rows] == ["x", "y", "z"]
+
+
+@pytest.mark.parametrize("text", ['["a", "b"', '["a"]\n["b"]', '{"url": "a"}\n{"url": ', "a"])
+def test_malformed_json_raises(spark, tmp_path, text):
+    (tmp_path / "good.json").write_text(json.dumps(["a"]))
+    (tmp_path / "bad.json").write_text(text)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tables.read_urls(spark, str(tmp_path)).collect()
+
+
+def test_malformed_answer_cache_raises(spark, tmp_path):
+    (tmp_path / "cache.json").write_text('{"q": {"answer": "a"}, ')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tables.read_answer_cache(spark, str(tmp_path)).collect()
+
+
+def test_cluster_without_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from corpusflow.functions.lineage import shared_folder
+
+    def session(master, configured=None):
+        made = []
+        context = SimpleNamespace(
+            master=master,
+            getCheckpointDir=lambda: made[-1] if made else None,
+            setCheckpointDir=made.append,
+        )
+        return SimpleNamespace(
+            sparkContext=context, conf=SimpleNamespace(get=lambda key, default: configured)
+        )
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(session(master))
+        assert shared_folder(session(master, "hdfs://x")) == "hdfs://x"
+    assert shared_folder(session("local[4]")) and shared_folder(session("local"))
+
+
 def test_answer_cache(spark, tmp_path):
     path = str(tmp_path / "cache")
     assert tables.read_answer_cache(spark, path).count() == 0
@@ -87,7 +147,7 @@ def test_answer_cache(spark, tmp_path):
     )
     row = tables.answer_cache_objects(answers).first()
     assert json.loads(row.json) == {"q0": {"answer": "new"}, "q1": {"answer": 'a "b"\nø'}}
-    for size in (10, 1):
+    for size in (None, 10, 1):
         tables.write_answer_cache(answers, path, size)
         got = {tuple(r) for r in tables.read_answer_cache(spark, path).collect()}
         assert got == {("q0", "new"), ("q1", 'a "b"\nø')}
@@ -173,6 +233,6 @@ def test_registered_queries_match_sql(spark, name):
 def test_every_query_is_registered_with_sql():
     import __spark_entry__ as entry
 
-    rows_only = set(entry.queries()) - set(entry.oracle_sql())
+    rows_only = set(entry.queries()) - set(entry.oracle_sql()) - set(entry.LLM_QUERIES)
     assert rows_only == {"approx_match_documents", "approx_recall"}
     assert set(entry.oracle_sql()) <= set(entry.queries())
