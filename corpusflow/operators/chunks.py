@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from corpusflow import config
 from corpusflow.config import ChunkRules, ChunkSizes
 from corpusflow.functions import text as t
-from corpusflow.functions.lineage import HOT_ROWS, lookup
+from corpusflow.functions.lineage import HOT_ROWS, lookup, stored
 
 NAVIGATION = "navigation/UI"
 CONSENT = "consent/legal"
@@ -265,37 +265,52 @@ def dedup_chunks(classified: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Set ``reason`` to ``duplicate`` where an earlier kept chunk has the same text.
 
     Only kept chunks make later ones duplicates, and being a duplicate is tested before
-    low quality. The first kept position per text is an aggregate with map-side combine,
-    so copies collapse before the shuffle, and is looked up by the rows afterwards; texts
-    with more than ``hot_rows`` copies by broadcast. Rejected rows get a key of their own.
-    The input is read twice, so store the classified chunks of a large corpus first.
+    low quality. Chunks are stored once with their digest and position in the shared folder
+    (a job runs here), so rules and digests are evaluated once. The first kept position per
+    text is a hash aggregate over those two narrow columns, combined before the shuffle, and
+    is looked up by the rows afterwards; texts with more than ``hot_rows`` copies by
+    broadcast. Rejected rows get a key of their own.
     """
-    order = F.struct(*_ORDER)
     own_key = F.unhex(F.sha2(F.concat_ws("/", *_ORDER), 256))
     passed = F.coalesce("reason", F.lit(LOW_QUALITY)) == LOW_QUALITY
+    keyed = stored(
+        classified.withColumns(
+            {
+                "_passed": passed,
+                "_text": F.when(passed, duplicate_key(F.col("content"))).otherwise(own_key),
+                "_place": _place(),
+            }
+        )
+    )
     texts = (
-        classified.where(passed)
-        .groupBy(duplicate_key(F.col("content")).alias("_text"))
+        keyed.where("_passed")
+        .groupBy("_text")
         .agg(
-            F.min(F.when(F.col("reason").isNull(), order)).alias("_first"),
+            F.min(F.when(F.col("reason").isNull(), F.col("_place"))).alias("_first"),
             F.count(F.lit(1)).alias("_n"),
         )
     )
     firsts = texts.select("_text", "_first")
     hot = texts.where(F.col("_n") > hot_rows).select("_text", "_first")
-    keyed = classified.withColumn(
-        "_text", F.when(passed, duplicate_key(F.col("content"))).otherwise(own_key)
-    )
     return (
         lookup(keyed, firsts, "_text", hot, own_key)
         .withColumn(
             "reason",
-            F.when(passed & (F.col("_first") < order), DUPLICATE).otherwise(F.col("reason")),
+            F.when(F.col("_passed") & (F.col("_first") < F.col("_place")), DUPLICATE).otherwise(
+                F.col("reason")
+            ),
         )
         .select(*classified.columns)
     )
 
 
+def _place() -> Column:
+    """The position of a chunk as one number of fixed width, for hash aggregates."""
+    page, section, chunk = (F.col(name).cast("decimal(38,0)") for name in _ORDER)
+    block = F.lit(2**31).cast("decimal(10,0)")  # 63 + 31 + 31 bits fit 38 digits
+    return ((page * block + section) * block + chunk).cast("decimal(38,0)")
+
+
 def keep_first_chunks(classified: DataFrame) -> DataFrame:
     """The kept chunks only: the first of each text among those no rule rejects.
 
