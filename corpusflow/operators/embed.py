@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 from corpusflow import config
 
+# Pages whose chunks are embedded in one sequence of calls.
+PAGE_BLOCK = 4096
+
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
@@ -23,9 +26,10 @@ def embed_chunks(
 ) -> DataFrame:
     """Add ``embedding`` and ``error``.
 
-    Texts are sent to ``embedder`` in calls of ``batch_size``. A call that raises, or that
-    returns a different number of vectors, marks the rows of that batch and the job goes
-    on.
+    Texts are sent to ``embedder`` in calls of ``batch_size``, in corpus order. Which rows
+    share a call follows from their keys alone: calls begin anew every ``PAGE_BLOCK`` pages,
+    so partitions, retries and other pages change nothing. A call that raises, or that returns
+    a different number of vectors, marks the rows of that batch and the job goes on.
     """
     def call(texts: list[str]) -> tuple[list, list]:
         try:
@@ -53,12 +57,15 @@ def embed_chunks(
         rest: pd.DataFrame | None = None
         for batch in batches:
             rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            whole = len(rows) - len(rows) % batch_size
-            if whole:
-                yield embed(rows.iloc[:whole])
-            rest = rows.iloc[whole:]
+            blocks = rows["_block"].to_numpy()
+            starts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1), len(rows)]
+            for low, high in zip(starts, starts[1:], strict=False):
+                open_end = (high - low) % batch_size if high == len(rows) else 0
+                if high - open_end > low:
+                    yield embed(rows.iloc[low:high - open_end].drop(columns="_block"))
+                rest = rows.iloc[high - open_end:]
         if rest is not None and len(rest):
-            yield embed(rest)
+            yield embed(rest.drop(columns="_block"))
 
     schema = T.StructType(
         [
@@ -67,7 +74,12 @@ def embed_chunks(
             T.StructField("error", T.StringType()),
         ]
     )
-    return chunks.mapInPandas(run, schema)
+    return (
+        chunks.withColumn("_block", F.floor(F.col("page_ord") / PAGE_BLOCK))
+        .repartition("_block")
+        .sortWithinPartitions("_block", "page_ord", "section_index", "chunk_index")
+        .mapInPandas(run, schema)
+    )
 
 
 def hashing_embedder(dim: int = 64) -> Embedder:

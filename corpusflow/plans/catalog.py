@@ -47,6 +47,8 @@ SYSTEM = "Answer from the context only."
 K, THRESHOLD = 12, 0.25
 CONTEXT_TOKENS, HISTORY_TOKENS = 400, 200
 RATE, WINDOW_SECONDS = 3, 86400
+# Calls of this size mostly succeed where a few texts hold a mail address.
+BATCH = 20
 
 # Tables with long texts, and the column to spread them by when they are small.
 _SPREAD = {"documents": "doc_id", "pages": "page_id"}
@@ -485,13 +487,13 @@ def embed_chunks(spark, sf):
 
 def embed_summary(spark, sf):
     return embed.embed_summary(
-        embed.embed_chunks(document_chunks(spark, sf), vowel_counts_without_mail, batch_size=1)
+        embed.embed_chunks(document_chunks(spark, sf), vowel_counts_without_mail, BATCH)
     )
 
 
 def first_errors(spark, sf):
     return embed.first_errors(
-        embed.embed_chunks(document_chunks(spark, sf), vowel_counts_without_mail, batch_size=1)
+        embed.embed_chunks(document_chunks(spark, sf), vowel_counts_without_mail, BATCH)
     )
 
 
@@ -499,7 +501,7 @@ def load_documents(spark, sf):
     """The index refreshed twice; the second load replaces the first."""
     table = f"{_new_folder(spark)}/index"
     embedded = embed.embed_chunks(
-        document_chunks(spark, sf), vowel_counts_without_mail, batch_size=1
+        document_chunks(spark, sf), vowel_counts_without_mail, BATCH
     )
     tables.load_documents(embedded, table)
     replaced = tables.load_documents(embedded, table)

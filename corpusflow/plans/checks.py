@@ -704,6 +704,17 @@ _MARKED = _replace(
 )
 
 
+# A call of the embedding job fails as a whole; calls begin anew every 4096 pages.
+_BATCHES = f"""
+numbered AS (
+  SELECT *, doc_id // 4096 AS block,
+    (row_number() OVER (PARTITION BY doc_id // 4096 ORDER BY doc_id) - 1) // {c.BATCH} AS call
+  FROM documents),
+batches AS (
+  SELECT *, bool_or(contains(text, '@')) OVER (PARTITION BY block, call) AS failed FROM numbered)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     # tables
     "pages_from_json": """
@@ -882,16 +893,19 @@ ORACLE_SQL: dict[str, str] = {
             f"(length(content) - length(replace(content, '{v}', '')))" for v in "aeiou")}
           AS vector, NULL::VARCHAR AS error
         FROM ({_DOC_CHUNKS})""",
-    "embed_summary": """
-        SELECT count(*) AS total, count(*) FILTER (NOT contains(text, '@')) AS succeeded,
-          count(*) FILTER (contains(text, '@')) AS failed FROM documents""",
-    "first_errors": """
-        SELECT 'doc-' || doc_id AS id, 'mail address' AS error FROM documents
-        WHERE contains(text, '@') ORDER BY doc_id LIMIT 10""",
-    "load_documents": """
+    "embed_summary": f"""
+        WITH {_BATCHES}
+        SELECT count(*) AS total, count(*) FILTER (NOT failed) AS succeeded,
+          count(*) FILTER (failed) AS failed FROM batches""",
+    "first_errors": f"""
+        WITH {_BATCHES}
+        SELECT 'doc-' || doc_id AS id, 'mail address' AS error FROM batches
+        WHERE failed ORDER BY doc_id LIMIT 10""",
+    "load_documents": f"""
+        WITH {_BATCHES}
         SELECT text AS content, source AS source_url, lang AS title, source AS section,
           count(*) OVER () AS replaced
-        FROM documents WHERE NOT contains(text, '@')""",
+        FROM batches WHERE NOT failed""",
     # retrieval
     "match_documents": f"""
         WITH {_MATCHES} SELECT * EXCLUDE (sim), round(sim, 6) AS similarity FROM matches""",

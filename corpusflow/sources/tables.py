@@ -236,11 +236,11 @@ def replace_table(df: DataFrame, path: str) -> int:
 def load_documents(embedded: DataFrame, path: str) -> int:
     """Full refresh of the document index from embedded chunks.
 
-    Rows without a vector are left out; ``id`` is a new number, the chunk's own id and
-    index are not stored. Returns the old row count.
+    Rows without a vector are left out; ``id`` is a new number, unique by partition and row
+    (with gaps); the chunk's own id and index are not stored. Returns the old row count.
     """
     rows = embedded.where(F.col("embedding").isNotNull()).select(
-        F.xxhash64("page_ord", "section_index", "chunk_index").alias("id"),
+        F.monotonically_increasing_id().alias("id"),
         "content", "embedding", "source_url", "title", "section",
         F.current_timestamp().alias("created_at"),
     )

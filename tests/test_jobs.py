@@ -36,7 +36,8 @@ def test_embedding_batches(spark, n):
     assert calls.value == -(-n // 100)
 
 
-def test_failing_batches_are_marked(spark):
+@pytest.mark.parametrize("parts", [1, 4, 16])
+def test_failing_batches_are_marked(spark, parts):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         def model(texts):
@@ -44,8 +45,7 @@ def test_failing_batches_are_marked(spark):
                 raise RuntimeError("no service")
             return [[1.0]] * (len(texts) - ("text 25" in texts))
 
-        ordered = chunk_rows(spark, 30).coalesce(1).sortWithinPartitions("page_ord")
-        df = embed.embed_chunks(ordered, model, batch_size=10)
+        df = embed.embed_chunks(chunk_rows(spark, 30, parts), model, batch_size=10)
         errors = {r.page_ord: r.error for r in df.collect()}
         summary, first = tuple(embed.embed_summary(df).first()), embed.first_errors(df).collect()
     finally:
