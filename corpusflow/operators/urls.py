@@ -150,40 +150,86 @@ def expand_sitemaps(
 
 # -- links, filters, dedup -------------------------------------------------------------
 
+# Entities decoded in link targets; the ampersand comes last.
+_LINK_ENTITIES = (
+    ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"),
+    ("&gt;", ">"), ("&#38;", "&"), ("&amp;", "&"),
+)
+
 
 def page_links(pages: DataFrame) -> DataFrame:
     """Outgoing links of ``pages(url, html)`` as ``(url, link)``, one row per anchor.
 
-    Relative targets are resolved against the page origin; fragments and script or mail
-    targets are no pages and are dropped.
+    Targets may be quoted or not; entities in them are decoded. Relative ones are resolved
+    against the page's own path, or the page's ``<base>``, with ``.`` and ``..`` folded.
+    Fragments, empty, script and mail targets are no pages and are dropped.
     """
-    href = t.trim_ws(F.col("href"))
-    origin = F.regexp_extract("url", r"\A(https?://[^/?#]+)", 1)
+    attribute = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)"""
+    hrefs = F.regexp_extract_all("html", F.lit(rf"(?i)<a\s(?:[^>]*?\s)?href{attribute}"), F.lit(1))
+    base = _target(F.regexp_extract("html", rf"(?i)<base\s(?:[^>]*?\s)?href{attribute}", 1))
+    start = t.let(
+        base, lambda b: F.when(b == "", F.col("url")).otherwise(_resolved(b, F.col("url")))
+    )
+    # Everything is bound once per page or target, and the rows begin with the finished links.
+    links = t.let(
+        start,
+        lambda b: F.transform(hrefs, lambda href: t.let(_target(href), lambda h: _resolved(h, b))),
+    )
+    return pages.select("url", F.explode(links).alias("link")).where(F.col("link").isNotNull())
+
+
+def _target(attribute: Column) -> Column:
+    """Value of an attribute, without its quotes and with its entities decoded."""
+    value = t.trim_ws(F.regexp_replace(attribute, r"""\A["']|["']\z""", ""))
+    for entity, character in _LINK_ENTITIES:
+        value = F.replace(value, F.lit(entity), F.lit(character))
+    return value
+
+
+def _resolved(href: Column, base: Column) -> Column:
+    """``href`` as an absolute address, NULL where it is no page."""
+    origin = F.regexp_extract(base, r"\A(https?://[^/?#]+)", 1)
+    path = F.regexp_extract(base, r"\Ahttps?://[^/?#]+([^?#]*)", 1)
+    folder = F.regexp_replace(path, r"[^/]*\z", "")
+    folder = F.when(folder == "", "/").otherwise(folder)
+    rooted = F.when(F.startswith(href, F.lit("/")), href).otherwise(F.concat(folder, href))
     return (
-        pages.select(
-            "url",
-            F.explode(
-                F.regexp_extract_all(
-                    "html", F.lit(r"(?i)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1)
-                )
-            ).alias("href"),
+        F.when(href.rlike(r"(?i)\Ahttps?://"), href)
+        .when(
+            F.startswith(href, F.lit("//")),
+            F.concat(F.regexp_extract(base, r"\A(https?:)", 1), href),
         )
-        .select(
-            "url",
-            F.when(href.rlike(r"(?i)\Ahttps?://"), href)
-            .when(
-                F.startswith(href, F.lit("//")),
-                F.concat(F.regexp_extract("url", r"\A(https?:)", 1), href),
-            )
-            .when(F.startswith(href, F.lit("/")), F.concat(origin, href))
-            .when((href == "") | href.rlike(r"(?i)\A(#|[a-z][a-z0-9+.-]*:)"), None)
-            .otherwise(F.concat(origin, F.lit("/"), href))
-            .alias("link"),
-        )
-        .where(F.col("link").isNotNull())
+        .when((href == "") | href.rlike(r"(?i)\A(#|[a-z][a-z0-9+.-]*:)"), None)
+        .when(F.startswith(href, F.lit("?")), F.concat(origin, path, href))
+        .otherwise(F.concat(origin, _folded(rooted)))
     )
 
 
+def _folded(target: Column) -> Column:
+    """A rooted path with ``.`` and ``..`` taken out; query and fragment stay."""
+    return t.let(target, _folded_path)
+
+
+def _folded_path(target: Column) -> Column:
+    path = F.regexp_extract(target, r"\A[^?#]*", 0)
+    rest = F.substr(target, F.length(path) + 1)
+
+    def fold(kept: Column, part: Column) -> Column:
+        shorter = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+        return (
+            F.when(part == "..", shorter)
+            .when(part == ".", kept)
+            .otherwise(F.concat(kept, F.array(part)))
+        )
+
+    parts = F.slice(F.split(path, "/"), 2, F.size(F.split(path, "/")))
+    folded = F.aggregate(parts, F.array().cast("array<string>"), fold)
+    # A path that ends with a dot segment names a folder.
+    end = F.when(path.rlike(r"/\.\.?\z") & (F.size(folded) > 0), "/").otherwise("")
+    plain = F.concat(F.lit("/"), F.array_join(folded, "/"), end, rest)
+    return F.when(path.rlike(r"/\.\.?(/|\z)"), plain).otherwise(target)
+
+
 def normalize_urls(urls: DataFrame, allowed_domains: tuple[str, ...]) -> DataFrame:
     """Add ``normalized`` and ``canonical`` forms."""
     return urls.withColumns(

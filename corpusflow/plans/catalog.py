@@ -77,6 +77,15 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
     return urls.page_links(_read(spark, sf, "pages").select("url", "html"))
 
 
+def page_links_relative(spark: SparkSession, sf: str) -> DataFrame:
+    """The same pages with relative, unquoted and encoded targets."""
+    html = F.col("html")
+    for old, new in (('href="/t', 'href="../t'), ('href="/a', "href='./a"), ('href="/e', 'href="?e=1&amp;x=')):
+        html = F.replace(html, F.lit(old), F.lit(new))
+    html = F.regexp_replace(html, r"""href='(\./[^"]*)\"""", "href='$1'")
+    return urls.page_links(_read(spark, sf, "pages").select("url", html.alias("html")))
+
+
 def all_urls(spark: SparkSession, sf: str) -> DataFrame:
     """Page URLs and link targets, with repeats."""
     links = page_links(spark, sf).select(F.col("link").alias("url"))
@@ -840,7 +849,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         pages_from_json, urls_from_json, chunks_from_json, answers_from_json,
         read_pages, read_urls, read_chunks, read_answer_cache,
         answer_cache_objects,
-        sitemap_locs, expand_sitemaps, page_links, normalize_urls, exclude_system_urls,
+        sitemap_locs, expand_sitemaps, page_links, page_links_relative, normalize_urls, exclude_system_urls,
         exclude_crawl_urls, allow_domains, dedup_urls, drop_variant_urls, union_urls,
         url_summary, page_type_coverage, discover_urls,
         plan_crawl, plan_crawl_limited, tag_special_pages, best_attempt, pages_to_markdown, extract_sections,

@@ -766,6 +766,22 @@ ORACLE_SQL: dict[str, str] = {
           WHERE l.kind = 'sitemap' AND w.depth < 3)
         SELECT DISTINCT loc AS url FROM locs
         WHERE kind = 'url' AND sitemap_url IN (SELECT sitemap_url FROM walk)""",
+    "page_links_relative": r"""
+        WITH hrefs AS (
+          SELECT url, trim(unnest(regexp_extract_all(
+            html, '<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1))) AS href FROM pages),
+        parts AS (
+          SELECT url, href, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin,
+            regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM hrefs)
+        SELECT url, CASE
+          WHEN href LIKE '/t%' THEN origin
+            || coalesce(nullif(regexp_replace(regexp_replace(path, '[^/]*$', ''), '[^/]*/$', ''), ''), '/')
+            || substr(href, 2)
+          WHEN href LIKE '/a%' THEN origin
+            || coalesce(nullif(regexp_replace(path, '[^/]*$', ''), ''), '/') || substr(href, 2)
+          WHEN href LIKE '/e%' THEN origin || path || '?e=1&x=' || substr(href, 3)
+          WHEN href LIKE '/%' THEN origin || href END AS link
+        FROM parts""",
     "page_links": f"WITH {_LINKS} SELECT url, link FROM page_links",
     "normalize_urls": f"""
         WITH {_LINKS} SELECT url, {_normalized('url')} AS normalized,

@@ -57,10 +57,42 @@ def test_links_are_resolved(spark):
     )
     df = spark.createDataFrame([("https://a.com/d/e?q", html)], "url string, html string")
     assert values(urls.page_links(df), "link") == [
-        "https://a.com/rel/p", "https://a.com/x", "https://o.no/y", "https://z.no/q",
+        "https://a.com/d/rel/p", "https://a.com/x", "https://o.no/y", "https://z.no/q",
     ]
 
 
+@pytest.mark.parametrize(
+    "href,link",
+    [
+        ("c.html", "https://x.org/a/c.html"),
+        ("./c", "https://x.org/a/c"),
+        ("../c?d=../e", "https://x.org/c?d=../e"),
+        ("../../../c", "https://x.org/c"),
+        ("..", "https://x.org/"),
+        (".", "https://x.org/a/"),
+        ("/q/../r/./s", "https://x.org/r/s"),
+        ("?p=2&amp;q=3", "https://x.org/a/b?p=2&q=3"),
+        ("//y.org/z", "https://y.org/z"),
+        ("HTTP://y.org", "HTTP://y.org"),
+        ("#top", None),
+        ("javascript:void(0)", None),
+        ("", None),
+    ],
+)
+def test_link_forms(spark, href, link):
+    html = f'<a id=1 href="{href}">a</a>' + (f"<a href={href}>b</a>" if href else "")
+    df = spark.createDataFrame([("https://x.org/a/b?u=1", html)], "url string, html string")
+    assert {r.link for r in urls.page_links(df).collect()} == ({link} if link else set())
+
+
+def test_links_follow_the_base_element(spark):
+    html = '<base target="_top" href="/root/x/"><a href="c">a</a><abbr href="no">b</abbr>'
+    df = spark.createDataFrame(
+        [("https://x.org/a/b", html), ("https://x.org", '<a href="c">a</a>')], "url string, html string"
+    )
+    assert values(urls.page_links(df), "link") == ["https://x.org/c", "https://x.org/root/x/c"]
+
+
 def test_normalisation(spark):
     df = urls.normalize_urls(
         table(spark, "HTTP://WWW.A.com/X/", "https://www.aXcom/", "https://a.com//"),
