@@ -35,7 +35,7 @@ SAMPLE_CHARS = 1500
 PIECE = 1024
 LEVEL = 6
 # Least saving of the best language over the next one, as a share of the latter's size.
-MIN_MARGIN = 0.002
+MIN_MARGIN = 0.001
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 

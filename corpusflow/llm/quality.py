@@ -29,13 +29,14 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, Int
 from pyspark.sql.types import LongType, StructField
 
 from corpusflow.functions.lineage import shared_folder
-from corpusflow.llm.bpe import Generations
+from corpusflow.llm.bpe import CACHED_HASHES, Generations
 from corpusflow.llm.frames import append_columns, texts_of
 
 NOTHING, GOOD, BAD = 0, 1, 2
 SLICES, PER_SLICE = 64, 40
 FEATURES = 1 << 14
 ROUNDS = 200
+FEW_WORDS = 10
 # Classes weigh the same in learning; a text goes only at odds of about 30 to 1 against it.
 KEEP = 0.03
 
@@ -57,7 +58,7 @@ def _plain(word: str) -> bool:
 
 @lru_cache(maxsize=1)
 def _plain_words() -> Generations:
-    return Generations(_plain)
+    return Generations(_plain, CACHED_HASHES)
 
 
 def votes(text: str) -> list[int]:
@@ -133,7 +134,7 @@ def _shape(word: str) -> int:
 
 @lru_cache(maxsize=1)
 def _shapes() -> Generations:
-    return Generations(_shape)
+    return Generations(_shape, CACHED_HASHES)
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -147,9 +148,11 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     repeats = sum(map(str.__eq__, words, words[1:])) / n
     extra = [repeats, 1 - len(set(words)) / n, 1 - len(set(lines)) / max(1, len(lines)), 1.0]
     values = np.sqrt(counts / n)
+    # A text of few words says little: its evidence shrinks towards undecided.
+    trust = n / (n + FEW_WORDS)
     return (
         np.concatenate([places, np.arange(FEATURES - 4, FEATURES)]).astype(np.int32),
-        np.concatenate([values, extra]).astype(np.float32),
+        (trust * np.concatenate([values, extra])).astype(np.float32),
     )
 
 
