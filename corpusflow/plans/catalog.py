@@ -678,8 +678,14 @@ def sanitize_messages(spark, sf):
     return conversation.sanitize_messages(marked).select("conv_id", "turn", "clean_text")
 
 
+def _quarters(events: DataFrame) -> list:
+    """Three times that cut the span of the events into four."""
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    return [first + (last - first) * k / 4 for k in (1, 2, 3)]
+
+
 def rate_limit_stream(spark, sf):
-    """The same decisions from a stream over the events file, written to a table."""
+    """The same decisions from a stream of the events in four files, a micro-batch each."""
     folder = _new_folder(spark)
     # One state store per core.
     settings = {
@@ -690,11 +696,19 @@ def rate_limit_stream(spark, sf):
     for name, value in settings.items():
         spark.conf.set(name, value)
     try:
-        events = _read(spark, sf, "events")
-        files = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet")
-        stream = files.parquet(sf).select(
+        events = _read(spark, sf, "events").select(
             F.col("event_id").alias("request_id"), F.col("user_id").alias("client"), "ts"
         )
+        cuts = _quarters(events)
+        for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+            part = events if low is None else events.where(F.col("ts") >= low)
+            part = part if high is None else part.where(F.col("ts") < high)
+            part.coalesce(1).write.mode("append").parquet(f"{folder}/events")
+        stream = (
+            spark.readStream.schema(events.schema)
+            .option("maxFilesPerTrigger", 1)
+            .parquet(f"{folder}/events")
+        )
         query = (
             admission.rate_limit_stream(stream, RATE, WINDOW_SECONDS)
             .writeStream.option("checkpointLocation", f"{folder}/state")
