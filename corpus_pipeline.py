@@ -53,7 +53,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token ids of every text, with a digest of the text that they decode to."""
     ship_package(spark)
     path = queries.tokenizer_file(queries.ENCODE_FILE)
-    coded = bpe.decode(bpe.encode(docs, path), path)
+    coded = bpe.encode_and_decode(docs, path)
     return coded.select(
         *docs.columns,
         "ids",

@@ -24,7 +24,9 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from corpusflow.llm.frames import append_columns, list_array, texts_of
 
-CACHED_WORDS = 400_000
+# Entries per generation of a cache, two of which live; a Python worker keeps them over stages.
+CACHED_WORDS = 80_000
+CACHED_HASHES = 40_000
 
 # Letters and numbers that Unicode has had only since version 17, which the
 # tokenizers library does not know yet.
@@ -228,17 +230,18 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
         vocab, cache = vocabulary(path), _encoded_words(path)
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            packed = [
-                b"".join(map(cache.__getitem__, vocab.pieces(t))) if t else b""
-                for t in texts_of(batch, text)
-            ]
-            return [list_array(b"".join(packed), [len(p) // 4 for p in packed], pa.int32())]
+            return [_id_lists(vocab, cache, texts_of(batch, text))]
 
         return work
 
     return append_columns(docs, [StructField(ids, ArrayType(IntegerType()))], compute)
 
 
+def _id_lists(vocab: Vocabulary, cache: Generations, texts: list[str | None]) -> pa.ListArray:
+    packed = [b"".join(map(cache.__getitem__, vocab.pieces(t))) if t else b"" for t in texts]
+    return list_array(b"".join(packed), [len(p) // 4 for p in packed], pa.int32())
+
+
 def decode(
     docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded", between: str = " "
 ) -> DataFrame:
@@ -254,18 +257,44 @@ def decode(
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             column = batch.column(batch.schema.get_field_index(ids))
-            return [
-                pa.array(
-                    [between.join(map(strings.__getitem__, row or ())) for row in _rows(column)],
-                    pa.string(),
-                )
-            ]
+            return [_decoded_texts(strings, column, between)]
 
         return work
 
     return append_columns(docs, [StructField(decoded, StringType())], compute)
 
 
+def _decoded_texts(strings: list[str], column: pa.ListArray, between: str) -> pa.Array:
+    rows = (between.join(map(strings.__getitem__, row or ())) for row in _rows(column))
+    return pa.array(rows, pa.string())
+
+
+def encode_and_decode(
+    docs: DataFrame,
+    path: str,
+    text: str = "text",
+    ids: str = "ids",
+    decoded: str = "decoded",
+    between: str = " ",
+) -> DataFrame:
+    """``decode`` after ``encode``, in one pass through Python."""
+
+    def compute():
+        vocab, cache = vocabulary(path), _encoded_words(path)
+
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
+            column = _id_lists(vocab, cache, texts_of(batch, text))
+            return [column, _decoded_texts(vocab.strings, column, between)]
+
+        return work
+
+    fields = [
+        StructField(ids, ArrayType(IntegerType())),
+        StructField(decoded, StringType()),
+    ]
+    return append_columns(docs, fields, compute)
+
+
 def _rows(column: pa.ListArray):
     flat = column.values.to_numpy(zero_copy_only=False)
     offsets = column.offsets.to_numpy()

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from corpusflow.llm.bpe import Generations
+from corpusflow.llm.bpe import CACHED_HASHES, Generations
 from corpusflow.llm.frames import append_columns, texts_of
 
 WALKS, STEPS = 4, 20
@@ -51,7 +51,7 @@ def _hash(word: str) -> int:
 
 @lru_cache(maxsize=1)
 def _word_hashes() -> Generations:
-    return Generations(_hash)
+    return Generations(_hash, CACHED_HASHES)
 
 
 def words(text: str | None) -> np.ndarray:

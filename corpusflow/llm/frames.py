@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
+# Rows of an Arrow batch between Spark and Python, where the session allows more: texts are long.
+BATCH_ROWS = 1000
+
 Compute = Callable[[pa.RecordBatch], list[pa.Array]]
 
 
@@ -31,6 +34,9 @@ def append_columns(
     A column of ``df`` with the name of a new one is replaced; those in ``drop`` end here.
     Nothing is shuffled, and memory follows a batch, not a partition.
     """
+    conf, setting = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(setting)) <= BATCH_ROWS:
+        conf.set(setting, str(BATCH_ROWS))
     kept = without(df, [f.name for f in fields] + list(drop))
     out = StructType([df.schema[name] for name in kept] + fields)
     names = kept + [f.name for f in fields]
@@ -42,6 +48,7 @@ def append_columns(
                 piece = batch.slice(start, rows)
                 old = [piece.column(piece.schema.get_field_index(name)) for name in kept]
                 yield pa.RecordBatch.from_arrays(old + work(piece), names)
+        pa.default_memory_pool().release_unused()  # the worker lives on between tasks
 
     return df.mapInArrow(run, out)
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField
 
 from corpusflow.functions.lineage import shared_folder
-from corpusflow.llm.bpe import Generations
+from corpusflow.llm.bpe import CACHED_HASHES, Generations
 from corpusflow.llm.components import components
 from corpusflow.llm.frames import append_columns, list_array, texts_of, without
 
@@ -56,7 +56,7 @@ def bands_for(percent: int, coordinates: int = COORDINATES) -> tuple[int, int]:
 
 @lru_cache(maxsize=1)
 def _word_hashes() -> Generations:
-    return Generations(xxhash.xxh3_64_intdigest)
+    return Generations(xxhash.xxh3_64_intdigest, CACHED_HASHES)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

@@ -66,7 +66,7 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text; digests of the ids and of the decoded text."""
     path = tokenizer_file(ENCODE_FILE)
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    coded = bpe.encode_and_decode(docs, path)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -41,6 +41,7 @@ def items(spark):
 
 OPERATORS = {
     "encode": lambda spark, df: bpe.decode(bpe.encode(df, WORDS), WORDS),
+    "both": lambda spark, df: bpe.encode_and_decode(df, WORDS),
     "count": lambda spark, df: bpe.count_tokens(df, WORDS),
     "media": lambda spark, df: media.payload(media.inspect(media.store(df))),
     "secrets": lambda spark, df: secrets.scan_secrets(df),
@@ -53,6 +54,7 @@ OPERATORS = {
 }
 RESULTS = {
     "encode": ["ids", "decoded"],
+    "both": ["ids", "decoded"],
     "count": ["n_tokens"],
     "media": ["media", "info", "payload"],
     "secrets": ["secrets"],
