@@ -193,7 +193,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 @lru_cache(maxsize=4)
-def _encoded_words(path: str) -> Generations:
+def _encoded_words(path: str, limit: int = CACHED_WORDS) -> Generations:
     vocab = vocabulary(path)
 
     def make(word: str) -> bytes:
@@ -203,11 +203,11 @@ def _encoded_words(path: str) -> Generations:
             ids = merged(vocab.symbols(word), vocab)
         return np.array(ids, np.int32).tobytes()
 
-    return Generations(make)
+    return Generations(make, limit)
 
 
 @lru_cache(maxsize=4)
-def _counted_words(path: str) -> Generations:
+def _counted_words(path: str, limit: int = CACHED_WORDS) -> Generations:
     vocab = vocabulary(path)
 
     def make(word: str) -> int:
@@ -216,7 +216,7 @@ def _counted_words(path: str) -> Generations:
         symbols = vocab.symbols(word)
         return len(symbols) - merge_count(symbols, vocab)
 
-    return Generations(make)
+    return Generations(make, limit)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -276,11 +276,15 @@ def encode_and_decode(
     ids: str = "ids",
     decoded: str = "decoded",
     between: str = " ",
+    cached_words: int = CACHED_WORDS,
 ) -> DataFrame:
-    """``decode`` after ``encode``, in one pass through Python."""
+    """``decode`` after ``encode``, in one pass through Python.
+
+    ``cached_words`` trades memory of the Python workers (some 400 bytes each) for time.
+    """
 
     def compute():
-        vocab, cache = vocabulary(path), _encoded_words(path)
+        vocab, cache = vocabulary(path), _encoded_words(path, cached_words)
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             column = _id_lists(vocab, cache, texts_of(batch, text))
@@ -309,12 +313,19 @@ def bytes_of(string: str) -> bytes:
 
 
 def count_tokens(
-    docs: DataFrame, path: str, text: str = "text", n_tokens: str = "n_tokens"
+    docs: DataFrame,
+    path: str,
+    text: str = "text",
+    n_tokens: str = "n_tokens",
+    cached_words: int = CACHED_WORDS,
 ) -> DataFrame:
-    """Adds ``n_tokens``: symbols before merging less merges, with no ids made."""
+    """Adds ``n_tokens``: symbols before merging less merges, with no ids made.
+
+    ``cached_words`` trades memory of the Python workers (some 300 bytes each) for time.
+    """
 
     def compute():
-        vocab, cache = vocabulary(path), _counted_words(path)
+        vocab, cache = vocabulary(path), _counted_words(path, cached_words)
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             return [

@@ -10,6 +10,8 @@ from corpusflow.llm import bpe, decontaminate, language, media, near, pii, quali
 COUNT_FILE = "byte_bpe_50k.json"
 ENCODE_FILE = "word_bpe_49k.json"
 MAX_TOKENS = 512
+# Where the tokenizer has the worker for itself; the pipeline keeps to the smaller default.
+CACHED_WORDS = 300_000
 PII_KEY = "a key from the secret store goes here"
 
 
@@ -66,7 +68,7 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text; digests of the ids and of the decoded text."""
     path = tokenizer_file(ENCODE_FILE)
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    coded = bpe.encode_and_decode(docs, path)
+    coded = bpe.encode_and_decode(docs, path, cached_words=CACHED_WORDS)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -97,7 +99,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count of every text, and whether it is over the limit."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    counted = bpe.count_tokens(docs, tokenizer_file(COUNT_FILE))
+    counted = bpe.count_tokens(docs, tokenizer_file(COUNT_FILE), cached_words=CACHED_WORDS)
     return counted.select(
         "doc_id",
         n_bytes().alias("n_bytes"),
