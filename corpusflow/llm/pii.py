@@ -5,7 +5,8 @@ their check digit, accounts by theirs, dates by the calendar, addresses and numb
 ranges) are replaced by another value of the same format: a keyed Feistel network permutes the
 format's whole range, so equal values get equal pseudonyms in every document, different ones
 stay different, and check digits and dates stay valid. Whatever fails validation is left as it
-is. Without the key the values cannot be computed back; keep it out of logs.
+is, and so is a value that touches a letter or digit (but for the time of a timestamp) or goes on
+as a longer number. Without the key the values cannot be computed back; keep it out of logs.
 
 Every round adds a keyed digest of one half to the other half, modulo that half's range, which
 permutes any range that is a product of two numbers: ten to the digits, 2^16 x 2^16 for
@@ -51,9 +52,25 @@ KINDS = {
     "card": CARD,
     "phone": PHONE,
 }
-CANDIDATE = (
-    r"(?<![\p{L}\p{N}+])(?:" + "|".join(KINDS.values()) + r")(?![\p{L}\p{N}]|[.,-]\p{N}|@)"
-)
+# What a longer value of the same kind would go on with; a comma ends every value.
+LONGER = {
+    "email": r"[.-]\p{N}",
+    "point_date": r"\.\p{N}",
+    "social": r"-\p{N}",
+    "address": r"\.\p{N}",
+    "card": r"[.-]\p{N}",
+    "phone": r"[.-]\p{N}",
+}
+TIME = r"(?=[Tt]\d{2}(?!\p{L})|[Zz](?![\p{L}\p{N}]))"  # of a timestamp, or its zone
+
+
+def _ended(kind: str) -> str:
+    longer = f"|{LONGER[kind]}" if kind in LONGER else ""
+    apart = rf"(?![\p{{L}}\p{{N}}@]{longer})"
+    return KINDS[kind] + (f"(?:{apart}|{TIME})" if kind.endswith("date") else apart)
+
+
+CANDIDATE = r"(?<![\p{L}\p{N}+])(?:" + "|".join(map(_ended, KINDS)) + ")"
 
 
 def _digest(key: str, *parts: Column) -> Column:

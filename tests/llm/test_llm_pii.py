@@ -112,6 +112,36 @@ def test_other_kinds(spark):
     assert m[4] == ".".join(str(new >> s & 255) for s in (24, 16, 8, 0))
 
 
+def test_rows_and_timestamps(spark):
+    cells = ["1990-01-02", "4111111111111111", "10.0.0.1", "123-45-6789", "3.4.1990", "5/6/1990",
+             "DE89370400440532013000", "(988) 555-2485", "+47 22 33 44 55", "a.b@c1.example"]
+    kinds = ["iso_date", "card", "address", "social", "point_date", "slash_date", "account",
+             "phone", "phone", "email"]
+    alone = [masked(spark, c)[0] for c in cells]
+    assert [k for _, k in alone] == [[k] for k in kinds]
+    new = [t for t, _ in alone]
+    for i in range(len(cells)):  # every value before every other and before a plain number
+        old_row, new_row = (",".join([*r[i:], *r[:i], "7"]) for r in (cells, new))
+        assert masked(spark, old_row) == [(new_row, kinds[i:] + kinds[:i])]
+    date = new[0]
+    rests = ["T03:04:05Z", "T03:04:05.678+02:00", "t0304", "T03", "Z", "-1", ".5", " 03:04:05,123"]
+    for text, found in masked(spark, *(cells[0] + r for r in rests)):
+        assert found == ["iso_date"] and text.startswith(date)
+    ((log, found),) = masked(
+        spark, "1990-01-02T03:04:05Z,10.0.0.1,10.0.0.1-10.0.0.1;1990-01-02-1990-01-02,3.4.1990-3.4.1990"
+    )
+    assert log == (
+        f"{date}T03:04:05Z,{new[2]},{new[2]}-{new[2]};{date}-{date},{new[4]}-{new[4]}"
+    )
+    assert len(found) == 8
+
+
+def test_longer_numbers_and_words_are_left(spark):
+    texts = ["4111111111111111.5", "4111-1111-1111-1111-1", "123-45-6789-1", "3.4.1990.5",
+             "988-555-2485-1", "1990-01-02nd", "1990-01-02Tue", "1990-01-021", "4111111111111111a"]
+    assert masked(spark, *texts) == [(t, []) for t in texts]
+
+
 def test_other_key_other_values_and_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "4041894974608795")], "doc_id int, text string")
     a, b = (pii.pseudonymize(df, k).first()["text"] for k in ("a", "b"))
