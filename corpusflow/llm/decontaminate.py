@@ -9,8 +9,12 @@ verified by the exact word edit distance of the item to the passage around the w
 
 Windows begin at every ``STRIDE``-th word of a document, while items are embedded from
 ``STRIDE`` neighbouring offsets, so that one of them is in line wherever a passage begins;
-longer items are embedded again from every ``SEGMENT``-th word on. Items under ``SHORT`` words
-are compared at every word and must be equal.
+longer items are embedded again from every ``SEGMENT``-th word on. Items under ``LONG`` words,
+which give a walk too few places, and those with less than half of their samples (fewer than
+three different words in each) are found by parts instead: cut into one part more than the edits
+allowed, one part at least stands unedited in every passage, so none is missed. Of longer ones
+``RECALL`` are found at least, at every length and rate of edits. Items under ``SHORT`` words must be
+equal.
 
 An item is found where a passage is within ``max_edits`` times its words (rounded down) edits;
 case and punctuation around words do not count. Null or empty texts and items are found
@@ -36,7 +40,9 @@ from corpusflow.llm.frames import append_columns, texts_of
 
 WALKS, STEPS = 4, 20
 SAMPLES, COORDINATES = 12, 4
-STRIDE, SEGMENT, SHORT = 4, 12, 8
+STRIDE, SEGMENT, SHORT, LONG = 4, 12, 8, 24
+PART = 7  # words of a part that are looked up
+RECALL = 0.995
 MAX_EDITS = 0.15
 BLOCK_WORDS = 1_000_000
 SEED = 11
@@ -120,42 +126,72 @@ def edit_distance(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+class Table:
+    """Numbers by key, for many lookups of which few succeed; the key 0 is none."""
+
+    def __init__(self, keys: np.ndarray, numbers: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        order = order[np.count_nonzero(keys == 0) :]
+        self.keys, self.numbers = keys[order], numbers[order]
+        self.shift = np.uint64(64 - max(16, min(26, int(len(keys) * 64).bit_length())))
+        self.marked = np.zeros(1 << int(64 - int(self.shift)), bool)
+        self.marked[(self.keys >> self.shift).astype(np.int64)] = True
+
+    def hits(self, keys: np.ndarray):
+        """Yields position in ``keys`` and the numbers it finds."""
+        hits = np.flatnonzero(self.marked[(keys >> self.shift).astype(np.int64)])
+        low = np.searchsorted(self.keys, keys[hits], "left")
+        high = np.searchsorted(self.keys, keys[hits], "right")
+        held = low < high
+        for hit, a, b in zip(hits[held].tolist(), low[held], high[held], strict=True):
+            yield hit, self.numbers[a:b]
+
+
 class Items:
     """One block of benchmark items, embedded; lives in every task."""
 
     def __init__(self, ids: list[int], texts: list[str], max_edits: float):
         self.ids, self.max_edits = ids, max_edits
         self.words = [words(t) for t in texts]
-        self.short: dict[int, dict[int, list[int]]] = {}
         places: list[tuple[int, int]] = []  # item and offset of every embedded start
         for n, item in enumerate(self.words):
-            if 0 < len(item) < SHORT:
-                known = self.short.setdefault(len(item), {})
-                known.setdefault(int(self._whole(item, len(item))[0]), []).append(n)
-            elif len(item):
-                last = max(0, len(item) - SEGMENT)
-                for first in range(0, last + 1, SEGMENT):
+            if len(item) >= LONG:
+                for first in range(0, len(item) - SEGMENT + 1, SEGMENT):
                     places += [(n, first + k) for k in range(STRIDE)]
         rest = np.zeros(STEPS, np.uint64)
         flat = np.concatenate([*[np.append(w, rest) for w in self.words], rest])
         offsets = np.cumsum([0] + [len(w) + STEPS for w in self.words])
         self.places = np.array(places, np.int64).reshape(-1, 2)
         starts = offsets[self.places[:, 0]] + self.places[:, 1]
-        keys = list(window_keys(flat, starts, distinct=3))
-        every = np.concatenate(keys)
-        order = np.argsort(every, kind="stable")
-        order = order[np.count_nonzero(every == 0) :]
-        self.keys, self.of = every[order], order % max(1, len(starts))
-        self.shift = np.uint64(64 - max(16, min(26, int(len(every) * 64).bit_length())))
-        self.marked = np.zeros(1 << int(64 - int(self.shift)), bool)
-        self.marked[(self.keys >> self.shift).astype(np.int64)] = True
+        every = np.concatenate(list(window_keys(flat, starts, distinct=3)))
+        of = np.tile(np.arange(len(starts)), len(every) // max(1, len(starts)))
+        self.samples = Table(every, of)
+        said = np.bincount(self.places[of[every != 0], 0], minlength=len(ids))
+        embedded = said * 2 > np.bincount(self.places[of, 0], minlength=len(ids))
+        parts: list[tuple[int, int, int]] = []  # length, item and offset
+        for n, item in enumerate(self.words):
+            if len(item) and not embedded[n]:
+                cuts = min(self._most(len(item)) + 1, len(item))
+                bounds = [len(item) * k // cuts for k in range(cuts + 1)]
+                parts += [(min(PART, b - a), n, a) for a, b in zip(bounds, bounds[1:])]
+        self.parts = np.array(parts, np.int64).reshape(-1, 3)
+        self.by_length: dict[int, Table] = {}
+        for length, keys in self._runs(flat, set(self.parts[:, 0].tolist())):
+            own = np.flatnonzero(self.parts[:, 0] == length)
+            at = offsets[self.parts[own, 1]] + self.parts[own, 2]
+            self.by_length[length] = Table(keys[at], own)
+
+    def _most(self, length: int) -> int:
+        return int(self.max_edits * length) if length >= SHORT else 0
 
     @staticmethod
-    def _whole(symbols: np.ndarray, length: int) -> np.ndarray:
-        key = np.full(len(symbols) - length + 1, length, np.uint64)
-        for k in range(length):
-            key = mixed(key + symbols[k : len(symbols) - length + 1 + k])
-        return key
+    def _runs(symbols: np.ndarray, lengths):
+        """Yields each of ``lengths`` with the keys of the runs of so many words from every place."""
+        key = np.ones(len(symbols), np.uint64)
+        for k in range(max(lengths, default=0)):
+            key = mixed(key[: len(symbols) - k] + symbols[k:])
+            if k + 1 in lengths:
+                yield k + 1, key
 
     def found(self, docs: list[np.ndarray]) -> list[dict[int, tuple[int, int]]]:
         """Per document: item number to (edits, first word of the passage)."""
@@ -164,36 +200,31 @@ class Items:
         ends = np.cumsum([len(d) + STEPS for d in docs])
         firsts = ends - [len(d) + STEPS for d in docs]
         found: list[dict[int, tuple[int, int]]] = [{} for _ in docs]
+        tried: set[tuple[int, int, int]] = set()
+
+        def check(at: int, places: np.ndarray) -> None:
+            doc = int(np.searchsorted(ends, at, "right"))
+            for item, offset in places.tolist():
+                place = at - int(firsts[doc]) - offset
+                if (doc, item, place) not in tried:
+                    tried.add((doc, item, place))
+                    self._verify(docs[doc], item, place, found[doc])
+
         if len(self.places):
             starts = np.concatenate(
                 [np.arange(a, a + len(d), STRIDE) for a, d in zip(firsts, docs, strict=True)]
             )
-            tried: set[tuple[int, int, int]] = set()
             for keys in window_keys(flat, starts):
-                hits = np.flatnonzero(self.marked[(keys >> self.shift).astype(np.int64)])
-                low = np.searchsorted(self.keys, keys[hits], "left")
-                high = np.searchsorted(self.keys, keys[hits], "right")
-                for hit, a, b in zip(hits[low < high], low[low < high], high[low < high], strict=True):
-                    at = int(starts[hit])
-                    doc = int(np.searchsorted(ends, at, "right"))
-                    for item, offset in self.places[self.of[a:b]].tolist():
-                        place = at - int(firsts[doc]) - offset
-                        if (doc, item, place) not in tried:
-                            tried.add((doc, item, place))
-                            self._verify(docs[doc], item, place, found[doc])
-        for length, known in self.short.items():
-            table = np.array(sorted(known), np.uint64)
-            for doc, own in enumerate(docs):
-                if len(own) >= length:
-                    keys = self._whole(own, length)
-                    for place in np.flatnonzero(np.isin(keys, table)).tolist():
-                        for item in known[int(keys[place])]:
-                            self._verify(own, item, place, found[doc])
+                for hit, numbers in self.samples.hits(keys):
+                    check(int(starts[hit]), self.places[numbers])
+        for length, keys in self._runs(flat, self.by_length):
+            for at, numbers in self.by_length[length].hits(keys):
+                check(at, self.parts[numbers, 1:])
         return found
 
     def _verify(self, doc: np.ndarray, item: int, place: int, found: dict) -> None:
         wanted = self.words[item]
-        most = int(self.max_edits * len(wanted)) if len(wanted) >= SHORT else 0
+        most = self._most(len(wanted))
         if found.get(item, (most + 1,))[0] == 0:
             return
         if place >= 0 and np.array_equal(doc[place : place + len(wanted)], wanted):

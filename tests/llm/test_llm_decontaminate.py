@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from corpusflow.llm import decontaminate, queries
 
@@ -63,6 +64,33 @@ def test_recall_of_edited_passages_and_no_false_ones():
             assert item == k and edits <= decontaminate.MAX_EDITS * len(items[k].split())
 
 
+@pytest.mark.parametrize("length", [8, 9, 13, 14, 19, 20, 21, 23, 24, 26, 27, 34, 60])
+def test_recall_per_length_and_edits(length):
+    rnd = random.Random(length)
+    items = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(length)) for _ in range(120)]
+    block = decontaminate.Items(list(range(120)), items, decontaminate.MAX_EDITS)
+    head = max(8, length // 3)
+    for edits in range(int(decontaminate.MAX_EDITS * length) + 1):
+        docs = []
+        for item in items:
+            first, last = " ".join(item.split()[:head]), " ".join(item.split()[head:])
+            for inside in (edited(rnd, item, edits), f"{edited(rnd, first, edits)} {last}"):
+                docs.append(f"{text_of(rnd, rnd.randrange(40))} {inside} {text_of(rnd, 20)}")
+        found = block.found([decontaminate.words(d) for d in docs])
+        share = np.mean([k // 2 in f and f[k // 2][0] <= edits for k, f in enumerate(found)])
+        assert share >= (1 if length < decontaminate.LONG else decontaminate.RECALL), edits
+
+
+def test_items_of_few_different_words():
+    items = ["yes no " * 4, "yes no " * 20, "na " * 30, "yes no " * 20 + "maybe"]
+    block = decontaminate.Items([0, 1, 2, 3], items, decontaminate.MAX_EDITS)
+    found = block.found([decontaminate.words(f"so {i} then") for i in items])
+    assert [f[k] for k, f in enumerate(found)] == [(0, 1)] * 4
+    changed = " ".join(["yes no"] * 9 + ["yes", "changed"] + ["yes no"] * 10)
+    (found,) = block.found([decontaminate.words(changed)])
+    assert found[1][0] == 1
+
+
 def test_short_items_must_be_equal(spark):
     docs = spark.createDataFrame(
         [(1, "x alpha beta gamma y"), (2, "alpha beta delta"), (3, "Alpha, beta; GAMMA!")],
