@@ -47,6 +47,7 @@ SYSTEM = "Answer from the context only."
 K, THRESHOLD = 12, 0.25
 CONTEXT_TOKENS, HISTORY_TOKENS = 400, 200
 RATE, WINDOW_SECONDS = 3, 86400
+EVICT_AFTER = "1 minute"
 # Calls of this size mostly succeed where a few texts hold a mail address.
 BATCH = 20
 
@@ -685,7 +686,11 @@ def _quarters(events: DataFrame) -> list:
 
 
 def rate_limit_stream(spark, sf):
-    """The same decisions from a stream of the events in four files, a micro-batch each."""
+    """The same decisions from a stream of the events in five files, a micro-batch each.
+
+    State is evicted. The last file has all requests of every tenth client, most of them later
+    than the watermark.
+    """
     folder = _new_folder(spark)
     # One state store per core.
     settings = {
@@ -699,10 +704,14 @@ def rate_limit_stream(spark, sf):
         events = _read(spark, sf, "events").select(
             F.col("event_id").alias("request_id"), F.col("user_id").alias("client"), "ts"
         )
+        late = F.coalesce(F.pmod(F.xxhash64("client"), F.lit(10)) == 0, F.lit(False))
+        in_time = events.where(~late)
+        parts = []
         cuts = _quarters(events)
         for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-            part = events if low is None else events.where(F.col("ts") >= low)
-            part = part if high is None else part.where(F.col("ts") < high)
+            part = in_time if low is None else in_time.where(F.col("ts") >= low)
+            parts.append(part if high is None else part.where(F.col("ts") < high))
+        for part in [*parts, events.where(late)]:
             part.coalesce(1).write.mode("append").parquet(f"{folder}/events")
         stream = (
             spark.readStream.schema(events.schema)
@@ -710,7 +719,7 @@ def rate_limit_stream(spark, sf):
             .parquet(f"{folder}/events")
         )
         query = (
-            admission.rate_limit_stream(stream, RATE, WINDOW_SECONDS)
+            admission.rate_limit_stream(stream, RATE, WINDOW_SECONDS, EVICT_AFTER)
             .writeStream.option("checkpointLocation", f"{folder}/state")
             .trigger(availableNow=True)
             .format("parquet")

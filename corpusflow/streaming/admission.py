@@ -296,19 +296,18 @@ def rate_limit_stream(
 
     Within a micro-batch requests are taken by event time; a request that arrives after
     later ones were decided is judged against the window open by then. ``evict_after``
-    (a watermark delay) frees the state of a client once its window has passed; the
-    result is the same as long as no request is later than that. Needs the RocksDB state
-    store.
+    (a watermark delay) frees the state of a client once its window has passed. Requests
+    later than that are decided like others, where the client's state is gone by a fresh
+    window; only for those the result may differ. Needs the RocksDB state store.
     """
     if evict_after is not None:
-        requests = requests.withWatermark("ts", evict_after)
+        at = F.col("ts").cast("timestamp")
+        requests = requests.withColumn("ts", at).withWatermark("ts", evict_after)
     client_type = requests.schema["client"].dataType.simpleString()
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    columns = ["request_id", "client", us.alias("us")]
-    if evict_after is not None:
-        columns.append("ts")
+    # Without the watermark's column no row is late to the operator; its timers go by it still.
     decided = (
-        requests.select(*columns)
+        requests.select("request_id", "client", us.alias("us"))
         .groupBy("client")
         .transformWithStateInPandas(
             statefulProcessor=_Admission(

@@ -94,6 +94,45 @@ def test_stream_equals_batch(spark, tmp_path, evict_after):
     assert decisions(spark.table(name)) == model(rows, 5, 20_000_000)
 
 
+def test_late_requests_are_decided_after_eviction(spark, tmp_path):
+    second = 1_000_000
+    rows = [(i, "a", i * second) for i in range(8)]
+    later = [(10 + i, "b", (1000 + 200 * i) * second) for i in range(2)]
+    # Client a's state is gone, c was never seen; all of their requests are late.
+    late = [(20 + i, "aaaaaaaccccccc"[i], (30 + i) * second) for i in range(14)]
+    after = [(40, "a", 2000 * second)]
+    for part in (rows, later[:1], later[1:], late, after):
+        requests(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = (
+        spark.readStream.schema("request_id bigint, client string, ts timestamp")
+        .option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    )
+    query = (
+        admission.rate_limit_stream(stream, 5, 20, "60 seconds")
+        .writeStream.format("memory").queryName("admitted_late").outputMode("append")
+        .option("checkpointLocation", str(tmp_path / "cp")).start()
+    )
+    try:
+        query.processAllAvailable()
+        kept = query.lastProgress.stateOperators[0].numRowsTotal
+    finally:
+        query.stop()
+    assert kept == 1  # client a's last window; all others are evicted
+    assert decisions(spark.table("admitted_late")) == model(
+        [*rows, *later, *late, *after], 5, 20 * second
+    )
+
+
+def test_registered_stream_decides_a_late_file(spark):
+    from corpusflow.plans import catalog
+
+    sf_dir = "/root/testdata/sf0.001"
+    got = {r.request_id: r for r in catalog.rate_limit_stream(spark, sf_dir).collect()}
+    wanted = catalog.rate_limit(spark, sf_dir).collect()
+    assert len(got) == len(wanted)
+    assert all(got[r.request_id].allowed == r.allowed for r in wanted)
+
+
 def test_client_key(spark):
     rows = [
         (" 1.1.1.1 , 2.2.2.2", "r", "c", "1.1.1.1"), (",2.2.2.2", "r", "c", ""),
