@@ -19,6 +19,9 @@ from corpusflow.functions.lineage import HOT_ROWS, lookup
 
 # Vectors one task or one broadcast may hold.
 BLOCK_BYTES = 64 * 1024 * 1024
+# Share of the exact matches an approximate search is to find, and the queries it is measured by.
+TARGET_RECALL = 0.9
+RECALL_QUERIES = 256
 # Winners that are broadcast to fetch their text.
 _BROADCAST_ROWS = 500_000
 _DOC_COLUMNS = ("content", "source_url", "title", "section")
@@ -211,6 +214,56 @@ def assign_cells(
     )
 
 
+def probes_for(
+    docs: DataFrame,
+    queries: DataFrame,
+    centroids: np.ndarray,
+    match_count: int = config.MATCH_COUNT,
+    threshold: float = config.MATCH_THRESHOLD,
+    target: float = TARGET_RECALL,
+    sample_queries: int = RECALL_QUERIES,
+) -> int:
+    """Least number of probes with which an index finds ``target`` of the exact matches.
+
+    Measured against the exact search for at most ``sample_queries`` queries, in hash
+    order: both the share of all their matches and the mean over queries, less two standard
+    errors, reach the target. Without a match to measure by, every cell is probed. Choose
+    once per index.
+    """
+    n_lists = len(centroids)
+    sample = (
+        queries.where(F.exists("embedding", lambda x: x != 0))
+        .orderBy(F.xxhash64("query_id"))
+        .limit(sample_queries)
+        .select("query_id", "embedding")
+    )
+    head = sample.toArrow()
+    if not head.num_rows:
+        return n_lists
+    exact = match_documents(docs.select("id", "embedding"), sample, match_count, threshold)
+    cells = docs if "cell" in docs.columns else assign_cells(docs, centroids)
+    # At most ``sample_queries`` * ``match_count`` rows.
+    found = (
+        exact.select("query_id", "id").join(cells.select("id", "cell"), "id").toPandas()
+    )
+    if not len(found):
+        return n_lists
+    query_ids, matrix = v.identified(head.column(0), head.column(1), centroids.shape[1])
+    ranks = np.argsort(v.nearest(matrix, centroids, n_lists), axis=1)
+    place = {int(q): n for n, q in enumerate(query_ids)}
+    rows = found["query_id"].map(place).to_numpy()
+    rank = ranks[rows, found["cell"].to_numpy()]
+    of_query = np.bincount(rows, minlength=len(query_ids))
+    counted = of_query > 0
+    for n_probe in range(1, n_lists):
+        hits = rank < n_probe
+        each = (np.bincount(rows[hits], minlength=len(query_ids))[counted]) / of_query[counted]
+        error = each.std() / np.sqrt(len(each))
+        if min(each.mean(), hits.mean()) - 2 * error >= target:
+            return n_probe
+    return n_lists
+
+
 def approx_match_documents(
     docs: DataFrame,
     queries: DataFrame,
@@ -222,6 +275,8 @@ def approx_match_documents(
 ) -> DataFrame:
     """Inverted-file search: only the ``n_probe`` cells nearest to a query are scored.
 
+    ``probes_for`` gives the number of probes that an index needs for a target recall.
+
     Documents may come with a stored ``cell`` column (see ``assign_cells``); otherwise
     they are assigned here. Crowded cells are split into bounded shards.
     """

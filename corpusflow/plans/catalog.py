@@ -528,11 +528,16 @@ def _centroids(spark, sf):
     return retrieve.train_centroids(index(spark, sf), 16)
 
 
+def _approx_matches(spark, sf):
+    docs, asked_for, centroids = index(spark, sf), questions(spark, sf), _centroids(spark, sf)
+    n_probe = retrieve.probes_for(docs, asked_for, centroids, K, THRESHOLD)
+    return retrieve.approx_match_documents(docs, asked_for, centroids, n_probe, K, THRESHOLD)
+
+
 def approx_match_documents(spark, sf):
-    found = retrieve.approx_match_documents(
-        index(spark, sf), questions(spark, sf), _centroids(spark, sf), 4, K, THRESHOLD
+    return _approx_matches(spark, sf).select(
+        "query_id", "rank", "id", F.round("similarity", 6).alias("similarity")
     )
-    return found.select("query_id", "rank", "id", F.round("similarity", 6).alias("similarity"))
 
 
 def approx_match_all_cells(spark, sf):
@@ -544,10 +549,7 @@ def approx_match_all_cells(spark, sf):
 
 
 def approx_recall(spark, sf):
-    found = retrieve.approx_match_documents(
-        index(spark, sf), questions(spark, sf), _centroids(spark, sf), 4, K, THRESHOLD
-    )
-    return retrieve.recall(matches(spark, sf), found)
+    return retrieve.recall(matches(spark, sf), _approx_matches(spark, sf))
 
 
 def conversation_history(spark, sf):

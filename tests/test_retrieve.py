@@ -91,6 +91,28 @@ def test_approximate_search(random_vectors):
     assert retrieve.recall(exact, every).agg(F.min("recall")).first()[0] == 1.0
 
 
+def test_probes_reach_the_target(random_vectors):
+    d, q, _ = random_vectors
+    centroids = retrieve.train_centroids(d, 8)
+    exact = retrieve.match_documents(d, q, 7, 0.1)
+    for target in (0.5, 0.9):
+        n = retrieve.probes_for(d, q, centroids, 7, 0.1, target)
+        some = retrieve.approx_match_documents(d, q, centroids, n, 7, 0.1)
+        assert retrieve.recall(exact, some).agg(F.avg("recall")).first()[0] >= target
+    assert retrieve.probes_for(d, q.where("false"), centroids) == 8
+    assert retrieve.probes_for(d, q, centroids, 7, 0.1, 1.0) <= 8
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_registered_recall(spark, sf):
+    from corpusflow.plans import catalog
+
+    score = catalog.approx_recall(spark, f"/root/testdata/{sf}").agg(
+        F.avg("recall"), F.sum("n_found") / F.sum("n_exact")
+    )
+    assert min(score.first()) >= 0.9
+
+
 MATCHES = (
     "query_id bigint, rank int, id bigint, content string, source_url string, title string, "
     "similarity double"
