@@ -21,6 +21,17 @@ def without(df: DataFrame, names: list[str]) -> list[str]:
     return [name for name in df.columns if name.lower() not in taken]
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Names beginning with ``stems`` that no column of ``df`` has, for columns of passage."""
+    taken = {name.lower() for name in df.columns}
+    names = []
+    for stem in stems:
+        tries = (f"_{stem}{'_' * n}" for n in range(len(taken) + 1))
+        names.append(next(name for name in tries if name.lower() not in taken))
+        taken.add(names[-1].lower())
+    return names
+
+
 def append_columns(
     df: DataFrame,
     fields: list[StructField],

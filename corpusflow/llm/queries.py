@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import bpe, decontaminate, language, media, near, pii, quality, secrets, substrings
+from corpusflow.llm import (
+    bpe,
+    decontaminate,
+    divergence,
+    infill,
+    language,
+    media,
+    near,
+    pieces,
+    pii,
+    quality,
+    secrets,
+    substrings,
+)
 
 COUNT_FILE = "byte_bpe_50k.json"
 ENCODE_FILE = "word_bpe_49k.json"
+PIECE_FILE = "piece_bpe_32k.model"
 MAX_TOKENS = 512
 # Where the tokenizer has the worker for itself; the pipeline keeps to the smaller default.
 CACHED_WORDS = 300_000
@@ -161,6 +175,38 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far every source departs from the others of its language, and by which terms."""
+    return divergence.audit(documents(spark, sf_dir).select("text", "lang", "source"))
+
+
+def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every text by pieces; digests of the ids and of the decoded text."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    path = tokenizer_file(PIECE_FILE)
+    coded = pieces.encode(docs, path, decoded="decoded", keep_text=False)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut in three for fill-in-middle training, and put together again."""
+    cut = infill.fill_in_middle(documents(spark, sf_dir).select("doc_id", "text"))
+    return cut.select(
+        "doc_id",
+        F.col("n_units").alias("n"),
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored("output", "form"), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op2_decontamination": op2_decontamination,
@@ -172,8 +218,85 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
     "op10_language": op10_language,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_piece_codec": op12_piece_codec,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
-# No SQL form: 1 and 10 (binary containers, a compressor), 3 and 6 (byte-pair merges are a
+_DIVERGENCE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         unnest(list_concat([''], regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+  FROM documents),
+counts AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT row) AS docs FROM docs GROUP BY ALL),
+vocab AS (
+  SELECT lang, term, sum(n) AS n_term FROM counts WHERE term <> ''
+  GROUP BY lang, term HAVING sum(docs) >= 3),
+langs AS (
+  SELECT lang, count(*) AS v, sum(n_term) AS n_lang FROM vocab GROUP BY lang),
+sources AS (SELECT DISTINCT lang, source FROM counts),
+dense AS (
+  SELECT s.lang, s.source, k.term, k.n_term, coalesce(c.n, 0)::HUGEINT AS n
+  FROM sources s JOIN vocab k USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+sums AS (SELECT lang, source, sum(n) AS n_group FROM dense GROUP BY lang, source),
+priced AS (
+  SELECT d.lang, d.source, d.term, d.n,
+         1 + (1000000000::HUGEINT * (d.n + 1)) // (n_group + v) AS p,
+         1 + (1000000000::HUGEINT * (n_term + 1)) // (n_lang + v) AS q
+  FROM dense d JOIN sums USING (lang, source) JOIN langs ON d.lang = langs.lang),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM priced a JOIN priced b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT
+  FROM priced WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (
+    PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM parts)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+_INFILL_SQL = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents),
+numbers AS (
+  SELECT doc_id, text, n,
+         ('0x' || h[1:8])::BIGINT % (n + 1) AS r1, ('0x' || h[9:16])::BIGINT % (n + 1) AS r2,
+         ('0x' || h[17:24])::BIGINT % 100 AS d3, ('0x' || h[25:32])::BIGINT % 100 AS d4
+  FROM drawn),
+formed AS (
+  SELECT doc_id, text, n, least(r1, r2) AS a, greatest(r1, r2) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>')
+                OR contains(text, '<M>') OR d3 >= 90 THEN 'plain'
+              WHEN d4 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers),
+cut AS (
+  SELECT *, substring(text, 1, a) AS pre, substring(text, a + 1, b - a) AS mid,
+         substring(text, b + 1, n - b) AS suf
+  FROM formed)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text
+                        WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cut
+"""
+
+# No SQL form: 1 and 10 (binary containers, a compressor), 3, 6 and 12 (byte-pair merges are a
 # sequential process per word), 7 (places of leftmost matches).
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op11_source_divergence": _DIVERGENCE_SQL,
+    "op13_fill_in_middle": _INFILL_SQL,
+}
