@@ -60,13 +60,18 @@ class TopK:
         self.pending: list[list[np.ndarray]] = []
         self.pending_rows = 0
 
-    def add(self, ids: np.ndarray, docs: np.ndarray) -> None:
-        if not len(self.query_ids):
+    def add(self, ids: np.ndarray, docs: np.ndarray, only: np.ndarray | None = None) -> None:
+        """Score documents against all queries, or against those at the places ``only``."""
+        if only is None:
+            only = np.arange(len(self.query_ids))
+        if not len(only):
             return
-        step = max(1, _PRODUCT_CELLS // len(self.query_ids))
+        queries = self.queries if len(only) == len(self.queries) else self.queries[only]
+        step = max(1, _PRODUCT_CELLS // len(only))
         for low in range(0, len(ids), step):
             block, block_ids = docs[low:low + step], ids[low:low + step]
-            rows, cols = np.nonzero(block @ self.queries.T >= self.floor - _SLACK)
+            rows, cols = np.nonzero(block @ queries.T >= self.floor[only] - _SLACK)
+            cols = only[cols]
             scores = np.einsum("ij,ij->i", block[rows], self.queries[cols])
             above = scores > self.threshold
             self.pending.append([cols[above], block_ids[rows[above]], scores[above]])

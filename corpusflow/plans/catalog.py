@@ -8,6 +8,7 @@ microseconds.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.config import ChunkRules, ChunkSizes, Site
 from corpusflow.functions.lineage import shared_folder
-from corpusflow.operators import chunks, conversation, embed, packing, pages, retrieve, urls
+from corpusflow.operators import ann, chunks, conversation, embed, packing, pages, retrieve, urls
 from corpusflow.plans import pipelines
 from corpusflow.sources import tables
 from corpusflow.session import ROCKSDB
@@ -45,6 +46,8 @@ BOILERPLATE_TITLE = (r"src1\d", r"es$")
 HOMEPAGES = ("src0", "src1", "src2")
 SYSTEM = "Answer from the context only."
 K, THRESHOLD = 12, 0.25
+# Cells per query of the stored index, which has one per label.
+N_PROBE = 8
 CONTEXT_TOKENS, HISTORY_TOKENS = 400, 200
 RATE, WINDOW_SECONDS = 3, 86400
 EVICT_AFTER = "1 minute"
@@ -524,32 +527,52 @@ def match_documents(spark, sf):
     return matches(spark, sf).withColumn("similarity", F.round("similarity", 6))
 
 
-def _centroids(spark, sf):
-    return retrieve.train_centroids(index(spark, sf), 16)
+def _stored_index(spark, sf):
+    """The stored index of the vectors, one cell per label; built once per application."""
+    path = f"{shared_folder(spark)}/index-{hashlib.sha256(sf.encode('utf-8')).hexdigest()}"
+    if not tables.path_exists(spark, f"{path}/settings/_SUCCESS"):
+        vectors = _read(spark, sf, "embeddings")
+        centroids = ann.mean_centroids(vectors, "label")
+        docs = vectors.select(F.col("vec_id").alias("id"), "embedding")
+        return ann.build_ann_index(docs, path, centroids, N_PROBE)
+    return ann.open_ann_index(spark, path)
 
 
-def _approx_matches(spark, sf):
-    docs, asked_for, centroids = index(spark, sf), questions(spark, sf), _centroids(spark, sf)
-    n_probe = retrieve.probes_for(docs, asked_for, centroids, K, THRESHOLD)
-    return retrieve.approx_match_documents(docs, asked_for, centroids, n_probe, K, THRESHOLD)
+def _approx_matches(spark, sf, n_probe=None, block_bytes=retrieve.BLOCK_BYTES):
+    found = ann.search(
+        _stored_index(spark, sf), questions(spark, sf), K, THRESHOLD, n_probe, block_bytes
+    )
+    return found.select("query_id", "rank", "id", F.round("similarity", 6).alias("similarity"))
+
+
+def build_ann_index(spark, sf):
+    """Which cell every vector is stored in."""
+    return _stored_index(spark, sf).vectors.select("id", "cell")
 
 
 def approx_match_documents(spark, sf):
-    return _approx_matches(spark, sf).select(
-        "query_id", "rank", "id", F.round("similarity", 6).alias("similarity")
-    )
+    return _approx_matches(spark, sf)
+
+
+def approx_match_blocks(spark, sf):
+    """The same search with blocks of 400 queries: queries go to the documents' slots."""
+    return _approx_matches(spark, sf, block_bytes=8 * 64 * 400)
 
 
 def approx_match_all_cells(spark, sf):
-    """Probing every cell is exact search."""
+    """Probing every cell is exact search; here with an index trained on a sample of its vectors."""
+    docs, n_cells = index(spark, sf), 16
     found = retrieve.approx_match_documents(
-        index(spark, sf), questions(spark, sf), _centroids(spark, sf), 16, K, THRESHOLD
+        docs, questions(spark, sf), retrieve.train_centroids(docs, n_cells), n_cells, K, THRESHOLD
     )
     return found.select("query_id", "rank", "id", F.round("similarity", 6).alias("similarity"))
 
 
 def approx_recall(spark, sf):
-    return retrieve.recall(matches(spark, sf), _approx_matches(spark, sf))
+    """Per query, how many of the exact matches among all vectors the stored index finds."""
+    vectors = _read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    exact = retrieve.match_documents(vectors, questions(spark, sf), K, THRESHOLD)
+    return retrieve.recall(exact, _approx_matches(spark, sf))
 
 
 def conversation_history(spark, sf):
@@ -882,7 +905,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         clean_sections, make_chunks, classify_chunks, dedup_chunks, keep_first_chunks,
         cleaning_report, build_chunks,
         embed_chunks, embed_summary, first_errors, load_documents,
-        match_documents, approx_match_documents, approx_match_all_cells, approx_recall,
+        match_documents, build_ann_index, approx_match_documents, approx_match_blocks,
+        approx_match_all_cells, approx_recall,
         conversation_history, contextual_queries, trim_history, trim_history_pairs_first,
         select_matches, pack_context, pick_source, assemble_prompts, cache_lookup,
         cache_misses, answer_cache_inputs, generated_answers, unanswered,

@@ -546,6 +546,44 @@ matches AS (
   SELECT t.query_id, t.rank, t.id, d.content, d.source_url, d.title, '' AS section, t.sim
   FROM top t JOIN doc_index d ON d.id = t.id)
 """
+# Cells are labels: mean vectors, every vector in the most similar cell, queries in the best ones.
+_CELLS = f"""
+components AS (
+  SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS pos
+  FROM embeddings),
+centroids AS (
+  SELECT label AS cell, list(mean ORDER BY pos) AS centroid
+  FROM (SELECT label, pos, avg(x) AS mean FROM components GROUP BY label, pos) GROUP BY label),
+near AS (
+  SELECT e.vec_id, c.cell, row_number() OVER (PARTITION BY e.vec_id ORDER BY
+    list_cosine_similarity(e.embedding::DOUBLE[], c.centroid) DESC, c.cell) AS place
+  FROM embeddings e CROSS JOIN centroids c),
+stored AS (
+  SELECT e.vec_id AS id, n.cell, e.embedding::DOUBLE[] AS embedding
+  FROM embeddings e JOIN near n ON n.vec_id = e.vec_id AND n.place = 1)
+"""
+
+
+def _top(name: str, condition: str) -> str:
+    return f"""
+{name} AS (
+  SELECT query_id, id, sim,
+    row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id)::INT AS rank
+  FROM (
+    SELECT q.vec_id AS query_id, d.id,
+      list_cosine_similarity(d.embedding, q.embedding::DOUBLE[]) AS sim
+    FROM embeddings q CROSS JOIN stored d {condition})
+  WHERE sim > {c.THRESHOLD} QUALIFY rank <= {c.K})
+"""
+
+
+_PROBED = _top(
+    "found",
+    f"JOIN near n ON n.vec_id = q.vec_id AND n.cell = d.cell AND n.place <= {c.N_PROBE}",
+)
+_APPROX = f"""
+WITH {_CELLS}, {_PROBED} SELECT query_id, rank, id, round(sim, 6) AS similarity FROM found"""
+
 _FIXED_TOKENS = -(-len(c.SYSTEM) // 4) + 6
 _PACKED = f"""{_MATCHES},
 budgets AS (
@@ -925,6 +963,15 @@ ORACLE_SQL: dict[str, str] = {
     # retrieval
     "match_documents": f"""
         WITH {_MATCHES} SELECT * EXCLUDE (sim), round(sim, 6) AS similarity FROM matches""",
+    "build_ann_index": f"WITH {_CELLS} SELECT id, cell::INT AS cell FROM stored",
+    "approx_match_documents": _APPROX,
+    "approx_match_blocks": _APPROX,
+    "approx_recall": f"""
+        WITH {_CELLS}, {_PROBED}, {_top('exact', '')}
+        SELECT e.query_id, count(*) AS n_exact, count(f.id) AS n_found,
+          count(f.id)::DOUBLE / count(*) AS recall
+        FROM exact e LEFT JOIN found f ON f.query_id = e.query_id AND f.id = e.id
+        GROUP BY e.query_id""",
     "approx_match_all_cells": f"""
         WITH {_MATCHES} SELECT query_id, rank, id, round(sim, 6) AS similarity FROM matches""",
     "conversation_history": f"""
