@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding over a table of distinct chunks.
 
-The texts are marked as the model says (a marker for every space, one in front) and cut before
-every marker that follows something else. Where no piece of the vocabulary reaches over such a
-cut, the chunks are encoded one by one, and equal chunks alike:
+The texts are marked as the model says (a marker for every space, one in front) and cut into
+marked words, and these where no piece of the vocabulary reaches over (between letters and
+punctuation, around digits and signs that are no part of a longer piece). So the chunks can be
+encoded one by one, and equal chunks alike:
 
 1. Blocks of texts (``BLOCK_BYTES``, ``BLOCK_CHUNKS``) are written once, as numbers of chunks by
    position, with the block's own list of chunks. The table is bucketed by block.
@@ -11,7 +12,7 @@ cut, the chunks are encoded one by one, and equal chunks alike:
    of shards follows the number of entries.
 3. The ids go back to their blocks and are put in by position; the texts don't move.
 
-A vocabulary with pieces over such cuts has whole texts as chunks. Decoding concatenates
+A vocabulary with pieces that go on over a marker has whole texts as chunks. Decoding concatenates
 the vocabulary's strings.
 
 A null text counts as empty: the end id alone. Columns of the result's names are replaced, other
@@ -21,17 +22,17 @@ columns pass through, rows stay as they are (repeated ones too), an empty table
 from __future__ import annotations
 
 import codecs
+import re
 import uuid
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -50,7 +51,7 @@ from corpusflow.llm.frames import append_columns, fresh, texts_of, without
 
 MARKER = "▁"
 # Texts and chunks of a block: what a task holds at a time.
-BLOCK_BYTES, BLOCK_CHUNKS = 16 << 20, 250_000
+BLOCK_BYTES, BLOCK_CHUNKS = 32 << 20, 500_000
 # Entries (a chunk of a block) of a shard, on average.
 SHARD_ENTRIES = 600_000
 # Chunks up to this many symbols are merged by looking through all of them.
@@ -58,6 +59,32 @@ SHORT = 48
 NONE = 1 << 40
 
 
+def chunk_pattern(pieces: Iterable[str]) -> str:
+    """Markers and what a piece may hold after them, longest runs first.
+
+    Characters that stand side by side in a piece are of one class, and so are their neighbours;
+    a character of no longer piece is a chunk by itself.
+    """
+    leader: dict[str, str] = {}
+
+    def of(c: str) -> str:
+        while leader.setdefault(c, c) != c:
+            c = leader[c]
+        return c
+
+    for piece in pieces:
+        if len(piece) > 1:
+            first, *others = piece.lstrip(MARKER) or MARKER
+            of(first)
+            for c in others:
+                leader[of(c)] = of(first)
+    classes: dict[str, list[str]] = {}
+    for c in sorted(leader):
+        classes.setdefault(of(c), []).append(re.escape(c))
+    runs = "|".join(f"[{''.join(c)}]+" for c in classes.values() if c != [MARKER])
+    return rf"{MARKER}*(?:{runs})|{MARKER}+|." if runs else f"{MARKER}+|."
+
+
 class Model:
     """A SentencePiece file of the byte-pair kind: pieces, scores and what joins to what."""
 
@@ -80,7 +107,7 @@ class Model:
         self.falls_back = trained.byte_fallback
         self.ids = {p.piece: i for i, p in enumerate(parts.pieces) if p.type == kinds.NORMAL}
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(parts.pieces) if p.type == kinds.BYTE}
-        self.crosses = any(regex.search(f"[^{MARKER}]{MARKER}", p) for p in self.ids)
+        self.crosses = any(re.search(f"[^{MARKER}]{MARKER}", p) for p in self.ids)
         # The place of a score among all scores, the best first; equal scores share one.
         scores = sorted({parts.pieces[i].score for i in self.ids.values()}, reverse=True)
         place = {score: n for n, score in enumerate(scores)}
@@ -92,6 +119,7 @@ class Model:
                 if left is not None and right is not None:
                     rank = place[parts.pieces[number].score]
                     self.joins[left << 20 | right] = rank << 20 | number
+        self.chunk = re.compile(chunk_pattern(self.ids), re.DOTALL)
         # What an id decodes to.
         self.strings = [b""] * len(parts.pieces)
         for i, p in enumerate(parts.pieces):
@@ -110,7 +138,7 @@ class Model:
         if not text:
             return []
         marked = self.front + text.replace(" ", MARKER)
-        return [marked] if self.crosses else CHUNK.findall(marked)
+        return [marked] if self.crosses else self.chunk.findall(marked)
 
     def segment(self, chunk: str) -> list[int]:
         """Ids of a chunk: the best-scored join first, the leftmost among equals."""
@@ -218,7 +246,6 @@ class Model:
         return "".join(d.decode("utf-8", "corpusflow-each-byte") for d in data)
 
 
-CHUNK = regex.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+")
 codecs.register_error(
     "corpusflow-each-byte", lambda e: ("�" * (e.end - e.start), e.end)
 )
@@ -260,6 +287,15 @@ def unpacked_numbers(data: bytes) -> np.ndarray:
     return numbers
 
 
+def hashes_of(chunks: Iterable[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, chunks), np.uint32)
+
+
+def cut_apart(data: bytes, lengths: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(lengths)
+    return [data[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+
+
 class Block:
     """Texts as numbers of chunks, numbered as they come up."""
 
@@ -277,12 +313,13 @@ class Block:
     def full(self) -> bool:
         return self.size >= BLOCK_BYTES or len(self.numbers) >= BLOCK_CHUNKS
 
-    def listed(self) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Chunks by hash, the hashes, and the number of each."""
-        chunks = list(self.numbers)
-        hashes = np.fromiter((zlib.crc32(c.encode("utf-8")) for c in chunks), np.uint32, len(chunks))
-        order = np.argsort(hashes, kind="stable")
-        return [chunks[i] for i in order.tolist()], hashes[order], order
+    def listed(self) -> tuple[bytes, bytes, bytes]:
+        """The chunks by hash, one after the other; their lengths in bytes, and their numbers."""
+        chunks = [c.encode("utf-8") for c in self.numbers]
+        order = np.argsort(hashes_of(chunks), kind="stable")
+        by_hash = [chunks[i] for i in order.tolist()]
+        lengths = np.fromiter(map(len, by_hash), np.uint32, len(by_hash))
+        return b"".join(by_hash), packed_numbers(lengths), packed_numbers(order)
 
 
 def encode(
@@ -301,7 +338,8 @@ def encode(
     spark = docs.sparkSession
     added = [ids] + ([decoded] if decoded else [])
     kept = [c for c in without(docs, added) if keep_text or c != text]
-    block, coded, listed, order, hashes = fresh(docs, "block", "coded", "listed", "order", "hashes")
+    block, coded, *of_list = fresh(docs, "block", "coded", "n_chunks", "listed", "lengths", "order")
+    n_chunks, listed, lengths, order = of_list
     source = fresh(docs.select(*kept), "source")[0] if text not in kept else text
     rows = docs.select(*kept, *([] if text in kept else [F.col(text).alias(source)]))
     fields = [docs.schema[c] for c in kept]
@@ -311,9 +349,8 @@ def encode(
             *nullable,
             StructField(block, LongType()),
             StructField(coded, BinaryType()),
-            StructField(listed, ArrayType(StringType())),
-            StructField(hashes, BinaryType()),
-            StructField(order, BinaryType()),
+            StructField(n_chunks, LongType()),
+            *[StructField(c, BinaryType()) for c in (listed, lengths, order)],
         ]
     )
     arrow = to_arrow_schema(schema)
@@ -328,17 +365,16 @@ def encode(
         def columns_of_rows(piece: pa.RecordBatch, coded_texts: list[bytes]):
             old = [piece.column(piece.schema.get_field_index(c)) for c in kept]
             n = len(coded_texts)
-            blank = [pa.nulls(n, arrow.field(c).type) for c in (listed, hashes, order)]
+            blank = [pa.nulls(n, arrow.field(c).type) for c in of_list]
             numbers = pa.array([first + done] * n, pa.int64())
             return pa.RecordBatch.from_arrays(
                 [*old, numbers, pa.array(coded_texts, pa.binary()), *blank], schema=arrow
             )
 
         def list_of_block() -> pa.RecordBatch:
-            chunks, hashed, numbers = current.listed()
             old = [pa.nulls(1, arrow.field(c).type) for c in kept]
-            new = [first + done, None, chunks, hashed.tobytes(), packed_numbers(numbers)]
-            names = (block, coded, listed, hashes, order)
+            new = [first + done, None, len(current.numbers), *current.listed()]
+            names = [block, coded, *of_list]
             values = [pa.array([v], arrow.field(c).type) for v, c in zip(new, names, strict=True)]
             return pa.RecordBatch.from_arrays([*old, *values], schema=arrow)
 
@@ -367,42 +403,43 @@ def encode(
         .saveAsTable(name)
     )
     blocks = spark.table(name)
-    lists = blocks.where(F.col(listed).isNotNull())
-    total = lists.agg(F.sum(F.size(listed))).first()[0] or 0
+    lists = blocks.where(F.col(n_chunks).isNotNull())
+    total = lists.agg(F.sum(n_chunks)).first()[0] or 0
     shards = max(1, -(-total // SHARD_ENTRIES))
 
     def cut_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                hashed = np.frombuffer(batch.column(1)[k].as_py(), np.uint32).astype(np.uint64)
+            for number, data, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lengths = unpacked_numbers(lengths)
+                hashed = hashes_of(cut_apart(data, lengths)).astype(np.uint64)
                 bounds = np.searchsorted(hashed * shards >> 32, np.arange(shards + 1))
-                chunks = batch.column(2).slice(k, 1).flatten()
+                ends = np.concatenate([[0], np.cumsum(lengths)])
                 full = np.flatnonzero(np.diff(bounds))
-                lengths = np.diff(bounds)[full]
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(full, pa.int64()),
-                        pa.array([batch.column(0)[k].as_py()] * len(full), pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(offsets), chunks),
-                    ],
-                    ["shard", "block", "chunks"],
-                )
+                spans = list(zip(bounds[full].tolist(), bounds[full + 1].tolist(), strict=True))
+                columns = [
+                    pa.array(full, pa.int64()),
+                    pa.array([number] * len(full), pa.int64()),
+                    pa.array([data[ends[a] : ends[b]] for a, b in spans], pa.binary()),
+                    pa.array([packed_numbers(lengths[a:b]) for a, b in spans], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "block", "chunks", "lengths"])
 
     def segment_shard(table: pa.Table) -> pa.Table:
         """Each distinct chunk of the shard once, then the answers block by block."""
         segment = model(path).segment
-        lists = table.column("chunks").combine_chunks()
-        coded = lists.flatten().dictionary_encode()
-        found = [segment(c) for c in coded.dictionary.to_pylist()]
+        packed = [unpacked_numbers(one) for one in table.column("lengths").to_pylist()]
+        counts = [len(one) for one in packed]
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(packed))]).astype(np.int32)
+        data = b"".join(table.column("chunks").to_pylist())
+        given = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(data))
+        given = given.dictionary_encode()
+        found = [segment(c) for c in given.dictionary.to_pylist()]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for ids in found for i in ids), np.int64, int(lengths.sum()))
         starts = np.cumsum(lengths) - lengths
-        places = coded.indices.to_numpy(zero_copy_only=False)
-        bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        places = given.indices.to_numpy(zero_copy_only=False)
         answers, sizes = [], []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            mine = places[a:b]
+        for mine in np.split(places, np.cumsum(counts)[:-1]):
             answers.append(packed_numbers(gathered(flat, starts[mine], lengths[mine])))
             sizes.append(packed_numbers(lengths[mine]))
         return pa.table(
@@ -415,8 +452,8 @@ def encode(
         )
 
     answers = (
-        lists.select(block, hashes, listed)
-        .mapInArrow(cut_lists, "shard long, block long, chunks array<string>")
+        lists.select(block, listed, lengths)
+        .mapInArrow(cut_lists, "shard long, block long, chunks binary, lengths binary")
         .groupBy("shard")
         .applyInArrow(segment_shard, "shard long, block long, answer binary, sizes binary")
     )
