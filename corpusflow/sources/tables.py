@@ -1,14 +1,17 @@
 """Reading and writing the corpus tables.
 
-JSON files are for exchange: one array per file, or one object per line, at most 2 GB a
-file as each is parsed as a whole. Malformed files are errors. Between jobs tables are Parquet.
+JSON files are for exchange: one array per file, or one object per line, of any size (see
+``json_items``). Malformed files are errors. Between jobs tables are Parquet.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from corpusflow.sources import json_items
 
 PAGE_SCHEMA = (
     "source_url string, title string, "
@@ -30,65 +33,50 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
-def _read_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(file_ord, value)``: whole files, numbered by name."""
-    text = spark.read.text(path, wholetext=True)
-    files = spark.createDataFrame(
-        list(enumerate(sorted(text.inputFiles()))), "file_ord bigint, file string"
-    )
-    # One row per file; a listing of that size is held by the driver in any case.
-    return (
-        text.withColumn("file", F.input_file_name())
-        .join(F.broadcast(files), "file")
-        .select("file_ord", "value")
-    )
+def _ordered(blocks: DataFrame, schema: str, as_row: Callable[[str], dict]) -> DataFrame:
+    """``(ord, ...)`` per element; ``ord`` follows file, then position."""
+    rows = json_items.parsed(json_items.elements(blocks), schema, as_row)
+    place = F.shiftleft("file_ord", 32) + F.col("pos")
+    return rows.select(place.alias("ord"), *rows.columns[2:])
 
 
-def _items(files: DataFrame, item: str, field: str | None = None) -> DataFrame:
-    """``(ord, item)`` per element; ``ord`` follows file, then position.
+def _pages(blocks: DataFrame) -> DataFrame:
+    rows = _ordered(blocks, PAGE_SCHEMA, json_items.objects_with("source_url", "sections"))
+    return rows.withColumnRenamed("ord", "page_ord")
 
-    A file holds one JSON array or, as ``write_table`` makes them, one JSON object per line,
-    where ``field`` stands for the element if given. Anything malformed raises.
-    """
-    strict = {"mode": "FAILFAST"}
-    line_type = f"struct<{field}: {item}>" if field else item
-    is_array = F.ltrim("value").startswith("[")
-    lines = F.filter(F.split("value", "\r?\n"), lambda line: F.trim(line) != "")
-    # The parser ends with the first array of a text; strings hold no line ends.
-    several = F.col("value").rlike(r"\]\s*\n\s*\[")
-    value = F.when(
-        is_array & several, F.raise_error(F.lit("malformed file: more than one array"))
-    ).otherwise(F.col("value"))
-    rows = files.select("file_ord", value.alias("value"), is_array.alias("is_array"))
-    arrays = rows.where("is_array").select(
-        "file_ord", F.posexplode(F.from_json("value", f"array<{item}>", strict))
-    )
-    objects = rows.where("not is_array").select("file_ord", F.posexplode(lines))
-    element = F.from_json("col", line_type, strict)
-    parsed = objects.select(
-        "file_ord", "pos", (element[field] if field else element).alias("col")
-    )
-    return arrays.unionByName(parsed).select(
-        (F.shiftleft("file_ord", 32) + F.col("pos")).alias("ord"), F.col("col").alias("item")
+
+def _urls(blocks: DataFrame) -> DataFrame:
+    return _ordered(blocks, "url string", json_items.objects_with("url", plain="url"))
+
+
+def _chunks(blocks: DataFrame) -> DataFrame:
+    rows = _ordered(blocks, CHUNK_SCHEMA, json_items.objects_with("id", "content"))
+    return rows.select(
+        *rows.columns[1:], F.col("ord").alias("page_ord"), F.lit(0).alias("section_index")
     )
 
 
-def _struct(schema: str) -> str:
-    return StructType.fromDDL(schema).simpleString()
+def _answers(blocks: DataFrame) -> DataFrame:
+    def entry(text: str) -> dict:
+        found = json_items.pair(text)
+        if not isinstance(found["value"], dict) or "answer" not in found["value"]:
+            raise ValueError("no entry with an answer")
+        return {"question": found["key"], "answer": found["value"]["answer"]}
+
+    entries = json_items.elements(blocks, "{")
+    return json_items.parsed(entries, "question string, answer string", entry).select(
+        "question", "answer"
+    )
 
 
 def pages_from_json(files: DataFrame) -> DataFrame:
     """Ingested pages from ``files(file_ord, value)`` holding JSON arrays or lines of pages."""
-    return _items(files, _struct(PAGE_SCHEMA)).select(
-        F.col("ord").alias("page_ord"), "item.*"
-    )
+    return _pages(json_items.blocks_of(files))
 
 
 def urls_from_json(files: DataFrame) -> DataFrame:
     """``(ord, url)`` from JSON arrays of strings, or lines of objects with a ``url``."""
-    return _items(files, "string", "url").select(
-        "ord", F.col("item").alias("url")
-    )
+    return _urls(json_items.blocks_of(files))
 
 
 def chunks_from_json(files: DataFrame) -> DataFrame:
@@ -97,48 +85,44 @@ def chunks_from_json(files: DataFrame) -> DataFrame:
     The exchange format has no page and section order; the position is kept as
     ``page_ord`` with ``section_index`` 0.
     """
-    return _items(files, _struct(CHUNK_SCHEMA)).select(
-        "item.*", F.col("ord").alias("page_ord"), F.lit(0).alias("section_index")
-    )
+    return _chunks(json_items.blocks_of(files))
 
 
 def answers_from_json(objects: DataFrame) -> DataFrame:
-    """``(question, answer)`` from JSON objects ``{question: {"answer": ...}}``.
+    """``(question, answer)`` from JSON objects ``{question: {"answer": ...}}``, one per row.
 
     A malformed object raises.
     """
-    entries = F.from_json("value", "map<string, struct<answer: string>>", {"mode": "FAILFAST"})
-    return objects.select(F.explode(entries)).select(
-        F.col("key").alias("question"), F.col("value.answer").alias("answer")
-    )
+    numbered = objects.select(F.monotonically_increasing_id().alias("file_ord"), "value")
+    return _answers(json_items.blocks_of(numbered))
 
 
 def read_pages(spark: SparkSession, path: str, format: str = "json") -> DataFrame:
     """Ingested pages with ``page_ord``, from JSON files or a stored table."""
     if format != "json":
         return spark.read.format(format).load(path)
-    return pages_from_json(_read_files(spark, path))
+    return _pages(json_items.read_blocks(spark, path))
 
 
 def read_urls(spark: SparkSession, path: str, format: str = "json") -> DataFrame:
     """``(ord, url)`` from JSON files or a stored table."""
     if format != "json":
         return spark.read.format(format).load(path)
-    return urls_from_json(_read_files(spark, path))
+    return _urls(json_items.read_blocks(spark, path))
 
 
 def read_chunks(spark: SparkSession, path: str, format: str = "json") -> DataFrame:
     """Chunks from JSON files or a stored table."""
     if format != "json":
         return spark.read.format(format).load(path)
-    return chunks_from_json(_read_files(spark, path))
+    return _chunks(json_items.read_blocks(spark, path))
 
 
 def read_answer_cache(spark: SparkSession, path: str) -> DataFrame:
     """``(question, answer)`` from cache files; a path that does not exist is empty."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], "question string, answer string")
-    return answers_from_json(spark.read.text(path, wholetext=True))
+    return _answers(json_items.read_blocks(spark, path))
 
 
 def answer_cache_objects(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.lineage import in_sequence
 from corpusflow.operators import embed
-from corpusflow.sources import tables
+from corpusflow.sources import json_items, tables
 from corpusflow.streaming import page_stream
 
 CHUNKS = (
@@ -71,7 +71,7 @@ def test_json_sources(spark, tmp_path):
     assert [r.source_url for r in rows] == ["u", "v", "w"]
     assert rows[0].sections[0].text == "b" and rows[0].title is None
     (tmp_path / "urls.json").write_text(json.dumps(["z", "a"]))
-    urls = tables.read_urls(spark, str(tmp_path / "urls.json")).collect()
+    urls = tables.read_urls(spark, str(tmp_path / "urls.json")).orderBy("ord").collect()
     assert [(r.ord, r.url) for r in urls] == [(0, "z"), (1, "a")]
     (tmp_path / "chunks.json").write_text(json.dumps([{"id": "i", "content": "c", "chunk_index": 3}]))
     chunk = tables.read_chunks(spark, str(tmp_path / "chunks.json")).first()
@@ -109,6 +109,66 @@ def test_malformed_json_raises(spark, tmp_path, text):
         tables.read_urls(spark, str(tmp_path)).collect()
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        '["a"]["b"]', '["a"] trailing', '["a"],\n["b"]', '{"url":"a"} {"url":"b"}', '{"nope":"a"}',
+        '["a"],', '["a",]', '[,"a"]', '["a" "b"]', '["a"]]', '{"url":"a"}]', '["a"} ', '"a\\', '[1]', '["a", {"url": 1}]',
+        '["a\n"', '[["a"]]', '{"url":"a"},',
+    ],
+)
+@pytest.mark.parametrize("block", [1, 4 << 20])
+def test_json_that_is_more_or_less_than_expected_raises(spark, tmp_path, text, block, monkeypatch):
+    monkeypatch.setattr(json_items.read_blocks, "__defaults__", (block,))
+    (tmp_path / "bad.json").write_text(text)
+    with pytest.raises(Exception, match="(?i)malformed|expected|tried to convert"):
+        tables.read_urls(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("block", [1, 40, 4 << 20])
+def test_json_in_blocks_keeps_every_element(spark, tmp_path, block, monkeypatch):
+    monkeypatch.setattr(json_items.read_blocks, "__defaults__", (block,))
+    odd = ['a,b', 'x"y', 'back\\slash\\', ']', '[', '{"u": 1}', "line\nend", "", "ü,€", ",", '\\"', "tab\t"] * 3
+    (tmp_path / "a.json").write_text(json.dumps(odd))
+    (tmp_path / "b.json").write_text("\n \n" + json.dumps(odd, indent=1, ensure_ascii=False) + " \n")
+    (tmp_path / "c.json").write_text("\n\n".join(json.dumps({"url": u, "n": [1, {"k": "]"}]}) for u in odd) + "\r\n")
+    (tmp_path / "d.json").write_text("")
+    (tmp_path / "e.json").write_text(" [ ] ")
+    (tmp_path / "f.json").write_bytes(b"\xef\xbb\xbf" + json.dumps(odd).encode())
+    rows = tables.read_urls(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [r.url for r in rows] == odd * 4
+    assert len({r.ord for r in rows}) == len(rows)
+
+
+@pytest.mark.parametrize("block", [1, 4 << 20])
+def test_answer_cache_in_blocks(spark, tmp_path, block, monkeypatch):
+    monkeypatch.setattr(json_items.read_blocks, "__defaults__", (block,))
+    wanted = {f"q{i}, \"{i}\"": {"answer": f"{{a{i}}}, ]", "more": [1, 2]} for i in range(20)}
+    (tmp_path / "a.json").write_text(json.dumps(wanted))
+    (tmp_path / "b.json").write_text("{}")
+    got = {r.question: r.answer for r in tables.read_answer_cache(spark, str(tmp_path)).collect()}
+    assert got == {q: a["answer"] for q, a in wanted.items()}
+    for text in ('{"q": {"answer": "a"}} {"r": {"answer": "b"}}', '{"q": {"no": "a"}}', '[]', '{"q": "a"}', '{"q": {"answer": "a"},}'):
+        (tmp_path / "b.json").write_text(text)
+        with pytest.raises(Exception, match="(?i)malformed"):
+            tables.read_answer_cache(spark, str(tmp_path)).collect()
+
+
+def test_one_long_line_is_read_in_several_splits(spark, tmp_path):
+    urls = [f"https://example.org/{k}?a={k},{k}" for k in range(20_000)]
+    (tmp_path / "long.json").write_text(json.dumps(urls))
+    setting = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "64k")
+    try:
+        blocks = json_items.read_blocks(spark, str(tmp_path / "long.json"))
+        assert blocks.rdd.getNumPartitions() > 5 and blocks.count() > 5
+        rows = tables.read_urls(spark, str(tmp_path / "long.json")).orderBy("ord").collect()
+    finally:
+        spark.conf.set(setting, before)
+    assert [r.url for r in rows] == urls and [r.ord for r in rows] == list(range(len(urls)))
+
+
 def test_malformed_answer_cache_raises(spark, tmp_path):
     (tmp_path / "cache.json").write_text('{"q": {"answer": "a"}, ')
     with pytest.raises(Exception, match="(?i)malformed"):
