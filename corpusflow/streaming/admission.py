@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -21,6 +21,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from corpusflow import config
 from corpusflow.functions import text as t
+from corpusflow.functions.lineage import stored
 
 # The process that prepares a stateful operator on the driver does not see shipped packages.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -56,62 +57,56 @@ def rate_limit(
     limit: int = config.RATE_LIMIT_REQUESTS,
     window_seconds: int = config.RATE_LIMIT_WINDOW_SECONDS,
     busy_rows: int = 1_000_000,
-    segment_rows: int = 8_000_000,
+    segment_rows: int = 1_000_000,
 ) -> DataFrame:
     """Admission decision for every row of ``requests(request_id, client, ts)``.
 
     Returns ``(request_id, client, ts, allowed, remaining, reset_at, retry_after)``, the
     requests of a client taken in the order of ``(ts, request_id)``.
 
-    A client with at most ``busy_rows`` requests is one group. The few above that are
-    split over time, into segments of about ``segment_rows`` requests. Windows chain (each
-    opens where the one before has ended), but how a segment maps the window open at its
-    start to the one open at its end can be computed without knowing the start:
+    A client with at most ``busy_rows`` requests is one group. The requests of the few above
+    that are put in order by range and cut by count into segments of at most ``segment_rows``, so
+    that a burst within one window is cut as well. Windows chain (each opens where the one
+    before has ended), but how a segment maps the window open at its start to the one open
+    at its end can be computed without knowing the start:
 
-    1. per client and segment, the possible outcomes as a function of the entry state
-       (windows from different entries soon coincide, so they are few);
+    1. per client and segment, the possible outcomes as a function of the entry state. Only
+       ends of windows that the client can have opened before count: there is one for the
+       first segment, and none that matters for segments within the first window;
     2. per client, the entry state of each segment, one pass over those outcomes;
     3. per client and segment, the decisions.
     """
     window = window_seconds * _MICROS
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     timed = requests.select("request_id", "client", us.alias("us"))
-    span = F.max("us") - F.min("us") + 1
-    length = F.ceil(span / F.count(F.lit(1)) * F.lit(float(segment_rows)))
     # At most one client per busy_rows requests.
     busy = F.broadcast(
         timed.groupBy("client")
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min("us").alias("_first"),
-            F.greatest(length, F.lit(window)).alias("_length"),
-        )
-        .where(F.col("_n") > busy_rows)
-        .select("client", "_first", "_length")
-    )
-    # A segment is named by the time it begins.
-    offset = F.col("us") - F.col("_first")
-    keyed = timed.join(busy, "client", "left").select(
-        "request_id",
-        "client",
-        "us",
-        F.coalesce(F.col("us") - F.pmod(offset, F.col("_length")), F.lit(0)).alias("segment"),
-        F.col("_first").isNotNull().alias("busy"),
+        .agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us"))
+        .where(F.col("n") > busy_rows)
+        .select(F.col("client").alias("busy_client"), "first_us")
     )
+    client_type = requests.schema["client"].dataType.simpleString()
+    decided_type = f"request_id bigint, client {client_type}, us bigint, rank bigint, window_end bigint"
+    if busy.isEmpty():
+        alone = timed.groupBy("client").applyInArrow(
+            lambda rows: _decided(rows, _CLOSED, window), decided_type
+        )
+        return _decisions(alone, limit)
+    # A NULL client is one, too.
+    same = F.col("client").eqNullSafe(F.col("busy_client"))
+    columns = ["request_id", "client", "us", "first_us"]
+    segmented = stored(_in_segments(timed.join(busy, same).select(*columns), segment_rows))
 
     def outcomes(key: tuple, rows: pa.Table) -> pa.Table:
-        client, begin = key
-        result = _segment_outcomes(rows.column("us").to_numpy(), begin.as_py(), window)
+        times, first = rows.column("us").to_numpy(), rows.column("first_us")[0].as_py()
+        result = _segment_outcomes(times, first, window)
         n = len(result["below"])
-        return pa.table(
-            {"client": pa.repeat(client, n), "segment": pa.repeat(begin, n), **result}
-        )
+        return pa.table({"client": pa.repeat(key[0], n), "segment": pa.repeat(key[1], n), **result})
 
-    client_type = requests.schema["client"].dataType.simpleString()
     entry_schema = f"client {client_type}, segment bigint, open_end bigint, open_count bigint"
     entries = (
-        keyed.where("busy")
-        .select("client", "segment", "us")
+        segmented.select("client", "segment", "us", "first_us")
         .groupBy("client", "segment")
         .applyInArrow(
             outcomes,
@@ -122,6 +117,8 @@ def rate_limit(
         .sortWithinPartitions("client", "segment", "below")
         .mapInPandas(_chain_segments, entry_schema)
     )
+    others = timed.join(busy, same, "left_anti").withColumn("segment", F.lit(-1).cast("long"))
+    keyed = others.unionByName(segmented.select("request_id", "client", "us", "segment"))
 
     def decide(rows: pa.Table, entry: pa.Table) -> pa.Table:
         state = (
@@ -129,30 +126,30 @@ def rate_limit(
             if entry.num_rows
             else _CLOSED
         )
-        ids, times = rows.column("request_id").to_numpy(), rows.column("us").to_numpy()
-        order, rank, ends = _decide(ids, times, state, window)
-        return pa.table(
-            {
-                "request_id": ids[order],
-                "client": rows.column("client").take(pa.array(order)),
-                "us": times[order],
-                "rank": rank,
-                "window_end": ends,
-            }
-        )
+        return _decided(rows, state, window)
 
     decided = (
-        keyed.select("request_id", "client", "us", "segment")
-        .groupBy("client", "segment")
+        keyed.groupBy("client", "segment")
         .cogroup(entries.groupBy("client", "segment"))
-        .applyInArrow(
-            decide,
-            f"request_id bigint, client {client_type}, us bigint, rank bigint, window_end bigint",
-        )
+        .applyInArrow(decide, decided_type)
     )
     return _decisions(decided, limit)
 
 
+def _decided(rows: pa.Table, state: tuple[int, int], window: int) -> pa.Table:
+    ids, times = rows.column("request_id").to_numpy(), rows.column("us").to_numpy()
+    order, rank, ends = _decide(ids, times, state, window)
+    return pa.table(
+        {
+            "request_id": ids[order],
+            "client": rows.column("client").take(pa.array(order)),
+            "us": times[order],
+            "rank": rank,
+            "window_end": ends,
+        }
+    )
+
+
 def _decisions(decided: DataFrame, limit: int) -> DataFrame:
     allowed = F.col("rank") <= limit
     wait = F.ceil((F.col("window_end") - F.col("us")) / F.lit(float(_MICROS)))
@@ -167,18 +164,46 @@ def _decisions(decided: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def _segment_outcomes(times: np.ndarray, begin: int, window: int) -> dict[str, np.ndarray]:
+def _in_segments(rows: DataFrame, segment_rows: int) -> DataFrame:
+    """``rows(request_id, client, us, ...)`` with ``segment``.
+
+    Rows are in order of ``(client, us, request_id)`` over ranges; a segment is at most
+    ``segment_rows`` rows in a row, and begins anew with every range.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partition, done = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            place = np.arange(done, done + batch.num_rows) // segment_rows
+            done += batch.num_rows
+            yield batch.append_column("segment", pa.array(partition << 32 | place))
+
+    in_order = ["client", "us", "request_id"]
+    ranged = rows.repartitionByRange(*in_order).sortWithinPartitions(*in_order)
+    return ranged.mapInArrow(number, StructType(list(ranged.schema.fields)).add("segment", LongType()))
+
+
+def _segment_outcomes(times: np.ndarray, first_time: int, window: int) -> dict[str, np.ndarray]:
     """The open window at the end of a segment, by the one open at its start.
 
     One row per distinct outcome: it applies when the entering window ends before
     ``below`` (and not before the previous row's). No row applies if the entering window
-    covers all requests.
+    covers all requests. ``first_time`` is the client's first request: the segment that begins
+    with it is entered without a window, every other one by a window that ends a window's
+    length later than it, or still later. A segment without a row of its own gets one that
+    never applies.
     """
     times = np.sort(times)
-    # Windows that opened earlier end before begin + window, so the first window opened
-    # here starts at a request up to the first one past that point.
-    candidates = np.searchsorted(times, begin + window, "left") + 1
-    _, first = np.unique(times[:candidates], return_index=True)
+    # Windows open at the start were opened at its first time or before.
+    candidates = np.searchsorted(times, times[0] + window, "right") + 1
+    low = np.searchsorted(times, first_time + window, "right")
+    _, first = np.unique(times[low:candidates], return_index=True)
+    first = first + low
+    if times[0] == first_time and low > 0:
+        first = np.append(0, first)
+    if not len(first):
+        never = np.full(1, -(2**62))
+        return {"below": never, "exit_end": never, "exit_count": never, "n_rows": np.full(1, len(times))}
     last = first.copy()
     while True:
         following = np.searchsorted(times, times[last] + window, "right")

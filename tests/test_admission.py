@@ -69,6 +69,40 @@ def test_regular_arrivals_across_segments(spark):
     assert got == model(rows, 3, 10_000_000)
 
 
+def test_a_burst_within_one_window_is_cut(spark):
+    rng = random.Random(8)
+    rows = [(i, "a", 1000 + rng.randrange(5_000_000)) for i in range(3000)]  # all in one window
+    df = requests(spark, rows)
+    assert decisions(admission.rate_limit(df, 20, 10, 100, 70)) == model(rows, 20, 10_000_000)
+    timed = df.select("request_id", "client", F.unix_micros("ts").alias("us"))
+    cut = admission._in_segments(timed, 70)
+    assert cut.groupBy("client", "segment").count().agg(F.max("count")).first()[0] <= 70
+    by_time = cut.orderBy("us", "request_id").collect()
+    assert [r.segment for r in by_time] == sorted(r.segment for r in by_time)
+
+
+@pytest.mark.parametrize("before", [0, 3, 40])
+def test_bursts_after_a_trickle_and_at_one_instant(spark, before):
+    second = 1_000_000
+    rows = [(i, "a", i * second) for i in range(before)]
+    for burst, at in enumerate((9 * second, 9 * second, 12 * second, 50 * second + 1)):
+        rows += [(1000 * (burst + 1) + i, "a", at + (i // 100 if burst else 0)) for i in range(400)]
+    rows += [(9000 + i, None, i * second) for i in range(150)]
+    df = requests(spark, rows)
+    for segment in (1, 37, 400):
+        got = decisions(admission.rate_limit(df, 7, 10, 60, segment))
+        assert got == model(rows, 7, 10 * second)
+
+
+def test_outcomes_are_few_within_the_first_window():
+    import numpy as np
+
+    times = np.arange(1000, 51_000)
+    inside = admission._segment_outcomes(times, 0, 10**6)
+    assert len(inside["below"]) == 1 and inside["below"][0] < 0 and inside["n_rows"][0] == 50_000
+    assert len(admission._segment_outcomes(times, 1000, 10**6)["below"]) == 1
+
+
 @pytest.mark.parametrize("evict_after", [None, "1 hour"])
 def test_stream_equals_batch(spark, tmp_path, evict_after):
     rng = random.Random(4)
