@@ -20,8 +20,9 @@ from corpusflow.functions.lineage import shared_folder
 from corpusflow.operators import ann, chunks, conversation, embed, packing, pages, retrieve, urls
 from corpusflow.plans import pipelines
 from corpusflow.sources import tables
+from corpusflow.sources.published import published
 from corpusflow.session import ROCKSDB
-from corpusflow.streaming import admission, page_stream
+from corpusflow.streaming import admission, page_log, page_stream
 
 SITE = Site(
     start_url="http://thther.example.org",
@@ -444,6 +445,32 @@ def upsert_page_batches(spark, sf):
     )
 
 
+def upsert_page_stream(spark, sf):
+    """Documents as crawled pages from a stream of four files, a micro-batch each, into a log.
+
+    It is compacted after three batches; the fourth is merged when the table is read.
+    """
+    folder = _new_folder(spark)
+    documents, _ = _old_and_new_pages(spark, sf)
+    for part in range(4):
+        # Positions begin anew in every batch.
+        rows = documents.where(F.col("page_ord") % 4 == part)
+        rows = rows.withColumn("page_ord", F.floor(F.col("page_ord") / 4))
+        rows.coalesce(1).write.mode("append").parquet(f"{folder}/crawled")
+    stream = (
+        spark.readStream.schema(documents.schema)
+        .option("maxFilesPerTrigger", 1)
+        .parquet(f"{folder}/crawled")
+    )
+    query = page_log.upsert_log_stream(
+        stream, f"{folder}/pages", f"{folder}/state", 3, availableNow=True
+    )
+    query.awaitTermination()
+    return page_log.read_page_log(spark, f"{folder}/pages").select(
+        "url_key", "page_ord", "title", F.col("sections")[0]["text"].alias("text")
+    )
+
+
 def page_stats(spark, sf):
     return pages.page_stats(document_pages(spark, sf))
 
@@ -518,7 +545,7 @@ def load_documents(spark, sf):
     )
     tables.load_documents(embedded, table)
     replaced = tables.load_documents(embedded, table)
-    return spark.read.parquet(table).select(
+    return published(spark, table).select(
         "content", "source_url", "title", "section", F.lit(replaced).cast("bigint").alias("replaced")
     )
 
@@ -901,7 +928,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         exclude_crawl_urls, allow_domains, dedup_urls, drop_variant_urls, union_urls,
         url_summary, page_type_coverage, discover_urls,
         plan_crawl, plan_crawl_limited, tag_special_pages, best_attempt, pages_to_markdown, extract_sections,
-        extract_content_sections, page_sections, upsert_pages, upsert_page_batches, page_stats, crawl_outcome,
+        extract_content_sections, page_sections, upsert_pages, upsert_page_batches,
+        upsert_page_stream, page_stats, crawl_outcome,
         clean_sections, make_chunks, classify_chunks, dedup_chunks, keep_first_chunks,
         cleaning_report, build_chunks,
         embed_chunks, embed_summary, first_errors, load_documents,

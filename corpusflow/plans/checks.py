@@ -1078,5 +1078,18 @@ ORACLE_SQL: dict[str, str] = {
 }
 
 # Other ways to the same results.
+ORACLE_SQL["upsert_page_stream"] = """
+    WITH crawled AS (
+      SELECT 'https://' || source || '/' || lang AS url_key, 'old ' || doc_id AS title, text,
+        doc_id % 4 AS batch, doc_id // 4 AS ord
+      FROM documents),
+    ends AS (SELECT batch, max(ord) + 1 AS size FROM crawled GROUP BY batch),
+    starts AS (
+      SELECT batch, coalesce(sum(size) OVER (ORDER BY batch
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM ends),
+    placed AS (SELECT c.*, c.ord + s.start AS position FROM crawled c JOIN starts s USING (batch))
+    SELECT url_key, min(position) AS page_ord, arg_max(title, position) AS title,
+      arg_max(text, position) AS text
+    FROM placed GROUP BY url_key"""
 ORACLE_SQL["upsert_page_batches"] = ORACLE_SQL["upsert_pages"]
 ORACLE_SQL["rate_limit_stream"] = ORACLE_SQL["rate_limit"]

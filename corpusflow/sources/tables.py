@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusflow.sources import json_items
+from corpusflow.sources import json_items, published
 
 PAGE_SCHEMA = (
     "source_url string, title string, "
@@ -196,29 +196,26 @@ def write_table(df: DataFrame, path: str, format: str = "parquet") -> None:
     df.write.mode("overwrite").format(format).save(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, hadoop_path = _file_system(spark, path)
+    fs.delete(hadoop_path, True)
+
+
 def replace_table(df: DataFrame, path: str) -> int:
-    """Replace a Parquet table as a whole and return how many rows it held before.
+    """Replace a table as a whole and return how many rows it held before.
 
-    The new rows are written next to the table and moved into place when complete, so a
-    job that fails leaves the old table as it was.
+    The new rows become the current version in one step when they are complete (see
+    ``published``), so a job that fails at any point leaves the old table as it was.
     """
     spark = df.sparkSession
-    before = spark.read.parquet(path).count() if path_exists(spark, path) else 0
-    df.write.mode("overwrite").parquet(path + ".incoming")
-    fs, target = _file_system(spark, path)
-    _, incoming = _file_system(spark, path + ".incoming")
-    _, outgoing = _file_system(spark, path + ".outgoing")
-    fs.delete(outgoing, True)
-    if fs.exists(target):
-        fs.rename(target, outgoing)
-    fs.rename(incoming, target)
-    fs.delete(outgoing, True)
-    spark.catalog.refreshByPath(path)
+    old = published.read_state(spark, path)
+    before = published.published(spark, path).count() if old else 0
+    published.publish(df, path)
     return before
 
 
 def load_documents(embedded: DataFrame, path: str) -> int:
-    """Full refresh of the document index from embedded chunks.
+    """Full refresh of the document index from embedded chunks; read it with ``published``.
 
     Rows without a vector are left out; ``id`` is a new number, unique by partition and row
     (with gaps); the chunk's own id and index are not stored. Returns the old row count.

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.lineage import in_sequence
 from corpusflow.operators import embed
-from corpusflow.sources import json_items, tables
-from corpusflow.streaming import page_stream
+from corpusflow.sources import json_items, published, tables
+from corpusflow.streaming import page_log, page_stream
 
 CHUNKS = (
     "id string, content string, source_url string, title string, section string, "
@@ -218,7 +218,7 @@ def test_full_refresh(spark, tmp_path):
     embedded = embed.embed_chunks(chunk_rows(spark, 5), embed.hashing_embedder(4))
     assert tables.load_documents(embedded, path) == 0
     assert tables.load_documents(embedded.where("page_ord < 3"), path) == 5
-    stored = spark.read.parquet(path)
+    stored = published.published(spark, path)
     assert stored.count() == 3
     assert stored.columns == [
         "id", "content", "embedding", "source_url", "title", "section", "created_at",
@@ -230,7 +230,7 @@ def test_full_refresh(spark, tmp_path):
     failing = spark.range(3).select(F.raise_error(F.lit("broken")).alias("x"))
     with pytest.raises(Exception, match="broken"):
         tables.replace_table(failing, path)
-    assert spark.read.parquet(path).count() == 3
+    assert published.published(spark, path).count() == 3
 
 
 PAGES = (
@@ -260,6 +260,82 @@ def test_page_stream(spark, tmp_path):
     ]
 
 
+def test_crash_between_any_two_steps_leaves_a_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "table")
+    tables.replace_table(spark.range(3), path)
+
+    def fails(*_):
+        raise OSError("gone")
+
+    for step in ("write_state",):
+        with monkeypatch.context() as broken:
+            broken.setattr(published, step, fails)
+            with pytest.raises(OSError):
+                tables.replace_table(spark.range(5), path)
+        assert published.published(spark, path).count() == 3
+    # Cut off after the new pointer was written aside, before the rename.
+    (tmp_path / "table" / "_current-aside").write_text('{"version": "v-none"}')
+    reader = published.published(spark, path)
+    assert tables.replace_table(spark.range(5), path) == 3
+    assert published.published(spark, path).count() == 5
+    assert reader.count() == 3  # an old reader keeps its version
+    assert published.drop_old_versions(spark, path) == 2
+    assert published.published(spark, path).count() == 5
+    with pytest.raises(FileNotFoundError):
+        published.published(spark, str(tmp_path / "none"))
+
+
+def log_rows(spark, path):
+    rows = page_log.read_page_log(spark, path).orderBy("page_ord").collect()
+    return [(r.page_ord, r.source_url, r.title) for r in rows]
+
+
+def test_page_log(spark, tmp_path):
+    path = str(tmp_path / "log")
+    batches = [
+        [(0, "u/a", "a0", []), (1, "u/b/", "b0", []), (2, "u/a/", "a1", [])],
+        [],
+        [(0, "u/c", "c0", []), (1, "u/b", "b1", [])],
+        [(0, "u/a/", "a2", []), (1, "u/d", "d0", []), (1, "u/e", "e0", [])],
+    ]
+    seen = []
+    for number, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, PAGES)
+        page_log.append_batch(df, path, number)
+        page_log.append_batch(df, path, number)  # run again after a failure
+        seen.append(log_rows(spark, path))
+        if number == 2:
+            before = {p.name for p in (tmp_path / "log" / "log").iterdir()}
+            page_log.compact(spark, path)
+            assert log_rows(spark, path) == seen[-1]
+            assert before == {p.name for p in (tmp_path / "log" / "log").iterdir()}
+    assert seen[0] == seen[1] == [(0, "u/a/", "a1"), (1, "u/b/", "b0")]
+    assert seen[2] == [(0, "u/a/", "a1"), (1, "u/b", "b1"), (3, "u/c", "c0")]
+    assert sorted(seen[3]) == [
+        (0, "u/a/", "a2"), (1, "u/b", "b1"), (3, "u/c", "c0"), (6, "u/d", "d0"), (6, "u/e", "e0"),
+    ]
+    page_log.drop_merged(spark, path)
+    assert [p.name for p in (tmp_path / "log" / "log").iterdir()] == ["batch=3"]
+    assert sorted(log_rows(spark, path)) == sorted(seen[3])
+    page_log.compact(spark, path)
+    page_log.compact(spark, path)
+    assert sorted(log_rows(spark, path)) == sorted(seen[3])
+    with pytest.raises(ValueError, match="after batch"):
+        page_log.append_batch(spark.createDataFrame(batches[0], PAGES), path, 1)
+
+
+def test_a_batch_that_was_cut_off_is_not_seen(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    page_log.append_batch(spark.createDataFrame([(0, "u/a", "a0", [])], PAGES), path, 0)
+    with monkeypatch.context() as broken:
+        broken.setattr(page_log, "write_state", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            page_log.append_batch(spark.createDataFrame([(0, "u/a", "a1", [])], PAGES), path, 1)
+    assert log_rows(spark, path) == [(0, "u/a", "a0")]
+    page_log.append_batch(spark.createDataFrame([(0, "u/a", "a2", [])], PAGES), path, 1)
+    assert log_rows(spark, path) == [(0, "u/a", "a2")]
+
+
 def test_in_sequence_blocks(spark):
     rows = [(k, i * 3, i % 5) for k in range(3) for i in range(40 * k + 1)]
     df = spark.createDataFrame(rows, "k int, i bigint, n bigint")
