@@ -50,6 +50,8 @@ K, THRESHOLD = 12, 0.25
 # Cells per query of the stored index, which has one per label.
 N_PROBE = 8
 CONTEXT_TOKENS, HISTORY_TOKENS = 400, 200
+# Few vectors are that similar, and a long history takes most of that budget.
+CHAT_THRESHOLD, CHAT_TOKENS = 0.4, 300
 RATE, WINDOW_SECONDS = 3, 86400
 EVICT_AFTER = "1 minute"
 # Calls of this size mostly succeed where a few texts hold a mail address.
@@ -658,6 +660,47 @@ def assemble_prompts(spark, sf):
     )
 
 
+def _vector_of_text(spark, sf):
+    """Stands for a model: the stored vector whose number the text's digest gives."""
+    vectors = _read(spark, sf, "embeddings").select(F.col("vec_id").alias("number"), "embedding")
+    n = vectors.count()
+
+    def embedded(texts: DataFrame) -> DataFrame:
+        digest = F.conv(F.substring(F.md5("question"), 1, 8), 16, 10).cast("long")
+        return texts.withColumn("number", digest % n).join(vectors, "number").drop("number")
+
+    return embedded
+
+
+def chat_prompts(spark, sf):
+    """Every user turn through search, history, packing and source; some have no match, and
+    some histories leave no room for a context."""
+    prompts = pipelines.chat_prompts(
+        turns(spark, sf), index(spark, sf), _vector_of_text(spark, sf), SYSTEM, K,
+        CHAT_THRESHOLD, CHAT_TOKENS, HISTORY_TOKENS, HOMEPAGES,
+    )
+    return prompts.withColumn(
+        "messages",
+        F.array_join(
+            F.transform("messages", lambda m: F.concat_ws("|", m["role"], m["content"])), "\n"
+        ),
+    )
+
+
+def build_index(spark, sf):
+    """From pages to the published index, with the default number of texts a call."""
+    path = f"{_new_folder(spark)}/index"
+    outcome = pipelines.build_index(
+        document_sections(spark, sf), path, vowel_counts_without_mail, SIZES, RULES
+    )
+    failed = outcome.where("error is not null").count()
+    counts = F.transform("embedding", lambda x: x.cast("int").cast("string"))
+    return published(spark, path).select(
+        "content", "source_url", "title", "section", F.array_join(counts, ",").alias("vector"),
+        F.lit(failed).alias("failed"),
+    )
+
+
 def _cache(spark, sf):
     first = turns(spark, sf).where("role = 'user' and turn = 0")
     return first.groupBy(F.col("text").alias("question")).agg(
@@ -937,7 +980,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         approx_match_all_cells, approx_recall,
         conversation_history, contextual_queries, trim_history, trim_history_pairs_first,
         select_matches, pack_context, pick_source, assemble_prompts, cache_lookup,
-        cache_misses, answer_cache_inputs, generated_answers, unanswered,
+        cache_misses, chat_prompts, build_index, answer_cache_inputs, generated_answers, unanswered,
         retrieval_metrics, sanitize_messages,
         rate_limit, rate_limit_stream, client_keys, request_timings, timing_summary,
     )

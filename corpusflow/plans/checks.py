@@ -5,6 +5,7 @@ The statements share building blocks (as CTE text) but no code with the operator
 
 from __future__ import annotations
 
+from corpusflow import config
 from corpusflow.plans import catalog as c
 
 
@@ -699,6 +700,69 @@ ranked AS (
     epoch_us(opened) + {c.WINDOW_SECONDS * 1_000_000} AS ends FROM placed)
 """
 
+_CHAT = f"""{_TRIM},
+context AS (
+  SELECT q.conv_id, q.turn, string_agg(h.text, ' ' ORDER BY h.turn) AS context
+  FROM queries q JOIN history h ON h.conv_id = q.conv_id AND h.turn < q.turn
+  WHERE {_words('q.question')} <= {config.FOLLOW_UP_MAX_WORDS}
+    AND length(h.text) < CASE WHEN h.role = 'assistant'
+      THEN {config.FOLLOW_UP_ASSISTANT_CHARS} ELSE {config.FOLLOW_UP_USER_CHARS} END
+  GROUP BY q.conv_id, q.turn),
+searched AS (
+  SELECT q.conv_id, q.turn, q.conv_id || '-' || q.turn AS query_id, q.question,
+    q.question || coalesce(' ' || x.context, '') AS search_text
+  FROM queries q LEFT JOIN context x ON x.conv_id = q.conv_id AND x.turn = q.turn),
+vectors AS (
+  SELECT s.query_id, e.embedding FROM searched s JOIN embeddings e
+    ON e.vec_id = ('0x' || md5(s.search_text)[1:8])::BIGINT % (SELECT count(*) FROM embeddings)),
+doc_index AS (
+  SELECT d.doc_id AS id, d.text AS content, d.source AS source_url, d.lang AS title,
+    e.embedding::DOUBLE[] AS embedding
+  FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
+matches AS (
+  SELECT query_id, id, sim, content, source_url, title,
+    row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id)::INT AS rank
+  FROM (
+    SELECT q.query_id, d.*, list_cosine_similarity(d.embedding, q.embedding::DOUBLE[]) AS sim
+    FROM vectors q CROSS JOIN doc_index d)
+  WHERE sim > {c.CHAT_THRESHOLD} QUALIFY rank <= {c.K}),
+histories AS (
+  SELECT conv_id || '-' || turn AS query_id, coalesce(sum({_tokens('text')}), 0)::BIGINT AS tokens,
+    string_agg(role || '|' || text, chr(10) ORDER BY earlier) AS messages
+  FROM trimmed WHERE text IS NOT NULL GROUP BY conv_id, turn),
+budgets AS (
+  SELECT s.*, coalesce(h.tokens, 0) AS history_tokens, h.messages,
+    {_tokens('question')} + {_FIXED_TOKENS} + coalesce(h.tokens, 0) AS reserved,
+    floor(({c.CHAT_TOKENS} - {_tokens('question')} - {_FIXED_TOKENS} - coalesce(h.tokens, 0))
+      * 0.95::DOUBLE)::BIGINT AS safe
+  FROM searched s LEFT JOIN histories h ON h.query_id = s.query_id),
+running AS (
+  SELECT m.*, b.safe, {_tokens('content')} AS tokens,
+    coalesce(sum({_tokens('content')}) OVER (PARTITION BY m.query_id ORDER BY m.rank
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used
+  FROM matches m JOIN budgets b ON b.query_id = m.query_id),
+selected AS (
+  SELECT query_id, rank, id, sim, source_url, title,
+    CASE WHEN tokens <= safe - used THEN content
+      ELSE {_truncate('content', 'safe - used')} END AS content
+  FROM running
+  WHERE used <= safe AND (tokens <= safe - used OR safe - used >= 50)),
+packed AS (
+  SELECT query_id, count(*)::INT AS n,
+    string_agg('[' || rank || '] ' || content, chr(10) || chr(10) ORDER BY rank) AS context
+  FROM selected GROUP BY query_id),
+by_url AS (
+  SELECT query_id, source_url AS url, max(sim) AS sim, count(*) AS n, min(rank) AS rank,
+    (source_url IN ({', '.join(map(_quote, c.HOMEPAGES))}))::INT AS home
+  FROM selected GROUP BY query_id, source_url),
+closest AS (
+  SELECT *, sim >= max(sim) OVER (PARTITION BY query_id, home) - 0.05::DOUBLE AS close
+  FROM by_url),
+shown AS (
+  SELECT query_id, url FROM closest QUALIFY row_number() OVER (PARTITION BY query_id
+    ORDER BY home, close DESC, n DESC, sim DESC, rank) = 1)
+"""
+
 _CACHE = """
 cache AS (
   SELECT text AS question, 'cached answer of ' || min(conv_id) AS answer
@@ -1015,6 +1079,32 @@ ORACLE_SQL: dict[str, str] = {
         FROM queries q LEFT JOIN trimmed t
           ON t.conv_id = q.conv_id AND t.turn = q.turn AND t.text IS NOT NULL
         GROUP BY q.conv_id, q.turn, q.question""",
+    "chat_prompts": f"""
+        WITH {_CHAT}
+        SELECT b.query_id, b.search_text, b.history_tokens,
+          CASE WHEN found THEN coalesce(p.n, 0) END AS n_selected,
+          CASE WHEN found THEN b.reserved + {_tokens("coalesce(p.context, '')")} END
+            AS total_tokens,
+          s.url,
+          CASE WHEN found THEN 'system|{c.SYSTEM}' || chr(10) || coalesce(b.messages || chr(10), '')
+            || 'user|Kontekst:' || chr(10) || coalesce(p.context, '') || chr(10) || chr(10)
+            || 'Spørsmål: ' || b.question END AS messages,
+          CASE WHEN NOT found THEN {_quote(config.NO_MATCH_ANSWER)} END AS answer
+        FROM (SELECT *, query_id IN (SELECT query_id FROM matches) AS found FROM budgets) b
+        LEFT JOIN packed p ON p.query_id = b.query_id LEFT JOIN shown s ON s.query_id = b.query_id""",
+    "build_index": f"""
+        WITH RECURSIVE {_FOLD}, {_classified()},
+        kept AS (
+          SELECT *, page_ord // 4096 AS block,
+            (row_number() OVER (PARTITION BY page_ord // 4096
+              ORDER BY page_ord, section_index, chunk_index) - 1) // {config.EMBED_BATCH} AS call
+          FROM tagged WHERE reason IS NULL),
+        called AS (
+          SELECT *, bool_or(contains(content, '@')) OVER (PARTITION BY block, call) AS failed FROM kept)
+        SELECT content, source_url, title, section, {" || ',' || ".join(
+            f"(length(content) - length(replace(content, '{v}', '')))" for v in "aeiou")} AS vector,
+          (SELECT count(*) FROM called WHERE failed) AS failed
+        FROM called WHERE NOT failed""",
     "cache_lookup": f"""
         WITH {_CACHE} SELECT a.question, a.conv_id, a.turn, c.answer
         FROM asked a LEFT JOIN cache c ON c.question = a.question""",

@@ -196,6 +196,12 @@ def write_table(df: DataFrame, path: str, format: str = "parquet") -> None:
     df.write.mode("overwrite").format(format).save(path)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder."""
+    fs, hadoop_path = _file_system(spark, path)
+    return [status.getPath().getName() for status in fs.listStatus(hadoop_path)]
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     fs, hadoop_path = _file_system(spark, path)
     fs.delete(hadoop_path, True)

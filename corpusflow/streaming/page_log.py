@@ -23,7 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusflow.functions import text as t
 from corpusflow.sources.published import read_state, write_state
-from corpusflow.sources.tables import delete_path
+from corpusflow.sources.tables import delete_path, folder_names
 
 COLUMNS = ("source_url", "title", "sections")
 _EMPTY = {"batch": -1, "offset": 0, "next": 0, "base": None, "base_batch": -1}
@@ -112,9 +112,9 @@ def drop_merged(spark: SparkSession, path: str) -> None:
     state = read_state(spark, path)
     if state is None or state["base"] is None or state["batch"] == state["base_batch"]:
         return  # the last batch may still be run again
-    held = spark.read.parquet(f"{path}/log").where(F.col("batch") <= state["base_batch"])
-    for row in held.select("batch").distinct().collect():  # one per batch since the last time
-        delete_path(spark, f"{path}/log/batch={row['batch']}")
+    for name in folder_names(spark, f"{path}/log"):
+        if name.startswith("batch=") and int(name[6:]) <= state["base_batch"]:
+            delete_path(spark, f"{path}/log/{name}")
 
 
 def upsert_log_stream(
