@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow import config
@@ -30,6 +30,7 @@ from corpusflow.functions.lineage import stored
 from corpusflow.operators.retrieve import (
     BLOCK_BYTES,
     assign_cells,
+    blocks_in_turn,
     probes_for,
     rank_matches,
     vector_size,
@@ -244,25 +245,5 @@ def _many(
         "query_id", "embedding",
     )
     vectors = spark.table(_registered(spark, index.path, index.n_buckets))
-    vectors = vectors.select("slot", "id", "embedding")
-
-    def score(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        query_ids, matrix = v.identified(asked.column("query_id"), asked.column("embedding"), dim)
-        best = v.TopK(query_ids, matrix, k, threshold)
-        if docs.num_rows:
-            best.add(*v.identified(docs.column("id"), docs.column("embedding"), dim))
-        return pa.Table.from_batches([best.result()])
-
     n_blocks = -(-queries.count() // limit)
-    block: Column = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-    found = None
-    for number_of_block in range(n_blocks):
-        mine = placed.where(block == number_of_block)
-        part = stored(
-            rank_matches(
-                vectors.groupBy("slot").cogroup(mine.groupBy("slot")).applyInArrow(score, v.MATCH_SCHEMA),
-                k,
-            ).select("query_id", "id", "similarity")
-        )
-        found = part if found is None else found.unionByName(part)
-    return found
+    return blocks_in_turn(vectors, placed, n_blocks, dim, k, threshold)

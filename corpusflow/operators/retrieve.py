@@ -6,7 +6,9 @@ Documents are ``(id, embedding, ...)``, queries ``(query_id, embedding, ...)``,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusflow import config
 from corpusflow.functions import vectors as v
-from corpusflow.functions.lineage import HOT_ROWS, lookup
+from corpusflow.functions.lineage import HOT_ROWS, lookup, shared_folder, stored
 
 # Vectors one task or one broadcast may hold.
 BLOCK_BYTES = 64 * 1024 * 1024
@@ -40,9 +42,10 @@ def match_documents(
     threshold; ties go to the smaller id. A NULL or zero vector never matches.
 
     Queries that fit in ``block_bytes`` (checked by fetching at most one row more) are
-    broadcast and the documents are scored where they are read, without a shuffle. More
-    queries than that go through a grid of bounded document and query blocks instead.
-    Either way only ``match_count`` rows per query and task leave Python.
+    broadcast and the documents are scored where they are read, without a shuffle. For more
+    queries than that the vectors are written once, bucketed by bounded slots and without a
+    shuffle, and blocks of queries come to them in turn (jobs run while this is called). Either
+    way only ``match_count`` rows per query and task leave Python.
     """
     dim, n_queries = vector_size(queries), None
     if dim is None:
@@ -54,11 +57,11 @@ def match_documents(
             n_queries = head.num_rows
             best = _broadcast_top_k(docs, head, dim, match_count, threshold)
         else:
-            best = _grid_top_k(
-                docs.select(F.lit(0).alias("cell"), "id", "embedding"),
-                queries.select(F.lit(0).alias("cell"), "query_id", "embedding"),
-                dim, match_count, threshold, block_bytes,
-            )
+            slots, n_slots = _in_slots(docs, limit)
+            every_slot = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_slots - 1).cast("long")))
+            placed = queries.select(every_slot.alias("slot"), "query_id", "embedding")
+            n_blocks = -(-queries.count() // limit)
+            best = blocks_in_turn(slots, placed, n_blocks, dim, match_count, threshold)
     ranked = rank_matches(best, match_count)
     if n_queries is not None and n_queries * match_count <= _BROADCAST_ROWS:
         ranked = F.broadcast(ranked)
@@ -109,6 +112,47 @@ def _broadcast_top_k(
     return docs.select("id", "embedding").mapInArrow(score, v.MATCH_SCHEMA)
 
 
+def _in_slots(docs: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """``(slot, id, embedding)``, about ``rows`` vectors a slot, bucketed by slot; how many slots."""
+    spark = docs.sparkSession
+    n_slots = max(1, -(-docs.count() // rows))
+    name = f"vectors_{uuid.uuid4().hex}"
+    buckets = max(1, min(n_slots, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    (
+        docs.select(F.pmod(F.xxhash64("id"), F.lit(n_slots)).alias("slot"), "id", "embedding")
+        .write.bucketBy(buckets, "slot")
+        .option("path", f"{shared_folder(spark)}/{name}")
+        .saveAsTable(name)
+    )
+    return spark.table(name), n_slots
+
+
+def blocks_in_turn(
+    vectors: DataFrame, placed: DataFrame, n_blocks: int, dim: int, k: int, threshold: float
+) -> DataFrame:
+    """Top-k of ``placed(slot, query_id, embedding)`` against ``vectors(slot, id, embedding)``.
+
+    ``vectors`` is a table bucketed by slot: it is read where it lies, and a block of queries is sent
+    to its slots, one block after the other. What a task holds is a slot and a block's queries.
+    """
+
+    def score(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        query_ids, matrix = v.identified(asked.column("query_id"), asked.column("embedding"), dim)
+        best = v.TopK(query_ids, matrix, k, threshold)
+        if docs.num_rows:
+            best.add(*v.identified(docs.column("id"), docs.column("embedding"), dim))
+        return pa.Table.from_batches([best.result()])
+
+    by_slot = vectors.select("slot", "id", "embedding").groupBy("slot")
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+    parts = []
+    for number in range(n_blocks):
+        asked = placed.where(block == number).groupBy("slot")
+        found = by_slot.cogroup(asked).applyInArrow(score, v.MATCH_SCHEMA)
+        parts.append(stored(rank_matches(found, k).select("query_id", "id", "similarity")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _grid_top_k(
     docs: DataFrame,
     queries: DataFrame,
