@@ -314,15 +314,23 @@ def _place() -> Column:
 def keep_first_chunks(classified: DataFrame) -> DataFrame:
     """The kept chunks only: the first of each text among those no rule rejects.
 
-    One aggregate, one shuffle, copies combined before it.
+    Kept chunks are stored once with their digest and position (a job runs here). The first row
+    per text is a hash aggregate over narrow columns, combined before its shuffle; texts are
+    neither sorted nor aggregated, and only fetched for the rows that stay.
     """
-    columns = [name for name in classified.columns if name != "reason"]
-    return (
+    kept = stored(
         classified.where(F.col("reason").isNull())
-        .groupBy(duplicate_key(F.col("content")).alias("_text"))
-        .agg(F.min_by(F.struct(*columns), F.struct(*_ORDER)).alias("chunk"))
-        .select("chunk.*")
+        .drop("reason")
+        .withColumns(
+            {
+                "_text": duplicate_key(F.col("content")),
+                "_place": _place(),
+                "_row": F.monotonically_increasing_id(),
+            }
+        )
     )
+    firsts = kept.groupBy("_text").agg(F.min_by("_row", "_place").alias("_row"))
+    return kept.join(firsts.select("_row"), "_row", "left_semi").drop("_text", "_place", "_row")
 
 
 def cleaning_report(pages: DataFrame, cleaned: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def build_chunks(
 ) -> DataFrame:
     """Kept chunks of ingested pages: clean, chunk, classify, keep the first of each text.
 
-    Everything up to the last step is narrow; the dedup aggregate is the only shuffle.
+    Everything up to the last step is narrow and runs once; the first places of texts are shuffled.
     """
     cleaned = chunks.clean_sections(pages)
     made = chunks.make_chunks(cleaned, sizes)
