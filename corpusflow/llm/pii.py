@@ -23,13 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.frames import without
+from corpusflow.llm.frames import fresh, without
 
 ROUNDS = 10
 FIRST_DAY = "1800-01-01"  # 400 years have 146,097 days wherever they begin
 DAYS = (189, 773)
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+# Bounded as mail names and domains are, so that no text makes the search quadratic or deep.
+EMAIL = r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,127}"
 ACCOUNT = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 ISO_DATE = r"\d{4}-\d{2}-\d{2}"
 POINT_DATE = r"\d{1,2}\.\d{1,2}\.\d{4}"
@@ -326,13 +327,14 @@ def pseudonymize(
     """``docs`` with pseudonyms in ``text``, and ``found``: the kinds replaced, in text order."""
     value = F.col(text)
     may_hold = value.rlike("[0-9@]")
-    new = F.col("_new")
+    hits, made = fresh(docs, "hits", "new")
+    new = F.col(made)
     replaced = docs.select(
         *without(docs, [found]),
-        F.when(may_hold, F.regexp_extract_all(value, F.lit(CANDIDATE), 0)).alias("_hits"),
+        F.when(may_hold, F.regexp_extract_all(value, F.lit(CANDIDATE), 0)).alias(hits),
     ).withColumn(
-        "_new",
-        F.when(F.size("_hits") > 0, F.transform("_hits", lambda h: pseudonym(h, key))),
+        made,
+        F.when(F.size(hits) > 0, F.transform(hits, lambda h: pseudonym(h, key))),
     )
     gaps = F.split(value, CANDIDATE)
     rebuilt = F.array_join(
@@ -340,7 +342,7 @@ def pseudonymize(
             gaps,
             lambda gap, i: F.concat(
                 gap,
-                F.coalesce(F.get(new, i)["value"], F.get(F.col("_hits"), i), F.lit("")),
+                F.coalesce(F.get(new, i)["value"], F.get(F.col(hits), i), F.lit("")),
             ),
         ),
         "",

@@ -163,3 +163,29 @@ def test_nothing_left_of_planted_values(spark):
         decoys = {v for v in old if re.fullmatch(r"\d{16}", v) and not luhn(v)}
         assert len(old) == len(new) and set(old) & set(new) == decoys
         assert values.sub("", before[row["doc_id"]]) == values.sub("", row["text"])
+
+
+LONG_RUNS = ["a.", "-", "_", "%", ".", "+", "x@a.", "x@", "1.", "AA11 ", "+1 "]
+
+
+def test_long_runs_of_symbols_neither_overflow_nor_take_long(spark):
+    """A megabyte of each, with a card behind it that must still be found."""
+    import time
+
+    texts = [unit * (1_000_000 // len(unit)) + " 4111111111111111 " for unit in LONG_RUNS]
+    texts.append("x@" + "a." * 500_000 + "com 4111111111111111 ")
+    masked(spark, "warm")
+    begin = time.perf_counter()
+    found = masked(spark, *texts)
+    assert time.perf_counter() - begin < 5 * len(texts)
+    assert all("card" in kinds and "4111111111111111" not in text for text, kinds in found)
+
+
+def test_bounds_of_mail_addresses(spark):
+    ok = ["john.doe@mail.example.com", "a" * 64 + "@b.de", "x@" + "y" * 63 + ".org", "x@" + "a." * 100 + "com"]
+    for text, kinds in masked(spark, *ok):
+        assert kinds == ["email"] and text not in ok
+    for text, kinds in masked(spark, "a" * 65 + "@b.de", "x@" + "y" * 64 + ".org"):
+        assert kinds == []
+    [(text, kinds)] = masked(spark, "-" * 70 + "john@example.org")
+    assert kinds == ["email"] and "john" not in text and text.endswith("@example.org")
