@@ -12,6 +12,7 @@ columns pass through, rows stay as they are (repeated ones too), an empty table
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -48,18 +49,67 @@ NEWER_NUMBERS = (
     r"\U00011DE0-\U00011DE9\U0001246F-\U0001246F\U00012475-\U0001247F\U00012550-\U00012686"
     r"\U00016FF4-\U00016FF6"
 )
+# Capitals whose small form the tokenizers library knows and Python 3.13 doesn't.
+NEWER_SMALL = {
+    0x1C89: 0x1C8A,
+    0xA7CB: 0x0264,
+    0xA7CC: 0xA7CD,
+    0xA7CE: 0xA7CF,
+    0xA7D2: 0xA7D3,
+    0xA7D4: 0xA7D5,
+    0xA7DA: 0xA7DB,
+    0xA7DC: 0x019B,
+    **{capital: capital + 0x20 for capital in range(0x10D50, 0x10D66)},
+    **{capital: capital + 0x1B for capital in range(0x16EA0, 0x16EB9)},
+}
+# Signs that the normalizer of the tokenizers library neither moves nor composes.
+NEWER_SIGNS = (
+    r"\U000007FD-\U000007FD\U00000898-\U0000089F\U000008CA-\U000008D3\U000009FE-\U000009FE"
+    r"\U00000C3C-\U00000C3C\U00000D3B-\U00000D3C\U00000EBA-\U00000EBA\U00001715-\U00001715"
+    r"\U00001ABF-\U00001ACE\U00001DF6-\U00001DFA\U0000A82C-\U0000A82C\U00010D24-\U00010D27"
+    r"\U00010EAB-\U00010EAC\U00010EFD-\U00010EFF\U00010F46-\U00010F50\U00010F82-\U00010F85"
+    r"\U00011070-\U00011070\U0001133B-\U0001133B\U0001145E-\U0001145E\U00011839-\U0001183A"
+    r"\U00011930-\U00011930\U0001193D-\U0001193E\U00011943-\U00011943\U000119E0-\U000119E0\U00011A34-\U00011A34"
+    r"\U00011A47-\U00011A47\U00011A99-\U00011A99\U00011D42-\U00011D42\U00011D44-\U00011D45"
+    r"\U00011D97-\U00011D97\U00011F41-\U00011F42\U00016FF0-\U00016FF1\U0001E08F-\U0001E08F"
+    r"\U0001E130-\U0001E136\U0001E2AE-\U0001E2AE\U0001E2EC-\U0001E2EF\U0001E4EC-\U0001E4EF"
+)
 LETTER, NUMBER = rf"[\p{{L}}--[{NEWER_LETTERS}]]", rf"[\p{{N}}--[{NEWER_NUMBERS}]]"
 OTHER = rf"[[^\p{{White_Space}}\p{{L}}\p{{N}}]||[{NEWER_LETTERS}{NEWER_NUMBERS}]]"
 
+SPACE = r"\p{White_Space}"
+
+
 # How byte-level vocabularies split text and write bytes as characters.
-BYTE_LEVEL = (
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?{LETTER}+| ?{NUMBER}+| ?{OTHER}+"
-    r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-)
-WORD_LEVEL = rf"'s|'t|'re|'ve|'m|'ll|'d|{LETTER}+|{NUMBER}|{OTHER}+"
+def byte_level(letter: str, number: str, other: str, space: str) -> str:
+    return (
+        rf"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{other}+"
+        rf"|{space}+(?!(?!{space})(?s:.))|{space}+"
+    )
+
+
+def word_level(letter: str, number: str, other: str, space: str) -> str:
+    return rf"'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|{other}+"
+
+
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
+def below_256(of_class: str) -> str:
+    """The same class as a plain list of characters, for texts that have no others."""
+    known = regex.compile(of_class, regex.VERSION1)
+    return "[" + "".join(re.escape(chr(c)) for c in range(256) if known.fullmatch(chr(c))) + "]"
+
+
+def is_narrow(text: str) -> bool:
+    """Whether all code points are below 256; such texts are composed as they stand."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def byte_characters() -> list[str]:
     """The character that stands for each byte: itself if printable, else one from 256 on."""
     rest = iter(range(256, 512))
@@ -108,14 +158,17 @@ class Vocabulary:
         self.inner = [self.ids[c] for c in characters]
         self.last = [self.ids[c + self.suffix] for c in characters]
         self.folds = parts["normalizer"] is not None
-        self.pattern = regex.compile(
-            WORD_LEVEL if self.folds else BYTE_LEVEL, regex.VERSION1
-        )
+        split = word_level if self.folds else byte_level
+        classes = (LETTER, NUMBER, OTHER, SPACE)
+        self.pattern = regex.compile(split(*classes), regex.VERSION1)
+        self.narrow = re.compile(split(*map(below_256, classes)))
         self.cut = regex.compile(
             "(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")"
         )
         self.marks = tuple(self.special)
-        self.spaces = regex.compile(r"\p{White_Space}+")
+        self.spaces = regex.compile(f"{SPACE}+")
+        self.marked = regex.compile(f"([{NEWER_SIGNS}])")
+        self.newer = regex.compile("[" + "".join(map(chr, NEWER_SMALL)) + "]")
 
     def symbols(self, word: str) -> list[int]:
         """Ids of the word's bytes before any merge; the last carries the word end."""
@@ -131,12 +184,22 @@ class Vocabulary:
             found.extend([part] if part in self.special else self.words(part))
         return found
 
+    def composed(self, text: str) -> str:
+        if not self.marked.search(text):
+            return unicodedata.normalize("NFC", text)
+        return "".join(unicodedata.normalize("NFC", part) for part in self.marked.split(text))
+
     def words(self, text: str) -> list[str]:
-        if self.folds:
-            text = self.spaces.sub(" ", unicodedata.normalize("NFC", text))
+        narrow = is_narrow(text)
+        if self.folds and narrow:
+            text = text.lower()
+        elif self.folds:
+            text = self.spaces.sub(" ", self.composed(text))
             # Character by character: a capital sigma has one small form wherever it stands.
             text = text.replace("Σ", "σ").lower()
-        return self.pattern.findall(text)
+            if self.newer.search(text):
+                text = text.translate(NEWER_SMALL)
+        return (self.narrow if narrow else self.pattern).findall(text)
 
 
 def merged(symbols: list[int], vocab: Vocabulary) -> list[int]:

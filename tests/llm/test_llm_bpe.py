@@ -54,6 +54,51 @@ def test_long_words_and_runs():
             assert encoded(name, text)[1] == library_cached(name).encode(text, add_special_tokens=False).ids
 
 
+def code_points():
+    import unicodedata
+
+    kept = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    return [c for c in kept if c < 0x20000 or unicodedata.category(chr(c)) not in ("Cn", "Co")]
+
+
+@pytest.mark.parametrize("name", FILES)
+@pytest.mark.parametrize("context", ["a{0}b {0} x{0}", "{0}\u0301 \u0301{0} {0}\u0323\u0307 A\u0327{0}"])
+def test_every_code_point_equals_the_library(name, context):
+    """Every code point but private and unassigned ones of the far planes, also beside marks."""
+    points = code_points()
+    texts = [context.format(chr(c)) for c in points]
+    different = []
+    for start in range(0, len(texts), 20_000):
+        part = texts[start : start + 20_000]
+        for c, text, wanted in zip(
+            points[start:], part, library_cached(name).encode_batch(part, add_special_tokens=False)
+        ):
+            if encoded(name, text)[1] != wanted.ids:
+                different.append(hex(c))
+    assert different == []
+
+
+def test_every_composition_equals_the_library():
+    import unicodedata
+
+    for c in code_points():
+        parts = unicodedata.decomposition(chr(c))
+        if parts and "<" not in parts:
+            for text in (unicodedata.normalize("NFD", chr(c)), "".join(chr(int(x, 16)) for x in parts.split())):
+                text = f"a{text}b {text}"
+                wanted = library_cached(FILES[1]).encode(text, add_special_tokens=False).ids
+                assert encoded(FILES[1], text)[1] == wanted, hex(c)
+
+
+@settings(max_examples=300, deadline=None)
+@given(text=st.text(st.characters(max_codepoint=255), max_size=20))
+def test_texts_below_256_split_alike(text):
+    for name in FILES:
+        vocab = bpe.vocabulary(public_tokenizers.path(name))
+        lowered = text.lower() if vocab.folds else text
+        assert vocab.narrow.findall(lowered) == vocab.pattern.findall(lowered)
+
+
 def test_queries_equal_the_library(spark):
     import hashlib
 
