@@ -2,14 +2,16 @@
 
 Each language is a zstandard raw-content dictionary: plain text of that language which a
 compressor may refer back to. A text is coded in pieces against every dictionary, and the
-language whose dictionary makes it smallest is chosen. Where the best two are close, the text
-is rejected.
+language whose dictionary makes it smallest is chosen. Sizes are whole bytes, so the languages
+of a few words often tie: where the best two are within ``NARROW`` bytes, the pieces are coded
+again after each of ``CONTEXTS`` passages of the language, and the sums decide. Where the best
+two are still close, the text is rejected.
 
 Fitting reads the language column only of the rows it is given and takes a bounded sample of
 them: ``SLICES`` slices of the rows by hash, ``PER_SLICE`` rows each, ``SAMPLE_CHARS``
 characters each, per language. Prediction reads nothing but the text.
 
-A null text, or one without letters, is ``und`` with score 0 and rejected. Rows without
+A null text, or one without letters (Unicode's L), is ``und`` with score 0 and rejected. Rows without
 language are not learned from; with no such row at all every text is ``und``. Columns of the
 results' names are replaced, others pass through, repeated rows and empty tables stay as they
 are. Ties go to the language that sorts first.
@@ -18,9 +20,12 @@ are. Ties go to the language that sorts first.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,10 +39,12 @@ PER_SLICE = 6
 SAMPLE_CHARS = 1500
 PIECE = 1024
 LEVEL = 6
+NARROW, CONTEXTS, CONTEXT_BYTES = 8, 32, 300
 # Least saving of the best language over the next one, as a share of the latter's size.
 MIN_MARGIN = 0.001
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def letters(text: str) -> str:
@@ -72,27 +79,61 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, by
     }
 
 
+@dataclass
+class Coder:
+    """A language's compressor, passages that its dictionary does not hold, and their sizes."""
+
+    name: str
+    compress: Callable[[bytes], bytes]
+    contexts: list[bytes]
+    alone: int
+
+
 @lru_cache(maxsize=2)
-def _compressors(content: tuple[tuple[str, bytes], ...]) -> list[tuple[str, object]]:
+def _coders(content: tuple[tuple[str, bytes], ...]) -> list[Coder]:
     made = []
     for name, data in content:
+        words = data.split()
+        share = -(-len(words) // CONTEXTS) or 1
+        rest, contexts = [], []
+        for start in range(0, len(words), share):
+            part = words[start : start + share]
+            size = 0
+            passage: list[bytes] = []
+            while len(part) > 1 and len(passage) < share // 4 and size < CONTEXT_BYTES:
+                passage.append(part.pop())
+                size += len(passage[-1]) + 1
+            contexts.append(b" ".join([*passage, b""]))
+            rest += part
         # Eight bytes at least: shorter contents are no dictionary.
         dictionary = zstandard.ZstdCompressionDict(
-            data.ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT
+            b" ".join(rest).ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT
         )
         dictionary.precompute_compress(level=LEVEL)
-        made.append((name, zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary)))
+        compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary).compress
+        contexts = (contexts or [b""]) * CONTEXTS
+        alone = sum(len(compress(c)) for c in contexts[:CONTEXTS])
+        made.append(Coder(name, compress, contexts[:CONTEXTS], alone))
     return made
 
 
-def sizes(text: str, content: tuple[tuple[str, bytes], ...]) -> list[tuple[int, str]]:
-    """Compressed size and name of every language, smallest first."""
+def sizes(text: str, content: tuple[tuple[str, bytes], ...]) -> list[tuple[float, str]]:
+    """Compressed size and name of every language, smallest first; ties by name.
+
+    Sizes of texts coded in contexts are means, and at least one byte.
+    """
     data = letters(text).encode("utf-8")
     pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
-    return sorted(
-        (sum(len(coder.compress(piece)) for piece in pieces), name)
-        for name, coder in _compressors(content)
-    )
+    coders = _coders(content)
+    found = sorted((sum(len(c.compress(p)) for p in pieces), c.name) for c in coders)
+    if len(found) < 2 or found[1][0] - found[0][0] > NARROW:
+        return found
+
+    def in_contexts(c: Coder) -> float:
+        total = sum(len(c.compress(x + p + b" ")) for p in pieces for x in c.contexts)
+        return max((total - len(pieces) * c.alone) / CONTEXTS, 1.0)
+
+    return sorted((in_contexts(c), c.name) for c in coders)
 
 
 def identify(
@@ -112,7 +153,7 @@ def identify(
     fixed = tuple(sorted(content.items()))
 
     def guess(value: str | None) -> tuple[str, float, bool]:
-        if not value or not fixed or not letters(value):
+        if not value or not fixed or not _LETTER.search(value):
             return UNKNOWN, 0.0, True
         ranked = sizes(value, fixed)
         best, name = ranked[0]

@@ -29,6 +29,30 @@ def test_unknown_and_close_texts(spark):
     assert [r["lang_pred"] for r in language.identify(docs, {}).collect()] == ["und"] * 4
 
 
+def test_numbers_and_marks_are_no_letters(spark):
+    texts = ["½", "² ³", "Ⅷ", "\u0301", "12", "_", "½ a", "ª", "文"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    two = {"aa": b"abba aba baab abab " * 20, "bb": b"xyz zyx yxz xzy " * 20}
+    out = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, two).collect()}
+    assert [out[k] == "und" for k in range(len(texts))] == [True] * 6 + [False] * 3
+
+
+def test_few_short_texts_are_rejected(spark):
+    """Byte ties are broken in context: most texts of few words keep a language."""
+    from pyspark.sql import functions as F
+
+    docs = queries.documents(spark, "/root/testdata/sf0.1")
+    content = language.fit(docs.where(~language.held_out()))
+    n_words = F.size(F.split(F.trim("text"), r"\s+"))
+    short = docs.where(F.col("text").rlike(r"\p{L}") & (n_words < 10)).withColumn("words", n_words)
+    rows = language.identify(short, content).collect()
+    for low, high, rejected, right in ((1, 4, 0.05, 0.26), (5, 9, 0.05, 0.9)):
+        part = [r for r in rows if low <= r["words"] <= high]
+        assert len(part) > 40
+        assert sum(r["rejected"] for r in part) <= rejected * len(part)
+        assert sum(r["lang"] == r["lang_pred"] for r in part) >= right * len(part)
+
+
 def test_query_never_reads_the_language_of_held_out_rows(spark, tmp_path):
     from pyspark.sql import functions as F
 
