@@ -123,6 +123,10 @@ def container(payload: bytes, group: int = GROUP) -> bytes:
     return kind + header(start) + head + payload
 
 
+# Boxes within boxes; real files have less than ten.
+MAX_DEPTH = 32
+
+
 def boxes(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[bytes, int, int]]:
     """Kind, start and end of the body of every box from ``start`` on, one level deep."""
     end = len(data) if end is None else end
@@ -142,6 +146,8 @@ def boxes(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple
 
 def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple = ()) -> Iterator[tuple]:
     """Path of kinds, start and end of the body of every box, parents first."""
+    if len(path) > MAX_DEPTH:
+        raise ValueError("boxes nested too deep")
     for kind, a, b in boxes(data, start, end):
         yield (*path, kind), a, b
         if kind in CONTAINERS:
@@ -170,11 +176,26 @@ def numbers(data: bytes, place: tuple[int, int], columns: int, kind: str = ">u4"
     return flat.astype(np.int64).reshape(rows, columns)
 
 
+def inside_media(data: bytes, offsets: np.ndarray, sizes: np.ndarray) -> bool:
+    """Whether every sample lies within the body of one ``mdat`` box."""
+    bodies = [(a, b) for kind, a, b in boxes(data) if kind == b"mdat"]
+    held = np.zeros(len(offsets), bool)
+    for a, b in bodies:
+        held |= (offsets >= a) & (offsets + sizes <= b)
+    return bool(held.all())
+
+
 def sample_table(data: bytes, track: dict[bytes, tuple[int, int]]) -> dict:
-    """Offsets, sizes, times and keyframes of a track's samples, from its tables only."""
+    """Offsets, sizes, times and keyframes of a track's samples, from its tables only.
+
+    Tables that disagree with each other or with the stored bytes raise, before anything is
+    allocated by a count that the bytes don't bear out.
+    """
     start = track[b"stsz"][0]
     size, count = struct.unpack_from(">2I", data, start + 4)
     if size:
+        if size * count > len(data):
+            raise ValueError("samples beyond the end")
         sizes = np.full(count, size, np.int64)
     else:
         if start + 12 + 4 * count > track[b"stsz"][1]:
@@ -190,11 +211,15 @@ def sample_table(data: bytes, track: dict[bytes, tuple[int, int]]) -> dict:
     firsts = np.cumsum(per_chunk) - per_chunk
     before = np.cumsum(sizes) - sizes
     offsets = np.repeat(chunks - before[firsts], per_chunk) + before
-    if count and (offsets + sizes).max() > len(data):
-        raise ValueError("samples beyond the end")
+    if not inside_media(data, offsets, sizes):
+        raise ValueError("samples outside the stored media")
     times = numbers(data, track[b"stts"], 2)
+    if times[:, 0].sum() != count:
+        raise ValueError("times and sizes disagree")
     if b"stss" in track:
         keys = numbers(data, track[b"stss"], 1)[:, 0] - 1
+        if len(keys) and (keys[0] < 0 or keys[-1] >= count or (np.diff(keys) <= 0).any()):
+            raise ValueError("keyframes that are no samples")
     else:
         keys = np.arange(count)  # without the table every sample is one
     return {
@@ -248,7 +273,7 @@ def _safe(function, data: bytes | None):
     """The function's result, or None where the container is missing or broken."""
     try:
         return None if data is None else function(data)
-    except (ValueError, KeyError, IndexError, struct.error, ZeroDivisionError):
+    except (ValueError, KeyError, IndexError, struct.error, ZeroDivisionError, OverflowError):
         return None
 
 
@@ -313,3 +338,22 @@ def payload(docs: DataFrame, media: str = "media", data: str = "payload") -> Dat
         return work
 
     return append_columns(docs, [StructField(data, BinaryType())], compute, rows=256)
+
+
+def inspect_and_read(
+    docs: DataFrame, media: str = "media", info: str = "info", data: str = "payload"
+) -> DataFrame:
+    """``inspect`` and ``payload`` in one pass over the containers."""
+
+    def compute():
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
+            found = texts_of(batch, media)
+            return [
+                pa.array([_safe(information, d) for d in found], ARROW_INFORMATION),
+                pa.array([_safe(samples, d) for d in found], pa.binary()),
+            ]
+
+        return work
+
+    fields = [StructField(info, INFORMATION), StructField(data, BinaryType())]
+    return append_columns(docs, fields, compute, rows=256)

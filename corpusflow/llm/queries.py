@@ -47,7 +47,7 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored in a media container, inspected, read back and digested."""
     docs = documents(spark, sf_dir).select("doc_id", "text", n_bytes().alias("n_bytes"))
     stored = media.store(docs).drop("text")
-    read = media.payload(media.inspect(stored))
+    read = media.inspect_and_read(stored)
     info = F.col("info")
     keys = info["keyframes"]
     ranges = F.transform(keys, lambda k: F.concat_ws("+", k["offset"], k["size"]))

@@ -46,6 +46,72 @@ def test_tables_written_otherwise():
     assert info["duration_s"] == 0.5 and len(info["keyframes"]) == 3
 
 
+def track(count, size=192, offsets=(None,), runs=((1, 1, 1),), times=None, keys=(1,), body=b"x" * 192):
+    """A container with one track whose tables say what they are told to."""
+    entry = media.box(b"raw ", struct.pack(">6xH16x2H50x", 1, 4, 2))
+    times = ((count, 1),) if times is None else times
+    lead = media.box(b"free", b"12345678")
+    place = len(lead) + 8
+
+    def rows(numbers):
+        return struct.pack(f">{len(numbers)}I", *numbers)
+
+    tables = media.box(
+        b"stbl",
+        media.full(b"stsd", struct.pack(">I", 1), entry),
+        media.full(b"stts", rows([len(times), *(n for row in times for n in row)])),
+        media.full(b"stss", rows([len(keys), *keys])),
+        media.full(b"stsc", rows([len(runs), *(n for row in runs for n in row)])),
+        media.full(b"stsz", rows([size, count])),
+        media.full(b"stco", rows([len(offsets), *(place if o is None else o for o in offsets)])),
+    )
+    head = media.full(b"mdhd", struct.pack(">4I2H", 0, 0, 100, 50, 0, 0))
+    moov = media.box(b"moov", media.box(b"trak", media.box(b"mdia", head, media.box(b"minf", tables))))
+    return lead + media.box(b"mdat", body) + moov
+
+
+BROKEN = {
+    "offset in a header": track(1, offsets=(0,)),
+    "offset after the media": track(1, offsets=(230,)),
+    "sample over the end of the media": track(1, 193),
+    "sync sample 0": track(1, keys=(0,)),
+    "sync sample beyond": track(1, keys=(2,)),
+    "sync samples out of order": track(2, 96, runs=((1, 2, 1),), keys=(2, 1)),
+    "more times than samples": track(1, times=((99, 4),)),
+    "fewer times than samples": track(2, 96, runs=((1, 2, 1),), times=((1, 4),)),
+    "billions of samples": track(2**32 - 1),
+    "billions of empty samples": track(2**32 - 1, 0),
+    "billions in a run": track(1, runs=((1, 2**32 - 1, 1),)),
+    "runs out of order": track(1, runs=((2, 1, 1), (1, 1, 1))),
+    "no track": media.box(b"moov", b""),
+}
+
+
+@pytest.mark.parametrize("name", BROKEN)
+def test_tables_that_disagree_are_refused(name):
+    assert media._safe(media.information, BROKEN[name]) is None
+    assert media._safe(media.samples, BROKEN[name]) is None
+
+
+def test_tables_that_agree_are_read():
+    assert media.samples(track(1)) == b"x" * 192
+    assert media.information(track(2, 96, runs=((1, 2, 1),), keys=(1, 2)))["n_samples"] == 2
+
+
+def test_deep_nesting_is_refused():
+    data = b""
+    for _ in range(3000):
+        data = media.box(b"moov", data)
+    assert media._safe(media.information, data) is None
+
+
+def test_one_pass_gives_what_two_give(spark):
+    rows = [(1, media.container(media.padded("hello"))), (2, None), (3, BROKEN["sync sample 0"])]
+    df = spark.createDataFrame(rows, "doc_id long, media binary")
+    both = media.inspect_and_read(df).orderBy("doc_id").collect()
+    assert both == media.payload(media.inspect(df)).orderBy("doc_id").collect()
+
+
 def test_broken_containers_give_null(spark):
     good = media.container(media.padded("hello"))
     rows = [(1, good), (2, None), (3, b""), (4, good[:300]), (5, good[:-1]), (6, b"\0" * 40)]
