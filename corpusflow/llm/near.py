@@ -9,8 +9,10 @@
    families in which links may be.
 3. Sets travel once to their family. Within a family, links are confirmed on full sets: a
    prefix filter over the family's rare shingles and a bound by shingles that nobody shares
-   leave few pairs, and nodes that are linked already are not compared again. Families beyond
-   ``BLOCK`` shingles are cut into blocks, and every pair of blocks is a task of its own.
+   leave few pairs, and nodes that are linked already are not compared again. In a family beyond
+   ``BLOCK`` shingles all nodes are first compared with a few of them. Those linked with the one
+   that has most links, its hub, are one group already and need no pairs among each other; blocks
+   of the others meet each other and the blocks of that group, a pair of blocks per task.
 4. Components of the confirmed links are the groups.
 
 ``kept`` is true for the smallest id of a group. A null or empty text has an empty set and is
@@ -22,25 +24,27 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField
 
 from corpusflow.functions.lineage import shared_folder
 from corpusflow.llm.bpe import CACHED_HASHES, Generations
 from corpusflow.llm.components import components
-from corpusflow.llm.frames import append_columns, list_array, texts_of, without
+from corpusflow.llm.frames import append_columns, fresh, list_array, texts_of, without
 
 COORDINATES = 320
 PLACES = 1 << 20
 MISSED = 1e-5  # highest chance that a pair at the threshold shares no bucket
-BLOCK = 400_000  # shingles of a family in one block; a node counts as NODE more
+BLOCK = 100_000  # shingles of a family in one block; a node counts as NODE more
 NODE = 200
+HUBS = 4  # nodes of a large family that all others are compared with first
 SEED = 20
 
 
@@ -141,11 +145,18 @@ def with_sets(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame
     return append_columns(docs, fields, compute, drop=(text,))
 
 
-def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def linked(
+    sets: list[np.ndarray], percent: int, joined: list[bool] | None = None
+) -> list[tuple[int, int]]:
     """Links that span the groups of ``sets`` (sorted, distinct values), as pairs of places.
 
     Exact: every two sets with ``100 * common >= percent * union`` end up connected, and only
-    such pairs are returned.
+    such pairs are returned. Those that are ``joined`` count as connected from the start.
     """
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     lengths = np.array([len(sets[i]) for i in order])
@@ -160,6 +171,10 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     shared = np.array([n - np.searchsorted(v, alone) for n, v in zip(lengths, values, strict=True)])
     label = np.arange(len(order))
     members = {i: [i] for i in range(len(order))}
+    if joined is not None and any(joined):
+        together = [x for x, i in enumerate(order) if joined[i]]
+        label[together] = together[0]
+        members[together[0]] = together
     degree = np.zeros(len(order), np.int64)
     postings: dict[int, list[int]] = {}
     found = []
@@ -174,8 +189,7 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             for y in near[np.argsort(-degree[near], kind="stable")].tolist():
                 if label[y] == label[x]:
                     continue
-                common = len(np.intersect1d(own, values[y], assume_unique=True))
-                if 100 * common >= percent * (lengths[y] + n - common):
+                if similar(own, values[y], percent):
                     found.append((order[x], order[y]))
                     degree[y] += 1
                     degree[x] += 1
@@ -233,29 +247,41 @@ def near_duplicates(
     families = stored(families.join(blocks, "family"), "families")
 
     # The text of one row per set: the node's own.
-    tasks = F.when(
-        F.col("blocks") > 1,
-        F.transform(
-            F.filter(
-                F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("_block")
-            ),
-            lambda k: F.struct(
-                F.least(k, F.col("_block")).alias("i"), F.greatest(k, F.col("_block")).alias("j")
-            ),
-        ),
-    ).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))
-    members = (
+    members = with_values(
         narrow.join(
             families.select(F.col("node").alias("_id"), "family", "blocks", "_set").hint("merge"),
             "_id",
-        ).withColumn("_block", F.pmod(F.xxhash64("_set"), F.col("blocks")).cast("int"))
+        ),
+        width,
+    ).select("family", "blocks", F.col("_id").alias("node"), "_set", "_values")
+    confirmed = _links(
+        members.where("blocks = 1").select("family", "node", "_values"), ["family"], percent
+    )
+    if not families.where("blocks > 1").isEmpty():
+        large = stored(members.where("blocks > 1"), "large")
+        by_hub, of_hub = _hubs(large, percent, stored)
+        task = ["family", "with_group", "i", "j"]
+        others = _links(_sent(large, of_hub), task, percent)
+        confirmed = confirmed.unionByName(by_hub).unionByName(others)
+    groups = components(confirmed).withColumnRenamed("component", "_component")
+    found = stored(
+        nodes.select("_set", "node").join(groups, "node", "left").select(
+            "_set", F.coalesce("_component", "node").alias("component_id")
+        ),
+        "found",
     )
-    members = with_values(members, width).withColumn("_task", F.explode(tasks))
+    result = sets.drop("_buckets").join(found, "_set", "left")
+    return _with_result(docs, result, text, doc_id)
+
+
+def _links(members: DataFrame, task: list[str], percent: int) -> DataFrame:
+    """Links within each task of ``members(..., node, _values[, joined])``."""
 
     def links(group: pa.Table) -> pa.Table:
-        ids = group.column("_id").to_pylist()
+        ids = group.column("node").to_pylist()
         arrays = [np.frombuffer(v, np.uint64) for v in group.column("_values").to_pylist()]
-        pairs = linked(arrays, percent)
+        joined = group.column("joined").to_pylist() if "joined" in group.column_names else None
+        pairs = linked(arrays, percent, joined)
         return pa.table(
             {
                 "a": pa.array([ids[x] for x, _ in pairs], pa.int64()),
@@ -263,20 +289,97 @@ def near_duplicates(
             }
         )
 
-    confirmed = (
-        members.select("family", "_task", "_id", "_values")
-        .groupBy("family", "_task.i", "_task.j")
-        .applyInArrow(links, "a long, b long")
+    return members.groupBy(*task).applyInArrow(links, "a long, b long")
+
+
+def _hubs(large: DataFrame, percent: int, stored: Callable) -> tuple[DataFrame, DataFrame]:
+    """Links of all nodes with a few of their family, and the nodes that the best of these links.
+
+    The few go to every part of their family, so no task holds more than a part and those few.
+    """
+    draw = Window.partitionBy("family").orderBy(F.xxhash64("_set"), "node")
+    narrow = large.select("family", "blocks", "node", "_set")
+    chosen = narrow.withColumn("n", F.row_number().over(draw)).where(F.col("n") <= HUBS)
+    own_part = F.pmod(F.xxhash64("_set"), F.col("blocks")).cast("int")
+    parts = large.select("family", own_part.alias("part"), "node", "_values")
+    # Stored under names of their own: both sides come from one table.
+    hubs = stored(
+        large.join(chosen.select("node"), "node", "left_semi").select(
+            F.col("family").alias("hub_family"),
+            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("hub_part"),
+            F.col("node").alias("hub"),
+            F.col("_values").alias("hub_values"),
+        ),
+        "chosen",
     )
-    groups = components(confirmed).withColumnRenamed("component", "_component")
+
+    def compare(own: pa.Table, few: pa.Table) -> pa.Table:
+        hubs = [
+            (r["hub"], np.frombuffer(r["hub_values"], np.uint64))
+            for r in few.select(["hub", "hub_values"]).to_pylist()
+        ]
+        found = []
+        for node, values in zip(own.column("node").to_pylist(), own.column("_values").to_pylist(), strict=True):
+            values = np.frombuffer(values, np.uint64)
+            found += [(own.column("family")[0].as_py(), h, node) for h, v in hubs if similar(v, values, percent)]
+        columns = list(zip(*found, strict=True)) or [()] * 3
+        return pa.table(
+            {n: pa.array(c, pa.int64()) for n, c in zip(("family", "hub", "node"), columns, strict=True)}
+        )
+
     found = stored(
-        nodes.select("_set", "node").join(groups, "node", "left").select(
-            "_set", F.coalesce("_component", "node").alias("component_id")
-        ),
-        "found",
+        parts.groupBy("family", "part")
+        .cogroup(hubs.groupBy("hub_family", "hub_part"))
+        .applyInArrow(compare, "family long, hub long, node long"),
+        "hubs",
     )
-    result = sets.drop("_buckets").join(found, "_set", "left")
-    return _with_result(docs, result, text, doc_id)
+    counts = found.groupBy("family", "hub").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("family").agg(
+        F.max_by("hub", F.struct("n", (-F.col("hub")).alias("first"))).alias("hub")
+    )
+    of_hub = stored(found.join(best, ["family", "hub"]).select("node"), "of_hub")
+    return found.select(F.col("hub").alias("a"), F.col("node").alias("b")), of_hub
+
+
+def _sent(large: DataFrame, of_hub: DataFrame) -> DataFrame:
+    """Sets by task: those without a link to their family's hub meet each other and its group.
+
+    A set of the group is sent once per block of the others, of which there are few where a family
+    is made of copies; where there are none, nothing is sent.
+    """
+    marked = large.join(
+        of_hub.select("node", F.lit(True).alias("joined")).hint("merge"), "node", "left"
+    ).withColumn("joined", F.coalesce("joined", F.lit(False)))
+    weight = F.octet_length("_values") / 8 + NODE
+
+    def blocks(of: Column) -> Column:
+        return F.ceil(F.coalesce(F.sum(F.when(of, weight)), F.lit(0)) / BLOCK).cast("int")
+
+    counts = marked.groupBy("family").agg(
+        blocks(~F.col("joined")).alias("others"), blocks(F.col("joined")).alias("grouped")
+    ).where("others > 0")
+    placed = marked.join(counts, "family").withColumn(
+        "block",
+        F.pmod(F.xxhash64("_set"), F.when(F.col("joined"), F.col("grouped")).otherwise(F.col("others"))).cast("int"),
+    )
+
+    def task(with_group: bool, i: Column, j: Column) -> Column:
+        return F.struct(F.lit(with_group).alias("with_group"), i.alias("i"), j.alias("j"))
+
+    def numbers(n: str) -> Column:
+        return F.sequence(F.lit(0), F.col(n) - 1)
+
+    block = F.col("block")
+    to_group = F.transform(numbers("grouped"), lambda j: task(True, block, j))
+    # Two blocks of others in a task see the pairs within each as well.
+    to_others = F.transform(
+        F.filter(numbers("others"), lambda k: (k != block) | (F.col("others") == 1)),
+        lambda k: task(False, F.least(k, block), F.greatest(k, block)),
+    )
+    from_others = F.transform(numbers("others"), lambda i: task(True, i, block))
+    tasks = F.when(F.col("joined"), from_others).otherwise(F.concat(to_group, to_others))
+    sent = placed.select("family", "node", "_values", "joined", F.explode(tasks).alias("task"))
+    return sent.select("family", "task.*", "node", "_values", "joined")
 
 
 def _with_result(docs: DataFrame, result: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -296,7 +399,9 @@ def _with_result(docs: DataFrame, result: DataFrame, text: str, doc_id: str) ->
         F.max("kept").alias("kept"),
     )
     kept = docs.select(*without(docs, ["n_shingles", "component_id", "kept"]))
-    return kept.join(rows, F.col(doc_id).cast("long").eqNullSafe(F.col("_id"))).drop("_id")
+    [key] = fresh(docs, "id")
+    rows = rows.withColumnRenamed("_id", key)
+    return kept.join(rows, F.col(doc_id).cast("long").eqNullSafe(F.col(key))).drop(key)
 
 
 def with_values(docs: DataFrame, width: int) -> DataFrame:

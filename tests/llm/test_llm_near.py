@@ -75,6 +75,31 @@ def test_copies_of_copies(spark, monkeypatch, width, percent, block):
     assert found(df, width=width, percent=percent) == brute(ids, texts, width, percent)
 
 
+def test_large_family_is_sent_at_most_twice(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 20_000)
+    rnd = random.Random(7)
+    vocabulary = ["w%d" % k for k in range(5000)]
+    base = [rnd.choice(vocabulary) for _ in range(80)]
+    texts = []
+    for k in range(1200):
+        words = list(base)
+        words[rnd.randrange(80)] = f"own{k}"
+        if k % 40 == 0:  # further away than the threshold from most
+            for _ in range(4):
+                words[rnd.randrange(80)] = f"far{k}{rnd.random()}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sent = []
+    plain = near._sent
+    monkeypatch.setattr(near, "_sent", lambda *a: sent.append(plain(*a)) or sent[-1])
+    assert found(df) == brute(list(range(1200)), texts, 3, 85)
+    counts = sent[0].groupBy("joined", "node").count().collect()
+    assert all(r["count"] <= 2 for r in counts if r["joined"])
+    assert sum(r["count"] for r in counts) <= 2 * 1200
+    tasks = sent[0].groupBy("with_group", "i", "j").count().collect()
+    assert max(r["count"] for r in tasks) * 78 <= 2.5 * 20_000
+
+
 def test_links_inside_a_family_equal_all_pairs():
     rnd = np.random.default_rng(1)
     for percent in (50, 80, 85, 100):
@@ -85,6 +110,7 @@ def test_links_inside_a_family_equal_all_pairs():
                 keep = base[rnd.random(len(base)) < rnd.choice([1, 0.95, 0.8])]
                 sets.append(np.unique(np.append(keep, rnd.choice(400, 3))).astype(np.uint64))
         pairs = near.linked(sets, percent)
+        joined = [k % 5 == 0 for k in range(len(sets))]
 
         def groups(links):
             label = list(range(len(sets)))
@@ -101,6 +127,10 @@ def test_links_inside_a_family_equal_all_pairs():
                     every.append((a, b))
         assert set(map(tuple, map(sorted, pairs))) <= set(map(tuple, map(sorted, every)))
         assert groups(pairs) == groups(every)
+        together = [(0, k) for k in range(len(sets)) if joined[k]]
+        some = near.linked(sets, percent, joined)
+        assert set(map(tuple, map(sorted, some))) <= set(map(tuple, map(sorted, every)))
+        assert groups(together + some) == groups(together + every)
 
 
 def test_signature_is_circulant_and_estimates_similarity():
