@@ -116,3 +116,22 @@ def test_query_finds_every_verbatim_passage(spark):
     wanted = {(d["doc_id"], i["item_id"]) for d in docs for i in items if i["text"] in d["text"]}
     out = queries.op2_decontamination(spark, sf_dir).collect()
     assert wanted and {(r["doc_id"], r["item_id"]) for r in out if r["edits"] == 0} >= wanted
+
+
+def test_query_equals_all_pairs(spark):
+    """Every item in every document by edit distance, without windows, keys or parts."""
+    sf_dir = "/root/testdata/sf0.001"
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()
+    docs = {r["doc_id"]: decontaminate.words(r["text"]) for r in queries.documents(spark, sf_dir).collect()}
+    wanted = {}
+    for item in items:
+        own = decontaminate.words(item["text"])
+        allowed = int(decontaminate.MAX_EDITS * len(own)) if len(own) >= decontaminate.SHORT else 0
+        for doc_id, text in docs.items():
+            if len(own) and len(text) >= len(own) - allowed:
+                edits = decontaminate.edit_distance(own, text)[0]
+                if edits <= allowed:
+                    wanted[doc_id, item["item_id"]] = edits
+    out = {(r["doc_id"], r["item_id"]): r["edits"] for r in queries.op2_decontamination(spark, sf_dir).collect()}
+    assert wanted and set(out) == set(wanted)
+    assert all(out[k] == wanted[k] for k in out)

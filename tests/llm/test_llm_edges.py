@@ -8,15 +8,18 @@ import corpus_pipeline
 from corpusflow.llm import (
     bpe,
     decontaminate,
+    infill,
     language,
     media,
     near,
+    pieces,
     pii,
     quality,
     secrets,
     substrings,
 )
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 CONTENT = {"aa": b"abba aba baab abab " * 20, "bb": b"xyz zyx yxz xzy " * 20}
 LONG = "lorem ipsum dolor sit amet " * 20_000
@@ -50,6 +53,8 @@ OPERATORS = {
     "leaks": lambda spark, df: decontaminate.find_leaks(df, items(spark)),
     "near": lambda spark, df: near.near_duplicates(df),
     "quality": lambda spark, df: quality.score(df, quality.fit(df)),
+    "pieces": lambda spark, df: pieces.encode(df, PIECES, decoded="decoded"),
+    "infill": lambda spark, df: infill.fill_in_middle(df),
     "substrings": lambda spark, df: substrings.repeated_substrings(df),
 }
 RESULTS = {
@@ -63,6 +68,8 @@ RESULTS = {
     "leaks": ["leaks"],
     "near": ["n_shingles", "component_id", "kept"],
     "quality": ["quality_score", "kept", "n_words"],
+    "pieces": ["ids", "decoded"],
+    "infill": ["form", "n_units", "prefix_chars", "middle_chars", "output"],
     "substrings": ["n_bytes", "spans", "kept"],
 }
 
@@ -107,3 +114,34 @@ def test_stages_stand_odd_rows(spark, tmp_path, name, stage):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns[:5] == docs.columns
         assert out.count() <= len(given)
+
+
+# Names that operators or stages use, or used, for columns of passage.
+PASSAGE = ["_id", "_hits", "_new", "_pred", "_score", "_rejected", "_pii", "_leaks", "ids", "decoded", "n_tokens"]
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_columns_of_passage_of_the_same_name_pass_through(spark, name):
+    rows = table(spark, [(1, "abba aba baab", "aa"), (2, "xyz zyx", "bb")])
+    names = [n for n in PASSAGE if n not in RESULTS[name]]
+    extra = rows.select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    out = OPERATORS[name](spark, extra)
+    if name == "substrings":  # returns its own columns only
+        assert out.count() == 2
+        return
+    for row in out.collect():
+        assert all(row[n] == f"own {n}" for n in names)
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_with_clashing_columns(spark, tmp_path, name, stage):
+    items(spark).write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(
+        [(*row, "s", 3) for row in ROWS],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    ).select("*", *[F.lit(f"own {n}").alias(n) for n in PASSAGE])
+    stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    made = {"ids", "n_tokens", "decoded_sha256"} if name == "encode_texts" else set()
+    for row in out.collect():
+        assert all(row[n] == f"own {n}" for n in PASSAGE if n not in made)
