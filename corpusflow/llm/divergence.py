@@ -88,9 +88,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def price(count: Column, n: Column, v: Column) -> Column:
-    """``1 + floor(10^9 * (count + 1) / (n + v))``, exact beyond 64 bits."""
+    """``1 + floor(10^9 * (count + 1) / (n + v))``, exact beyond 64 bits.
+
+    Without a kept term (n and v are 0) there is nothing to price; any value will do.
+    """
     wide = (count + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)")
-    by = (n + v).cast("decimal(20,0)")
+    by = F.greatest(n + v, F.lit(1)).cast("decimal(20,0)")
     return 1 + F.call_function("div", wide, by)
 
 

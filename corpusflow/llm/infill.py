@@ -105,8 +105,8 @@ def draws(key: Column | str, seed: int) -> list[Column]:
 
 def check_marks(marks: tuple[str, str, str]) -> None:
     """Marks that could be read in two ways raise: the text would not come back."""
-    for mark in marks:
-        others = [m for m in marks if m is not mark]
+    for place, mark in enumerate(marks):
+        others = [m for n, m in enumerate(marks) if n != place]
         ends = [mark[i:] for i in range(1, len(mark))]
         if not mark or any(mark in m for m in others):
             raise ValueError(f"{mark!r} is empty or part of another mark")
