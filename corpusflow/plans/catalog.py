@@ -521,6 +521,23 @@ def build_chunks(spark, sf):
     return pipelines.build_chunks(document_sections(spark, sf), SIZES, RULES)
 
 
+def classify_chunks_defaults(spark, sf):
+    """Lines by the rules as they come."""
+    return chunks.classify_chunks(short_chunks(spark, sf)).select("page_ord", "chunk_index", "reason")
+
+
+def build_chunks_defaults(spark, sf):
+    """Chunks by the rules and sizes as they come."""
+    return pipelines.build_chunks(document_sections(spark, sf))
+
+
+def embed_summary_defaults(spark, sf):
+    """Failures with the default number of texts a call."""
+    return embed.embed_summary(
+        embed.embed_chunks(document_chunks(spark, sf), vowel_counts_without_mail)
+    )
+
+
 def embed_chunks(spark, sf):
     embedded = embed.embed_chunks(document_chunks(spark, sf), vowel_counts)
     counts = F.transform("embedding", lambda x: x.cast("int").cast("string"))
@@ -975,6 +992,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         upsert_page_stream, page_stats, crawl_outcome,
         clean_sections, make_chunks, classify_chunks, dedup_chunks, keep_first_chunks,
         cleaning_report, build_chunks,
+        classify_chunks_defaults, build_chunks_defaults, embed_summary_defaults,
         embed_chunks, embed_summary, first_errors, load_documents,
         match_documents, build_ann_index, approx_match_documents, approx_match_blocks,
         approx_match_all_cells, approx_recall,

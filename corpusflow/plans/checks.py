@@ -6,6 +6,7 @@ The statements share building blocks (as CTE text) but no code with the operator
 from __future__ import annotations
 
 from corpusflow import config
+from corpusflow.config import ChunkRules, ChunkSizes
 from corpusflow.plans import catalog as c
 
 
@@ -232,10 +233,10 @@ cleaned AS (
 """
 
 
-_S = c.SIZES
 # Chunk fold as a recursion over sentences. A chunk is a run of sentences, so the state is
 # how many sentences lie before it; token, word and marker counts are prefix sums.
-_FOLD = f"""
+def _fold(_S: ChunkSizes) -> str:
+    return f"""
 sections AS (
   SELECT doc_id, source, lang, {_clean('text')} AS text FROM documents),
 kept_sections AS (
@@ -333,6 +334,9 @@ chunks AS (
   FROM made m JOIN documents d ON d.doc_id = m.doc_id)
 """
 
+
+_FOLD = _fold(c.SIZES)
+
 _LINE_CHUNKS = """
 chunks AS (
   SELECT unnest(string_split(text, chr(10))) AS content, source AS source_url, lang AS title,
@@ -340,10 +344,8 @@ chunks AS (
     doc_id AS page_ord, 0 AS section_index FROM documents)
 """
 
-_R = c.RULES
 
-
-def _classified() -> str:
+def _classified(_R: ChunkRules = c.RULES) -> str:
     def has_value(words) -> str:
         return (
             "(regexp_matches(content, '[0-9]') OR "
@@ -807,16 +809,19 @@ _MARKED = _replace(
 
 
 # A call of the embedding job fails as a whole; calls begin anew every 4096 pages.
-_BATCHES = f"""
+def _batches(size: int) -> str:
+    return f"""
 numbered AS (
   SELECT *, doc_id // 4096 AS block,
-    (row_number() OVER (PARTITION BY doc_id // 4096 ORDER BY doc_id) - 1) // {c.BATCH} AS call
+    (row_number() OVER (PARTITION BY doc_id // 4096 ORDER BY doc_id) - 1) // {size} AS call
   FROM documents),
 batches AS (
   SELECT *, bool_or(contains(text, '@')) OVER (PARTITION BY block, call) AS failed FROM numbered)
 """
 
 
+_BATCHES = _batches(c.BATCH)
+
 ORACLE_SQL: dict[str, str] = {
     # tables
     "pages_from_json": """
@@ -1005,6 +1010,18 @@ ORACLE_SQL: dict[str, str] = {
         WITH RECURSIVE {_FOLD}, {_classified()}
         SELECT id, content, source_url, title, section, chunk_index, page_ord, section_index
         FROM tagged WHERE reason IS NULL""",
+    # The rules and sizes as they come.
+    "classify_chunks_defaults": f"""
+        WITH {_LINE_CHUNKS}, {_classified(ChunkRules())}
+        SELECT page_ord, chunk_index, reason FROM classified""",
+    "build_chunks_defaults": f"""
+        WITH RECURSIVE {_fold(ChunkSizes())}, {_classified(ChunkRules())}
+        SELECT id, content, source_url, title, section, chunk_index, page_ord, section_index
+        FROM tagged WHERE reason IS NULL""",
+    "embed_summary_defaults": f"""
+        WITH {_batches(config.EMBED_BATCH)}
+        SELECT count(*) AS total, count(*) FILTER (NOT failed) AS succeeded,
+          count(*) FILTER (failed) AS failed FROM batches""",
     # embedding
     "embed_chunks": f"""
         SELECT id, {" || ',' || ".join(
