@@ -261,7 +261,8 @@ def near_duplicates(
         large = stored(members.where("blocks > 1"), "large")
         by_hub, of_hub = _hubs(large, percent, stored)
         task = ["family", "with_group", "i", "j"]
-        others = _links(_sent(large, of_hub), task, percent)
+        # Dealt by task: after joins by family the tasks of one would otherwise stay together.
+        others = _links(_sent(large, of_hub).repartition(*task), task, percent)
         confirmed = confirmed.unionByName(by_hub).unionByName(others)
     groups = components(confirmed).withColumnRenamed("component", "_component")
     found = stored(
