@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.lineage import in_sequence
 from corpusflow.operators import embed
+from corpusflow.plans import checks
 from corpusflow.sources import json_items, published, tables
 from corpusflow.streaming import page_log, page_stream
 
@@ -349,7 +350,7 @@ def test_in_sequence_blocks(spark):
             assert (r.next.i if r.next else None) == (None if last else r.i + 3)
 
 
-@pytest.mark.parametrize("name", ["match_documents", "build_chunks", "discover_urls", "rate_limit"])
+@pytest.mark.parametrize("name", sorted(checks.ORACLE_SQL))
 def test_registered_queries_match_sql(spark, name):
     import duckdb
 
@@ -357,7 +358,7 @@ def test_registered_queries_match_sql(spark, name):
 
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for table in ("documents", "pages", "embeddings", "events", "labels", "conversations"):
+    for table in ("documents", "pages", "embeddings", "events", "labels", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     df = entry.queries()[name](spark, folder)
     got = sorted(map(repr, (tuple(r) for r in df.collect())))
@@ -370,7 +371,7 @@ def test_every_query_is_registered_with_sql():
     import __spark_entry__ as entry
 
     rows_only = set(entry.queries()) - set(entry.oracle_sql()) - set(entry.LLM_QUERIES)
-    assert rows_only == {"approx_match_documents", "approx_recall"}
+    assert rows_only == set()
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
