@@ -22,7 +22,7 @@ from corpusflow.plans import pipelines
 from corpusflow.sources import tables
 from corpusflow.sources.published import published
 from corpusflow.session import ROCKSDB
-from corpusflow.streaming import admission, page_log, page_stream
+from corpusflow.streaming import admission, page_log, page_stream, timing_stream
 
 SITE = Site(
     start_url="http://thther.example.org",
@@ -868,12 +868,56 @@ def rate_limit(spark, sf):
     )
 
 
-def _timings(spark, sf):
+def timing_windows_stream(spark, sf):
+    """Daily windows of a stream of four files, and whether their quantiles are of the right rank.
+
+    Exact counts and sums; the share of requests below the sketch's median and 95th percentile
+    must be what it should be, within three times the sketch's error. The last row is all days
+    merged.
+    """
+    folder = _new_folder(spark)
+    timings = _timings(spark, sf, F.col("ts").cast("timestamp").alias("ts"))
+    cuts = _quarters(timings)
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = timings if low is None else timings.where(F.col("ts") >= low)
+        part = part if high is None else part.where(F.col("ts") < high)
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/timings")
+    stream = (
+        spark.readStream.schema(timings.schema)
+        .option("maxFilesPerTrigger", 1)
+        .parquet(f"{folder}/timings")
+    )
+    timing_stream.timing_stream(
+        stream, f"{folder}/windows", f"{folder}/state", "1 day", "1 day", availableNow=True
+    ).awaitTermination()
+    windows = timing_stream.read_timing_windows(spark, f"{folder}/windows")
+    days = timing_stream.merged_timings(windows, F.col("window_start"))
+    total = timing_stream.merged_timings(windows, F.lit(None).cast("timestamp").alias("window_start"))
+    found = days.unionByName(total)
+    of_day = timings.withColumn("window_start", F.window("ts", "1 day")["start"])
+    both = of_day.unionByName(of_day.withColumn("window_start", F.lit(None).cast("timestamp")))
+    both = both.withColumnRenamed("window_start", "of")
+    margin = 3 * timing_stream.rank_error()
+
+    def right(share: float, name: str) -> Column:
+        below = F.avg((F.col("total_ms") < F.col(name)).cast("double"))
+        up_to = F.avg((F.col("total_ms") <= F.col(name)).cast("double"))
+        return (below <= share + margin) & (up_to >= share - margin)
+
+    return (
+        both.join(F.broadcast(found), F.col("of").eqNullSafe(F.col("window_start")))
+        .groupBy(F.unix_micros("window_start").alias("window_us"), "requests", F.round("avg_ms", 6).alias("avg_ms"))
+        .agg(right(0.5, "median_ms").alias("median_right"), right(0.95, "p95_ms").alias("p95_right"))
+    )
+
+
+def _timings(spark, sf, *more):
     log = _read(spark, sf, "events").select(
         F.col("event_id").alias("request_id"),
         F.floor("value").alias("embedding_ms"),
         F.floor(F.col("value") * 10).alias("search_ms"),
         F.when(F.col("event_type") == "click", F.lit(250)).alias("chat_ms"),
+        *more,
     )
     return admission.request_timings(log)
 
@@ -1001,5 +1045,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         cache_misses, chat_prompts, build_index, answer_cache_inputs, generated_answers, unanswered,
         retrieval_metrics, sanitize_messages,
         rate_limit, rate_limit_stream, client_keys, request_timings, timing_summary,
+        timing_windows_stream,
     )
 }

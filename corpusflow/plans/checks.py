@@ -1184,6 +1184,16 @@ ORACLE_SQL: dict[str, str] = {
         FROM timings""",
 }
 
+ORACLE_SQL["timing_windows_stream"] = """
+    WITH timed AS (
+      SELECT ts, (floor(value)::BIGINT + floor(value * 10)::BIGINT
+        + CASE WHEN event_type = 'click' THEN 250 ELSE 0 END)::BIGINT AS total_ms FROM events),
+    days AS (SELECT epoch_us(date_trunc('day', ts)) AS window_us, total_ms FROM timed
+      UNION ALL SELECT NULL, total_ms FROM timed)
+    SELECT window_us, count(*) AS requests, round(avg(total_ms), 6) AS avg_ms,
+      true AS median_right, true AS p95_right
+    FROM days GROUP BY window_us"""
+
 # Other ways to the same results.
 ORACLE_SQL["upsert_page_stream"] = """
     WITH crawled AS (
