@@ -64,6 +64,12 @@ GENERATION_ERROR_ANSWER = "Beklager, det oppstod en feil ved generering av svar.
 WELCOME_MARKER = "Hei! Jeg er"
 CITATION_PATTERN = r"\[Kilde\s+[0-9]+\]"
 BASED_ON_PATTERN = r"(?iu)Basert på[^.]+\."
+# What is taken out of, or rewritten in, a message before it is shown.
+URL_START_PATTERN = r"https?://"
+MARKDOWN_LINK_PATTERN = r"\[([^\]]+)\]\([^)]+\)"
+TAG_PATTERN = r"<[^>]+>"
+MAIL_PATTERN = r"([a-zA-Z0-9._-]+@[a-zA-Z0-9._-]+\.[a-zA-Z0-9_-]+)"
+MAIL_LINK = '<a href="mailto:$1">$1</a>'
 
 # --------------------------------------------------------------------------------------
 # URL rules

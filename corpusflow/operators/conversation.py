@@ -239,14 +239,11 @@ def sanitize_messages(turns: DataFrame) -> DataFrame:
     addresses wrapped as mail links."""
     clean = t.replace_all(
         F.col("text"),
-        (rf"https?://{t.NON_WS}+", ""),
+        (f"{config.URL_START_PATTERN}{t.NON_WS}+", ""),
         (t.with_unicode_spaces(config.CITATION_PATTERN), ""),
-        (r"\[([^\]]+)\]\([^)]+\)", "$1"),
+        (config.MARKDOWN_LINK_PATTERN, "$1"),
         (config.BASED_ON_PATTERN, ""),
-        (r"<[^>]+>", ""),
-        (
-            r"([a-zA-Z0-9._-]+@[a-zA-Z0-9._-]+\.[a-zA-Z0-9_-]+)",
-            '<a href="mailto:$1">$1</a>',
-        ),
+        (config.TAG_PATTERN, ""),
+        (config.MAIL_PATTERN, config.MAIL_LINK),
     )
     return turns.withColumn("clean_text", clean)

@@ -128,16 +128,18 @@ def _normalized(expression: str) -> str:
     return expression
 
 
+# Parts and ends of system URLs.
+_SYSTEM_PARTS = ("/wp-admin", "/wp-login", "/wp-content", "/wp-includes", "/wp-json",
+                 "/login", "/admin", "/feed", "/rss")
+_SYSTEM_ENDS = ("sitemap.xml", "sitemap.xml/", "sitemap_index.xml", "sitemap_index.xml/",
+                "wp-sitemap.xml", "wp-sitemap.xml/", "page-sitemap.xml", "page-sitemap.xml/")
+_CRAWL_PARTS = ("/login", "/admin", "/wp-admin", "/wp-login", "/wp-content", "/wp-includes",
+                "/wp-json", "/feed", "/xml", "/rss", "/sitemap")
+
+
 def _system(expression: str) -> str:
     low = f"lower({expression})"
-    contains = ("/wp-admin", "/wp-login", "/wp-content", "/wp-includes", "/wp-json",
-                "/login", "/admin", "/feed", "/rss")
-    suffixes = [
-        stem + slash
-        for stem in ("sitemap.xml", "sitemap_index.xml", "wp-sitemap.xml", "page-sitemap.xml")
-        for slash in ("", "/")
-    ]
-    return f"({_any_contains(low, contains)} OR {_any_ends(low, suffixes)})"
+    return f"({_any_contains(low, _SYSTEM_PARTS)} OR {_any_ends(low, _SYSTEM_ENDS)})"
 
 
 def _from_start(expression: str) -> str:
@@ -954,8 +956,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH {_markdown()},
         bodies AS (SELECT page_ord, url, title AS page_title, markdown,
           markdown AS body FROM markdown
-          WHERE NOT {_any_contains('lower(url)', ("/login", "/admin", "/wp-", "/feed", "/xml",
-              "/rss", "/sitemap"))}),
+          WHERE NOT {_any_contains('lower(url)', _CRAWL_PARTS)}),
         {_page_text('body')}
         SELECT page_ord, url AS source_url,
           coalesce(nullif(trim(regexp_extract(markdown, '(?m)^#\\s+(.+)$', 1)), ''),
