@@ -1017,8 +1017,9 @@ def read_chunks(spark, sf):
 
 
 def read_answer_cache(spark, sf):
+    """Answers written as objects of counted size, a file each, and read back."""
     path = _new_folder(spark)
-    tables.write_answer_cache(_answers(spark, sf), path)
+    tables.write_answer_cache(_answers(spark, sf), path, 25)
     return tables.read_answer_cache(spark, path)
 
 
