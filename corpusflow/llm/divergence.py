@@ -74,6 +74,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = held.get(key := tuple(group))
             if found is None:
                 found = held[key] = (Counter(), Counter())
+                size += 1
             seen, within = found
             before = len(seen)
             terms = TERM.findall(text.encode("utf-8").lower())

@@ -52,8 +52,8 @@ from corpusflow.llm.frames import append_columns, fresh, texts_of, without
 MARKER = "▁"
 # Texts and chunks of a block: what a task holds at a time.
 BLOCK_BYTES, BLOCK_CHUNKS = 32 << 20, 500_000
-# Entries (a chunk of a block) of a shard, on average.
-SHARD_ENTRIES = 600_000
+# Entries (a chunk of a block) of a shard, and their bytes, on average.
+SHARD_ENTRIES, SHARD_BYTES = 600_000, 64 << 20
 # Chunks up to this many symbols are merged by looking through all of them.
 SHORT = 48
 NONE = 1 << 40
@@ -404,8 +404,9 @@ def encode(
     )
     blocks = spark.table(name)
     lists = blocks.where(F.col(n_chunks).isNotNull())
-    total = lists.agg(F.sum(n_chunks)).first()[0] or 0
-    shards = max(1, -(-total // SHARD_ENTRIES))
+    totals = lists.agg(F.sum(n_chunks), F.sum(F.octet_length(listed).cast("long"))).first()
+    limits = zip(totals, (SHARD_ENTRIES, SHARD_BYTES), strict=True)
+    shards = max(1, *(-(-(total or 0) // limit) for total, limit in limits))
 
     def cut_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
