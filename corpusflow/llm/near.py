@@ -254,11 +254,14 @@ def near_duplicates(
         ),
         width,
     ).select("family", "blocks", F.col("_id").alias("node"), "_set", "_values")
+    some_large = not families.where("blocks > 1").isEmpty()
+    if some_large:  # read more than once; otherwise the sets go straight to their family
+        members = stored(members, "members")
     confirmed = _links(
         members.where("blocks = 1").select("family", "node", "_values"), ["family"], percent
     )
-    if not families.where("blocks > 1").isEmpty():
-        large = stored(members.where("blocks > 1"), "large")
+    if some_large:
+        large = members.where("blocks > 1")
         by_hub, of_hub = _hubs(large, percent, stored)
         task = ["family", "with_group", "i", "j"]
         # Dealt by task: after joins by family the tasks of one would otherwise stay together.
