@@ -9,8 +9,8 @@ An index is a folder:
 * ``settings``: one row with the dimension, the number of rows and buckets, and the probes.
 
 Few queries are broadcast with their cells and read only the partitions of those cells. Many
-queries are taken block by block: a block is sent to the slots of its cells, where the
-documents lie, and meets them by bucket. Queries move, documents never do.
+queries are taken in turns of a fixed size: they are sent to the slots of their cells, where the
+documents lie, and meet them by bucket. Queries move, documents never do.
 """
 
 from __future__ import annotations
@@ -185,8 +185,8 @@ def search(
     """The best documents of the ``n_probe`` cells nearest to each query, above ``threshold``.
 
     Rules and columns as in ``match_documents``; probing every cell is exact search. A query
-    with a NULL or zero vector has no match. More queries than ``block_bytes`` hold run one job
-    per block while this is called.
+    with a NULL or zero vector has no match. More queries than ``block_bytes`` hold are taken in
+    turns while this is called, and scored in blocks of that size (see ``blocks_in_turn``).
     """
     n_probe = min(n_probe or index.n_probe, len(index.cells))
     dim = index.centroids.shape[1]
@@ -236,14 +236,16 @@ def _many(
     index: AnnIndex, queries: DataFrame, k: int, threshold: float, n_probe: int, limit: int
 ) -> DataFrame:
     spark, dim = index.vectors.sparkSession, index.centroids.shape[1]
-    probes = assign_cells(queries, index.centroids, "query_id", n_probe)
     number = F.element_at(F.array(*[F.lit(int(c)) for c in index.cells]), F.col("cell") + 1)
     # One row per cell of the index.
     slots = F.broadcast(spark.read.parquet(f"{index.path}/slots"))
-    placed = probes.withColumn("cell", number).join(slots, "cell").select(
-        F.explode(F.sequence("first_slot", F.col("first_slot") + F.col("n_slots") - 1)).alias("slot"),
-        "query_id", "embedding",
-    )
+
+    def place(asked: DataFrame) -> DataFrame:
+        probes = assign_cells(asked, index.centroids, "query_id", n_probe)
+        return probes.withColumn("cell", number).join(slots, "cell").select(
+            F.explode(F.sequence("first_slot", F.col("first_slot") + F.col("n_slots") - 1)).alias("slot"),
+            "query_id", "embedding",
+        )
+
     vectors = spark.table(_registered(spark, index.path, index.n_buckets))
-    n_blocks = -(-queries.count() // limit)
-    return blocks_in_turn(vectors, placed, n_blocks, dim, k, threshold)
+    return blocks_in_turn(vectors, queries, place, dim, k, threshold, limit)

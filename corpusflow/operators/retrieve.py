@@ -7,7 +7,7 @@ Documents are ``(id, embedding, ...)``, queries ``(query_id, embedding, ...)``,
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -19,8 +19,12 @@ from corpusflow import config
 from corpusflow.functions import vectors as v
 from corpusflow.functions.lineage import HOT_ROWS, lookup, shared_folder, stored
 
-# Vectors one task or one broadcast may hold.
-BLOCK_BYTES = 64 * 1024 * 1024
+# Vectors that a broadcast, a slot of documents or a block of queries may hold.
+BLOCK_BYTES = 16 * 1024 * 1024
+# Vectors of queries that go to the slots in one job; a task scores them in blocks.
+TURN_BYTES = 32 * 1024 * 1024
+# Slots of fewer documents are not worth a task of their own.
+_SLOT_ROWS = 4096
 # Share of the exact matches an approximate search is to find, and the queries it is measured by.
 TARGET_RECALL = 0.9
 RECALL_QUERIES = 256
@@ -44,8 +48,9 @@ def match_documents(
     Queries that fit in ``block_bytes`` (checked by fetching at most one row more) are
     broadcast and the documents are scored where they are read, without a shuffle. For more
     queries than that the vectors are written once, bucketed by bounded slots and without a
-    shuffle, and blocks of queries come to them in turn (jobs run while this is called). Either
-    way only ``match_count`` rows per query and task leave Python.
+    shuffle, and the queries come to them, ``TURN_BYTES`` in a job (jobs run while this is called)
+    and scored in blocks of ``block_bytes``. Either way only ``match_count`` rows per query and
+    task leave Python.
     """
     dim, n_queries = vector_size(queries), None
     if dim is None:
@@ -59,9 +64,11 @@ def match_documents(
         else:
             slots, n_slots = _in_slots(docs, limit)
             every_slot = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_slots - 1).cast("long")))
-            placed = queries.select(every_slot.alias("slot"), "query_id", "embedding")
-            n_blocks = -(-queries.count() // limit)
-            best = blocks_in_turn(slots, placed, n_blocks, dim, match_count, threshold)
+
+            def in_every_slot(asked: DataFrame) -> DataFrame:
+                return asked.select(every_slot.alias("slot"), "query_id", "embedding")
+
+            best = blocks_in_turn(slots, queries, in_every_slot, dim, match_count, threshold, limit)
     ranked = rank_matches(best, match_count)
     if n_queries is not None and n_queries * match_count <= _BROADCAST_ROWS:
         ranked = F.broadcast(ranked)
@@ -113,9 +120,12 @@ def _broadcast_top_k(
 
 
 def _in_slots(docs: DataFrame, rows: int) -> tuple[DataFrame, int]:
-    """``(slot, id, embedding)``, about ``rows`` vectors a slot, bucketed by slot; how many slots."""
+    """``(slot, id, embedding)``, at most about ``rows`` vectors a slot, bucketed by slot; how many slots."""
     spark = docs.sparkSession
-    n_slots = max(1, -(-docs.count() // rows))
+    n_rows = docs.count()
+    # Two slots per core where there are vectors enough for it.
+    spread = min(2 * spark.sparkContext.defaultParallelism, n_rows // _SLOT_ROWS)
+    n_slots = max(1, -(-n_rows // rows), spread)
     name = f"vectors_{uuid.uuid4().hex}"
     buckets = max(1, min(n_slots, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     (
@@ -128,31 +138,52 @@ def _in_slots(docs: DataFrame, rows: int) -> tuple[DataFrame, int]:
 
 
 def blocks_in_turn(
-    vectors: DataFrame, placed: DataFrame, n_blocks: int, dim: int, k: int, threshold: float
+    vectors: DataFrame,
+    queries: DataFrame,
+    place: Callable[[DataFrame], DataFrame],
+    dim: int,
+    k: int,
+    threshold: float,
+    limit: int,
 ) -> DataFrame:
-    """Top-k of ``placed(slot, query_id, embedding)`` against ``vectors(slot, id, embedding)``.
+    """Top-k of ``queries(query_id, embedding)`` against ``vectors(slot, id, embedding)``.
 
-    ``vectors`` is a table bucketed by slot: it is read where it lies, and a block of queries is sent
-    to its slots, one block after the other. What a task holds is a slot and a block's queries.
+    ``vectors`` is a table bucketed by slot: it is read where it lies, and ``place`` sends queries to
+    their slots as ``(slot, query_id, embedding)``. A job takes ``TURN_BYTES`` of queries whatever
+    ``limit`` is, so the vectors are read once per so many queries; a task holds a slot and a
+    job's queries, and scores ``limit`` of them at a time.
     """
-
-    def score(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        query_ids, matrix = v.identified(asked.column("query_id"), asked.column("embedding"), dim)
-        best = v.TopK(query_ids, matrix, k, threshold)
-        if docs.num_rows:
-            best.add(*v.identified(docs.column("id"), docs.column("embedding"), dim))
-        return pa.Table.from_batches([best.result()])
-
     by_slot = vectors.select("slot", "id", "embedding").groupBy("slot")
-    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+    score = _scored_in_blocks("embedding", dim, k, threshold, limit)
+    n_turns = -(-queries.count() // max(limit, TURN_BYTES // (8 * dim)))
+    turn = F.pmod(F.xxhash64("query_id"), F.lit(n_turns))
     parts = []
-    for number in range(n_blocks):
-        asked = placed.where(block == number).groupBy("slot")
+    for number in range(n_turns):
+        asked = place(queries.where(turn == number)).groupBy("slot")
         found = by_slot.cogroup(asked).applyInArrow(score, v.MATCH_SCHEMA)
         parts.append(stored(rank_matches(found, k).select("query_id", "id", "similarity")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _scored_in_blocks(
+    vector: str, dim: int, k: int, threshold: float, limit: int
+) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Top-k of a group's queries, ``limit`` at a time, among its documents."""
+
+    def score(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        held = v.identified(docs.column("id"), docs.column("embedding"), dim) if docs.num_rows else None
+        found = []
+        for low in range(0, max(1, asked.num_rows), limit):
+            block = asked.slice(low, limit)
+            best = v.TopK(*v.identified(block.column("query_id"), block.column(vector), dim), k, threshold)
+            if held is not None:
+                best.add(*held)
+            found.append(best.result())
+        return pa.Table.from_batches(found)
+
+    return score
+
+
 def _grid_top_k(
     docs: DataFrame,
     queries: DataFrame,
@@ -191,15 +222,7 @@ def _grid_top_k(
         "query_id", F.col("embedding").alias("query_embedding"),
     )
 
-    def score(docs_part: pa.Table, queries_part: pa.Table) -> pa.Table:
-        query_ids, matrix = v.identified(
-            queries_part.column("query_id"), queries_part.column("query_embedding"), dim
-        )
-        best = v.TopK(query_ids, matrix, k, threshold)
-        if docs_part.num_rows:
-            best.add(*v.identified(docs_part.column("id"), docs_part.column("embedding"), dim))
-        return pa.Table.from_batches([best.result()])
-
+    score = _scored_in_blocks("query_embedding", dim, k, threshold, rows)
     key = ("cell", "shard", "block")
     return (
         placed_docs.groupBy(*key)

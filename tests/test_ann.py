@@ -51,6 +51,17 @@ def test_blocks_of_queries_give_the_same(made, n_probe):
     assert few and all(x[0] > 1 for x in few)  # NULL and zero queries have none
 
 
+@pytest.mark.parametrize("turn_bytes, n_turns", [(8 * 8 * 1000, 1), (8 * 8 * 25, 3)])
+def test_small_blocks_of_queries_take_no_more_jobs(made, monkeypatch, turn_bytes, n_turns):
+    _, queries, index = made
+    turns = []
+    monkeypatch.setattr(retrieve, "stored", lambda df: turns.append(df) or df)
+    monkeypatch.setattr(retrieve, "TURN_BYTES", turn_bytes, raising=False)
+    found = ranked(ann.search(index, queries, 5, 0.1, block_bytes=8 * 8 * 5))
+    assert found == ranked(ann.search(index, queries, 5, 0.1))
+    assert len(turns) == n_turns
+
+
 def test_only_the_cells_of_the_queries_are_read(spark, made):
     _, queries, index = made
     head = queries.where("query_id = 2").toArrow().select(["query_id", "embedding"])
