@@ -1,8 +1,8 @@
 """Cosine top-k over Arrow batches.
 
 Spark partitions the vectors and moves the rows; these helpers score what one task holds
-with a matrix product and keep the best ``k`` per query, so a task never emits more than
-``k`` rows per query it has seen.
+with matrix products of bounded size and keep the best ``k`` per query, so a task never holds or
+emits more than ``k`` rows per query it has seen.
 """
 
 from __future__ import annotations
@@ -13,11 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Similarities per matrix product in one task (32 MB of doubles).
-_PRODUCT_CELLS = 4_000_000
-# The matrix product may differ from the row-wise product in the last bits; candidates
-# are collected with this slack and then scored row-wise.
-_SLACK = 1e-9
+# Queries and documents of one matrix product (8 MB of floats), and the candidates scored at once.
+_QUERY_ROWS, _DOC_ROWS = 1024, 2048
+_CANDIDATES = 1 << 16
 
 MATCH_SCHEMA = "query_id bigint, id bigint, similarity double"
 
@@ -50,39 +48,61 @@ def identified(
 
 
 class TopK:
-    """Best ``k`` documents per query over the documents added so far."""
+    """Best ``k`` documents per query over the documents added so far.
+
+    Queries are taken in parts of ``_QUERY_ROWS``. Besides the vectors themselves this holds at
+    most ``k`` rows per query, and what one matrix product and one part of queries need.
+    """
 
     def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, threshold: float):
         self.query_ids, self.queries = query_ids, queries
         self.k, self.threshold = k, threshold
+        # Candidates come from products of floats, with slack for their rounding, and are then
+        # scored row-wise in doubles.
+        self.narrow = queries.astype(np.float32)
+        self.slack = (queries.shape[1] + 8) * 2.0**-23
         self.floor = np.full(len(query_ids), threshold, dtype=np.float64)
-        self.kept = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64)]
-        self.pending: list[list[np.ndarray]] = []
-        self.pending_rows = 0
+        self.kept: dict[int, list[np.ndarray]] = {}
 
     def add(self, ids: np.ndarray, docs: np.ndarray, only: np.ndarray | None = None) -> None:
         """Score documents against all queries, or against those at the places ``only``."""
-        if only is None:
-            only = np.arange(len(self.query_ids))
-        if not len(only):
+        if not len(ids) or self.k < 1:
             return
-        queries = self.queries if len(only) == len(self.queries) else self.queries[only]
-        step = max(1, _PRODUCT_CELLS // len(only))
-        for low in range(0, len(ids), step):
-            block, block_ids = docs[low:low + step], ids[low:low + step]
-            rows, cols = np.nonzero(block @ queries.T >= self.floor[only] - _SLACK)
-            cols = only[cols]
-            scores = np.einsum("ij,ij->i", block[rows], self.queries[cols])
-            above = scores > self.threshold
-            self.pending.append([cols[above], block_ids[rows[above]], scores[above]])
-            self.pending_rows += int(above.sum())
-            if self.pending_rows > 4 * self.k * len(self.query_ids):
-                self._prune()
-
-    def _prune(self) -> None:
-        cols, ids, scores = (
-            np.concatenate(parts) for parts in zip(self.kept, *self.pending, strict=True)
-        )
+        narrow = docs.astype(np.float32)
+        for part, first in enumerate(range(0, len(self.query_ids), _QUERY_ROWS)):
+            places = np.arange(first, min(first + _QUERY_ROWS, len(self.query_ids)))
+            if only is not None:
+                places = only[(only >= first) & (only < first + _QUERY_ROWS)]
+            if len(places):
+                self._add(part, places, ids, docs, narrow)
+
+    def _add(
+        self, part: int, places: np.ndarray, ids: np.ndarray, docs: np.ndarray, narrow: np.ndarray
+    ) -> None:
+        queries = self.narrow[places]
+        pending: list[list[np.ndarray]] = []
+        n_pending = 0
+        for low in range(0, len(ids), _DOC_ROWS):
+            products = queries @ narrow[low : low + _DOC_ROWS].T
+            least = (self.floor[places] - self.slack).astype(np.float32)
+            found = np.flatnonzero(products >= least[:, None])
+            width = products.shape[1]
+            for start in range(0, len(found), _CANDIDATES):
+                which, rows = np.divmod(found[start : start + _CANDIDATES], width)
+                cols, rows = places[which], rows + low
+                scores = np.einsum("ij,ij->i", docs[rows], self.queries[cols])
+                above = scores > self.threshold
+                pending.append([cols[above], ids[rows[above]], scores[above]])
+                n_pending += int(above.sum())
+                if n_pending > max(_CANDIDATES, 4 * self.k * len(places)):
+                    self._prune(part, pending)
+                    pending, n_pending = [], 0
+        if n_pending:
+            self._prune(part, pending)
+
+    def _prune(self, part: int, pending: list[list[np.ndarray]]) -> None:
+        parts = [self.kept[part], *pending] if part in self.kept else pending
+        cols, ids, scores = (np.concatenate(columns) for columns in zip(*parts, strict=True))
         order = np.lexsort((ids, -scores, cols))
         cols, ids, scores = cols[order], ids[order], scores[order]
         starts = np.flatnonzero(np.r_[True, cols[1:] != cols[:-1]]) if len(cols) else cols
@@ -90,12 +110,12 @@ class TopK:
         last = rank == self.k - 1
         self.floor[cols[last]] = scores[last]
         best = rank < self.k
-        self.kept = [cols[best], ids[best], scores[best]]
-        self.pending, self.pending_rows = [], 0
+        self.kept[part] = [cols[best], ids[best], scores[best]]
 
     def result(self) -> pa.RecordBatch:
-        self._prune()
-        cols, ids, scores = self.kept
+        none = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64)]
+        found = [none, *(self.kept[part] for part in sorted(self.kept))]
+        cols, ids, scores = (np.concatenate(columns) for columns in zip(*found, strict=True))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(self.query_ids[cols].astype(np.int64)),

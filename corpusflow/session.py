@@ -10,6 +10,10 @@ from pyspark.sql import SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+# Arrow batches for Python: by bytes, as a batch of 10,000 long texts or arrays takes a hundred
+# times that once it is Python's objects.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
 # Nothing here is required: every batch operator runs on a plain session (the
 # rate-limit stream needs the state store named here). AQE is what sizes
 # shuffle partitions, turns measured-small join sides into broadcasts and splits skewed
@@ -22,6 +26,7 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    BATCH_BYTES[0]: BATCH_BYTES[1],
 }
 
 
@@ -40,8 +45,15 @@ def build_session(
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
-    """Make this package importable in the Python workers, once per application."""
+    """Make this package importable in the Python workers, once per application.
+
+    Arrow batches are bounded to ``BATCH_BYTES`` unless the application has set a bound.
+    """
     context = spark.sparkContext
+    if not getattr(spark, "_corpusflow_bounded", False):
+        if context.getConf().get(BATCH_BYTES[0]) is None:
+            spark.conf.set(*BATCH_BYTES)
+        spark._corpusflow_bounded = True
     if not getattr(context, "_corpusflow_shipped", False):
         root = Path(__file__).resolve().parent
         archive = Path(tempfile.mkdtemp(prefix="corpusflow-")) / "corpusflow.zip"

@@ -1,11 +1,13 @@
 import json
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusflow import config
+from corpusflow.functions import vectors
 from corpusflow.operators import packing, retrieve
 
 DOCS = "id bigint, content string, source_url string, title string, section string, embedding array<float>"
@@ -224,3 +226,25 @@ def test_cache_lookup(spark, hot_rows):
     assert found == {1: "ans", 2: None, 3: "ans", 4: None, 5: None, 6: None}
     missed = retrieve.cache_misses(asked, cache, hot_rows).collect()
     assert sorted(r.query_id for r in missed) == [2, 4, 5, 6]
+
+
+@pytest.mark.parametrize("threshold", [-2.0, 0.3])
+def test_scoring_holds_little_for_many_queries(threshold):
+    """Every document is above the lower threshold; ties go to the smaller id."""
+    rng = np.random.default_rng(3)
+    queries, docs = rng.normal(size=(20_000, 8)), rng.normal(size=(3_000, 8))
+    docs[1_000:2_000] = docs[0]
+    queries, docs = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (queries, docs))
+    tracemalloc.start()
+    try:
+        best = vectors.TopK(np.arange(20_000), queries, 5, threshold)
+        for low in (0, 1_700):
+            best.add(np.arange(low, min(low + 1_700, 3_000)), docs[low : low + 1_700])
+        rows = best.result().to_pandas()
+        assert tracemalloc.get_traced_memory()[1] < 150e6
+    finally:
+        tracemalloc.stop()
+    for number in range(0, 20_000, 400):
+        scores = np.einsum("ij,ij->i", docs, np.repeat(queries[number : number + 1], 3_000, axis=0))
+        wanted = [j for j in np.lexsort((np.arange(3_000), -scores)) if scores[j] > threshold][:5]
+        assert rows[rows.query_id == number].id.tolist() == wanted
