@@ -448,7 +448,7 @@ def upsert_page_batches(spark, sf):
 
 
 def upsert_page_stream(spark, sf):
-    """Documents as crawled pages from a stream of four files, a micro-batch each, into a log.
+    """Documents as crawled pages from a stream that comes in four parts, a micro-batch each, into a log.
 
     It is compacted after three batches; the fourth is merged when the table is read.
     """
@@ -458,16 +458,13 @@ def upsert_page_stream(spark, sf):
         # Positions begin anew in every batch.
         rows = documents.where(F.col("page_ord") % 4 == part)
         rows = rows.withColumn("page_ord", F.floor(F.col("page_ord") / 4))
-        rows.coalesce(1).write.mode("append").parquet(f"{folder}/crawled")
-    stream = (
-        spark.readStream.schema(documents.schema)
-        .option("maxFilesPerTrigger", 1)
-        .parquet(f"{folder}/crawled")
-    )
-    query = page_log.upsert_log_stream(
-        stream, f"{folder}/pages", f"{folder}/state", 3, availableNow=True
-    )
-    query.awaitTermination()
+        rows.write.mode("append").parquet(f"{folder}/crawled")
+        stream = spark.readStream.schema(documents.schema).parquet(f"{folder}/crawled")
+        # The stream goes on from its checkpoint and takes a part's files as one batch.
+        query = page_log.upsert_log_stream(
+            stream, f"{folder}/pages", f"{folder}/state", 3, availableNow=True
+        )
+        query.awaitTermination()
     return page_log.read_page_log(spark, f"{folder}/pages").select(
         "url_key", "page_ord", "title", F.col("sections")[0]["text"].alias("text")
     )

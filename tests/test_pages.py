@@ -122,6 +122,24 @@ def test_upsert_keeps_positions_and_is_idempotent(spark):
     assert sorted(map(str, again.collect())) == sorted(map(str, merged.collect()))
 
 
+def test_page_stream_writes_its_parts_in_several_tasks(spark, tmp_path, monkeypatch):
+    from corpusflow.plans import catalog
+
+    rows = [(i, f"text {i}", "en", f"src{i % 7}", 6) for i in range(200)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    documents.repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(catalog, "_new_folder", lambda spark: str(tmp_path))
+    got = {r.url_key: r.text for r in catalog.upsert_page_stream(spark, str(tmp_path)).collect()}
+    # The batch of numbers 3 mod 4 comes last.
+    last = {}
+    for i in sorted(range(200), key=lambda i: (i % 4, i)):
+        last[f"https://src{i % 7}/en"] = f"text {i}"
+    assert got == last
+    assert len(list((tmp_path / "crawled").glob("part-*"))) > 4
+    assert len(list((tmp_path / "state/commits").glob("[0-9]*"))) == 4
+
+
 def test_stats_and_outcome(spark):
     df = spark.createDataFrame([(0, "u", None, [("a", "xyz"), ("b", "")]), (1, "v", None, [])], PAGES)
     assert tuple(pages.page_stats(df).first()) == (2, 2, 3)
