@@ -795,9 +795,9 @@ def _quarters(events: DataFrame) -> list:
 
 
 def rate_limit_stream(spark, sf):
-    """The same decisions from a stream of the events in five files, a micro-batch each.
+    """The same decisions from a stream of the events in five parts, a micro-batch each.
 
-    State is evicted. The last file has all requests of every tenth client, most of them later
+    State is evicted. The last part has all requests of every tenth client, most of them later
     than the watermark.
     """
     folder = _new_folder(spark)
@@ -805,6 +805,8 @@ def rate_limit_stream(spark, sf):
     settings = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism),
+        # What is evicted is evicted with the next part.
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     }
     before = {name: spark.conf.get(name) for name in settings}
     for name, value in settings.items():
@@ -821,20 +823,17 @@ def rate_limit_stream(spark, sf):
             part = in_time if low is None else in_time.where(F.col("ts") >= low)
             parts.append(part if high is None else part.where(F.col("ts") < high))
         for part in [*parts, events.where(late)]:
-            part.coalesce(1).write.mode("append").parquet(f"{folder}/events")
-        stream = (
-            spark.readStream.schema(events.schema)
-            .option("maxFilesPerTrigger", 1)
-            .parquet(f"{folder}/events")
-        )
-        query = (
-            admission.rate_limit_stream(stream, RATE, WINDOW_SECONDS, EVICT_AFTER)
-            .writeStream.option("checkpointLocation", f"{folder}/state")
-            .trigger(availableNow=True)
-            .format("parquet")
-            .start(f"{folder}/decisions")
-        )
-        query.awaitTermination()
+            part.write.mode("append").parquet(f"{folder}/events")
+            stream = spark.readStream.schema(events.schema).parquet(f"{folder}/events")
+            # The stream goes on from its checkpoint and takes a part's files as one batch.
+            query = (
+                admission.rate_limit_stream(stream, RATE, WINDOW_SECONDS, EVICT_AFTER)
+                .writeStream.option("checkpointLocation", f"{folder}/state")
+                .trigger(availableNow=True)
+                .format("parquet")
+                .start(f"{folder}/decisions")
+            )
+            query.awaitTermination()
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -276,6 +276,13 @@ def _decide(
 # -- stream ----------------------------------------------------------------------------
 
 
+def _numbers(values: tuple) -> np.ndarray:
+    """Integers, or doubles with NaN where some are NULL."""
+    if None in values:
+        return np.array([np.nan if x is None else x for x in values], dtype=np.float64)
+    return np.array(values, dtype=np.int64)
+
+
 class _Admission(StatefulProcessor):
     """Open window per client: number of requests and end of the window."""
 
@@ -288,23 +295,25 @@ class _Admission(StatefulProcessor):
         self.handle = handle
         self.open = handle.getValueState("open", self._STATE)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        requests = pd.concat(list(rows), ignore_index=True)
-        count, end = self.open.get() if self.open.exists() else (_CLOSED[1], _CLOSED[0])
-        ids, times = requests["request_id"].to_numpy(), requests["us"].to_numpy()
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        requests = [(row[0], row[2]) for row in rows]
+        held = self.open.get()
+        count, end = (_CLOSED[1], _CLOSED[0]) if held is None else held
+        ids, times = (_numbers(values) for values in zip(*requests, strict=True))
         order, rank, ends = _decide(ids, times, (end, count), self.window)
         self.open.update((int(rank[-1]), int(ends[-1])))
         if self.evict:
             self.handle.registerTimer(int(ends[-1]) // 1000 + 1)
-        yield requests.iloc[order].assign(rank=rank, window_end=ends)[
-            ["request_id", "client", "us", "rank", "window_end"]
-        ]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.open.exists():
-            _, end = self.open.get()
-            if end // 1000 < timerValues.getCurrentWatermarkInMs():
-                self.open.clear()
+        for place, number, window_end in zip(order.tolist(), rank.tolist(), ends.tolist(), strict=True):
+            request_id, us = requests[place]
+            yield Row(
+                request_id=request_id, client=key[0], us=us, rank=number, window_end=window_end
+            )
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.open.get()
+        if held is not None and held[1] // 1000 < timerValues.getCurrentWatermarkInMs():
+            self.open.clear()
         return iter([])
 
     def close(self) -> None:
@@ -334,7 +343,7 @@ def rate_limit_stream(
     decided = (
         requests.select("request_id", "client", us.alias("us"))
         .groupBy("client")
-        .transformWithStateInPandas(
+        .transformWithState(
             statefulProcessor=_Admission(
                 limit, window_seconds * _MICROS, evict_after is not None
             ),

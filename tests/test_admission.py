@@ -167,6 +167,21 @@ def test_registered_stream_decides_a_late_file(spark):
     assert all(got[r.request_id].allowed == r.allowed for r in wanted)
 
 
+def test_registered_stream_writes_its_parts_in_several_tasks(spark, tmp_path, monkeypatch):
+    from corpusflow.plans import catalog
+
+    ts = F.timestamp_micros(F.lit(10**15) + F.col("id") * 10**9)
+    rows = spark.range(600, numPartitions=4).select(
+        F.col("id").alias("event_id"), (F.col("id") % 30).alias("user_id"), ts.alias("ts")
+    )
+    rows.repartition(4, "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(catalog, "_new_folder", lambda spark: str(tmp_path))
+    got = {r.request_id: r.allowed for r in catalog.rate_limit_stream(spark, str(tmp_path)).collect()}
+    assert got == {r.request_id: r.allowed for r in catalog.rate_limit(spark, str(tmp_path)).collect()}
+    assert len(list((tmp_path / "events").glob("part-*"))) > 5
+    assert len(list((tmp_path / "state/commits").glob("[0-9]*"))) == 5
+
+
 def test_client_key(spark):
     rows = [
         (" 1.1.1.1 , 2.2.2.2", "r", "c", "1.1.1.1"), (",2.2.2.2", "r", "c", ""),
