@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -394,3 +395,14 @@ def test_package_works_without_the_training_part(tmp_path):
             "else:\n    raise SystemExit('hidden')"
         )
         subprocess.run([sys.executable, "-c", check], cwd=root, check=True)
+
+
+def test_python_gets_batches_bounded_by_bytes(spark):
+    """Pages as JSON, chunks and texts to embed are long: 10,000 rows of them are too many at once."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    texts = spark.range(6_000, numPartitions=1).select(F.repeat(F.lit("x"), 2_500).alias("text"))
+    found = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) > 15_000_000 and max(found) < 5_000_000
