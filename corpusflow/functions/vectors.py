@@ -13,9 +13,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Queries and documents of one matrix product (8 MB of floats), and the candidates scored at once.
+# Queries and documents of one matrix product (8 MB of floats), the candidates scored at once, and
+# those that may wait for the next cut to the best.
 _QUERY_ROWS, _DOC_ROWS = 1024, 2048
-_CANDIDATES = 1 << 16
+_CANDIDATES = 1 << 13
+_PENDING = 1 << 16
+# A product's rows are cut into groups of so many documents to bound the best of a row from below.
+_GROUP = 16
 
 MATCH_SCHEMA = "query_id bigint, id bigint, similarity double"
 
@@ -27,7 +31,8 @@ def unit_rows(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """
     vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
     positions = np.flatnonzero(pc.is_valid(vectors).to_numpy(zero_copy_only=False))
-    vectors = vectors.take(pa.array(positions))
+    if vectors.null_count:
+        vectors = vectors.take(pa.array(positions))
     sizes = pc.list_value_length(vectors)
     if len(vectors) and not pc.all(pc.equal(sizes, dim)).as_py():
         raise ValueError(f"expected vectors of {dim} dimensions")
@@ -35,8 +40,10 @@ def unit_rows(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     matrix = flat.reshape(-1, dim)
     norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
     usable = norms > 0
-    matrix = matrix[usable] / norms[usable, None]
-    return positions[usable], matrix
+    if not usable.all():
+        positions, matrix, norms = positions[usable], matrix[usable], norms[usable]
+    matrix /= norms[:, None]
+    return positions, matrix
 
 
 def identified(
@@ -84,6 +91,7 @@ class TopK:
         n_pending = 0
         for low in range(0, len(ids), _DOC_ROWS):
             products = queries @ narrow[low : low + _DOC_ROWS].T
+            self._raise_floor(places, products)
             least = (self.floor[places] - self.slack).astype(np.float32)
             found = np.flatnonzero(products >= least[:, None])
             width = products.shape[1]
@@ -94,12 +102,24 @@ class TopK:
                 above = scores > self.threshold
                 pending.append([cols[above], ids[rows[above]], scores[above]])
                 n_pending += int(above.sum())
-                if n_pending > max(_CANDIDATES, 4 * self.k * len(places)):
+                if n_pending > max(_PENDING, 4 * self.k * len(places)):
                     self._prune(part, pending)
                     pending, n_pending = [], 0
         if n_pending:
             self._prune(part, pending)
 
+    def _raise_floor(self, places: np.ndarray, products: np.ndarray) -> None:
+        """Raise what a document must reach: ``k`` groups have a document as good as the k-th best group."""
+        n_groups = products.shape[1] // _GROUP
+        if n_groups < self.k:
+            return
+        grouped = products[:, : _GROUP * n_groups].reshape(len(places), _GROUP, n_groups)
+        best = grouped.max(axis=1)
+        if np.isfinite(best).all():
+            best.partition(n_groups - self.k, axis=1)
+            reached = best[:, n_groups - self.k].astype(np.float64) - self.slack
+            self.floor[places] = np.maximum(self.floor[places], reached)
+
     def _prune(self, part: int, pending: list[list[np.ndarray]]) -> None:
         parts = [self.kept[part], *pending] if part in self.kept else pending
         cols, ids, scores = (np.concatenate(columns) for columns in zip(*parts, strict=True))
@@ -108,7 +128,7 @@ class TopK:
         starts = np.flatnonzero(np.r_[True, cols[1:] != cols[:-1]]) if len(cols) else cols
         rank = np.arange(len(cols)) - np.repeat(starts, np.diff(np.r_[starts, len(cols)]))
         last = rank == self.k - 1
-        self.floor[cols[last]] = scores[last]
+        self.floor[cols[last]] = np.maximum(self.floor[cols[last]], scores[last])
         best = rank < self.k
         self.kept[part] = [cols[best], ids[best], scores[best]]
 

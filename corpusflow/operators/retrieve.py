@@ -23,6 +23,8 @@ from corpusflow.functions.lineage import HOT_ROWS, lookup, shared_folder, stored
 BLOCK_BYTES = 16 * 1024 * 1024
 # Vectors of queries that go to the slots in one job; a task scores them in blocks.
 TURN_BYTES = 32 * 1024 * 1024
+# Queries that a task makes into unit vectors and scores at once, at most.
+_BLOCK_ROWS = 4096
 # Slots of fewer documents are not worth a task of their own.
 _SLOT_ROWS = 4096
 # Share of the exact matches an approximate search is to find, and the queries it is measured by.
@@ -168,7 +170,8 @@ def blocks_in_turn(
 def _scored_in_blocks(
     vector: str, dim: int, k: int, threshold: float, limit: int
 ) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Top-k of a group's queries, ``limit`` at a time, among its documents."""
+    """Top-k of a group's queries, ``limit`` or fewer at a time, among its documents."""
+    limit = min(limit, _BLOCK_ROWS)
 
     def score(docs: pa.Table, asked: pa.Table) -> pa.Table:
         held = v.identified(docs.column("id"), docs.column("embedding"), dim) if docs.num_rows else None

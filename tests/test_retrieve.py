@@ -248,3 +248,41 @@ def test_scoring_holds_little_for_many_queries(threshold):
         scores = np.einsum("ij,ij->i", docs, np.repeat(queries[number : number + 1], 3_000, axis=0))
         wanted = [j for j in np.lexsort((np.arange(3_000), -scores)) if scores[j] > threshold][:5]
         assert rows[rows.query_id == number].id.tolist() == wanted
+
+
+def test_a_task_holds_little_besides_its_vectors():
+    """Queries of a turn are made into unit vectors a few thousand at a time, candidates scored likewise."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+
+    def table(name, n):
+        flat = pa.array(rng.normal(size=n * 32).astype(np.float32))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * 32 + 1, 32), pa.int32()), flat)
+        return pa.table({name: pa.array(np.arange(n)), "embedding": lists})
+
+    held, asked = table("id", 3000), table("query_id", 12_000)
+    score = retrieve._scored_in_blocks("embedding", 32, 5, 0.3, 1 << 16)
+    tracemalloc.start()
+    found = score(held, asked)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24e6
+    units = [vectors.unit_rows(t.column("embedding"), 32)[1] for t in (held, asked)]
+    scores = units[1][::97] @ units[0].T
+    best = found.to_pandas().groupby("query_id")["id"].agg(set)
+    for query, row in zip(range(0, 12_000, 97), scores, strict=True):
+        order = np.argsort(-row)[:5]
+        assert best.get(query, set()) == {int(i) for i in order if row[i] > 0.3}
+
+
+def test_floor_needs_as_many_documents_as_matches():
+    """Copies of a text and vectors that are no numbers leave the same matches."""
+    docs = np.tile(np.array([[1.0, 0.0]]), (40, 1))
+    docs[5] = np.nan
+    docs[7:20] = [0.6, 0.8]
+    for k in (1, 2, 3, 30):
+        best = vectors.TopK(np.arange(1), np.array([[1.0, 0.0]]), k, 0.25)
+        best.add(np.arange(40), docs)
+        ones = [i for i in range(40) if i != 5 and not 7 <= i < 20]
+        assert best.result().column(1).to_pylist() == (ones + list(range(7, 20)))[:k]
