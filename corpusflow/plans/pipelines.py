@@ -107,10 +107,11 @@ def chat_prompts(
     histories = conversation.trim_history(turns, history_budget).select(
         key, "history", "history_tokens"
     )
-    queries = asked.join(histories, "query_id")
+    # Read by several of the steps below, as the packed rows are.
+    queries = stored(asked.join(histories, "query_id"))
     known = matches.select("query_id").distinct()
     answered = queries.join(known, "query_id", "left_semi")
-    selected = packing.select_matches(matches, answered, system_prompt, budget)
+    selected = stored(packing.select_matches(matches, answered, system_prompt, budget))
     contexts = packing.build_contexts(selected, answered, system_prompt)
     sources = retrieve.pick_source(selected, homepage_urls).select("query_id", "url")
     prompts = packing.assemble_prompts(contexts, answered, system_prompt, answered)

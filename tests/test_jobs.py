@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.lineage import in_sequence
 from corpusflow.operators import embed
-from corpusflow.plans import checks
+from corpusflow.plans import catalog, checks
 from corpusflow.sources import json_items, published, tables
 from corpusflow.streaming import page_log, page_stream
 
@@ -406,3 +406,11 @@ def test_python_gets_batches_bounded_by_bytes(spark):
     texts = spark.range(6_000, numPartitions=1).select(F.repeat(F.lit("x"), 2_500).alias("text"))
     found = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
     assert sum(found) > 15_000_000 and max(found) < 5_000_000
+
+
+def test_a_chat_works_out_its_histories_and_packed_rows_once(spark):
+    """The prompts are put together from stored rows: no branch goes back to the turns or the texts."""
+    prompts = catalog.chat_prompts(spark, "/root/testdata/sf0.001")
+    assert prompts.count()
+    read = prompts.inputFiles()
+    assert read and not [f for f in read if "conversations" in f or "documents" in f]
