@@ -91,9 +91,11 @@ class TopK:
         n_pending = 0
         for low in range(0, len(ids), _DOC_ROWS):
             products = queries @ narrow[low : low + _DOC_ROWS].T
-            self._raise_floor(places, products)
-            least = (self.floor[places] - self.slack).astype(np.float32)
-            found = np.flatnonzero(products >= least[:, None])
+            hits = products >= self._least(places)
+            if np.count_nonzero(hits) > 2 * self.k * len(places):
+                self._raise_floor(places, products)
+                hits = products >= self._least(places)
+            found = np.flatnonzero(hits)
             width = products.shape[1]
             for start in range(0, len(found), _CANDIDATES):
                 which, rows = np.divmod(found[start : start + _CANDIDATES], width)
@@ -108,6 +110,9 @@ class TopK:
         if n_pending:
             self._prune(part, pending)
 
+    def _least(self, places: np.ndarray) -> np.ndarray:
+        return (self.floor[places] - self.slack).astype(np.float32)[:, None]
+
     def _raise_floor(self, places: np.ndarray, products: np.ndarray) -> None:
         """Raise what a document must reach: ``k`` groups have a document as good as the k-th best group."""
         n_groups = products.shape[1] // _GROUP
