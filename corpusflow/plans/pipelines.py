@@ -110,7 +110,8 @@ def chat_prompts(
     queries = asked.join(histories, "query_id")
     known = matches.select("query_id").distinct()
     answered = queries.join(known, "query_id", "left_semi")
-    selected = packing.select_matches(matches, answered, system_prompt, budget)
+    # The contexts and the sources read the packed rows; matches with their texts are shuffled once.
+    selected = stored(packing.select_matches(matches, answered, system_prompt, budget))
     contexts = packing.build_contexts(selected, answered, system_prompt)
     sources = retrieve.pick_source(selected, homepage_urls).select("query_id", "url")
     prompts = packing.assemble_prompts(contexts, answered, system_prompt, answered)

@@ -6,9 +6,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corpusflow.functions import lineage
 from corpusflow.functions.lineage import in_sequence
 from corpusflow.operators import embed
-from corpusflow.plans import checks
+from corpusflow.plans import catalog, checks, pipelines
 from corpusflow.sources import json_items, published, tables
 from corpusflow.streaming import page_log, page_stream
 
@@ -406,3 +407,16 @@ def test_python_gets_batches_bounded_by_bytes(spark):
     texts = spark.range(6_000, numPartitions=1).select(F.repeat(F.lit("x"), 2_500).alias("text"))
     found = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
     assert sum(found) > 15_000_000 and max(found) < 5_000_000
+
+
+def test_a_chat_works_out_its_packed_rows_once(spark, monkeypatch):
+    """The rows that contexts and sources are made of are stored, and not packed again for each."""
+    kept = []
+
+    def stored(df):
+        kept.append(df.columns)
+        return lineage.stored(df)
+
+    monkeypatch.setattr(pipelines, "stored", stored)
+    catalog.chat_prompts(spark, "/root/testdata/sf0.001")
+    assert [c for c in kept if "truncated" in c]
