@@ -120,7 +120,7 @@ def _coders(content: tuple[tuple[str, bytes], ...]) -> list[Coder]:
 def sizes(text: str, content: tuple[tuple[str, bytes], ...]) -> list[tuple[float, str]]:
     """Compressed size and name of every language, smallest first; ties by name.
 
-    Sizes of texts coded in contexts are means, and at least one byte.
+    Sizes of texts coded in contexts are means, and the smallest is at least one byte.
     """
     data = letters(text).encode("utf-8")
     pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
@@ -131,9 +131,13 @@ def sizes(text: str, content: tuple[tuple[str, bytes], ...]) -> list[tuple[float
 
     def in_contexts(c: Coder) -> float:
         total = sum(len(c.compress(x + p + b" ")) for p in pieces for x in c.contexts)
-        return max((total - len(pieces) * c.alone) / CONTEXTS, 1.0)
+        return (total - len(pieces) * c.alone) / CONTEXTS
 
-    return sorted((in_contexts(c), c.name) for c in coders)
+    means = sorted((in_contexts(c), c.name) for c in coders)
+    if means[1][0] > 1.0:
+        return [(max(size, 1.0), name) for size, name in means]
+    # The best two take a byte at most: raised alike, as a floor for each would make them equal.
+    return [(size + 1.0 - means[0][0], name) for size, name in means]
 
 
 def identify(

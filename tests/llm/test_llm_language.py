@@ -53,6 +53,21 @@ def test_few_short_texts_are_rejected(spark):
         assert sum(r["lang"] == r["lang_pred"] for r in part) >= right * len(part)
 
 
+def test_texts_under_a_byte_do_not_tie():
+    """A word that both languages have costs less than a byte in either; the difference counts."""
+    import random
+
+    draw = random.Random(0)
+
+    def content(letters, every):
+        words = ["".join(draw.choice(letters) for _ in range(draw.randint(3, 7))) for _ in range(60)]
+        return " ".join(draw.choice(words) if i % every else "no" for i in range(600)).encode()
+
+    fixed = (("aa", content("abcdef", 7)), ("bb", content("uvwxyz", 2)))
+    (best, name), (second, _) = language.sizes("No.", fixed)
+    assert (best, name) == (1.0, "bb") and second > best
+
+
 def test_query_never_reads_the_language_of_held_out_rows(spark, tmp_path):
     from pyspark.sql import functions as F
 
